@@ -8,6 +8,7 @@ no state, so the same functions serve batch and streaming tables.
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagescan.functions import urls as U
 from pagescan.functions.dialect import to_java
@@ -333,7 +334,7 @@ def text_findings(pages: DataFrame, rules, keywords=()) -> DataFrame:
 
 # --- entropy -------------------------------------------------------------------------
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def char_entropy(texts: pd.Series) -> pd.Series:
     """Shannon entropy of the characters of each text, in bits."""
     import numpy as np

@@ -5,6 +5,7 @@ import fnmatch
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagescan.functions.dialect import to_java
 from pagescan.functions.text import lit
@@ -42,7 +43,7 @@ def is_binary(content: str) -> str:
     return f"(contains({head}, '\\0') OR coalesce(try_divide({other}, length({head})) > 0.3, false))"
 
 
-@F.pandas_udf("struct<text string, charset string>")
+@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("charset", T.StringType())]))
 def _decoded(contents: pd.Series) -> pd.DataFrame:
     """Text of files that are not UTF-8."""
     def decode(raw):

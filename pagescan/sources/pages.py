@@ -23,10 +23,10 @@ def first_of_location(pages: DataFrame) -> DataFrame:
     """Each location once, with its lowest page_id.
 
     The winners are found on the two narrow columns, where partial aggregation takes care of
-    a location that is most of the table; content moves once, spread by the unique page_id.
+    a location that is most of the table; content moves once, spread by location and page_id.
     """
     winners = pages.groupBy("location").agg(F.min("page_id").alias("page_id"))
-    return pages.join(winners.select("page_id"), "page_id", "left_semi").select(*pages.columns)
+    return pages.join(winners, ["location", "page_id"], "left_semi").select(*pages.columns)
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:
