@@ -114,7 +114,8 @@ def _hits(pages: DataFrame, rules, keywords) -> DataFrame:
                     for i in range(0, len(keywords), 1000)]
     arrays = []
     if entries:
-        every = f"flatten({only(*entries)})"
+        # A keyword that occurs only inside words leaves a NULL entry.
+        every = f"array_compact(flatten({only(*entries)}))"
         arrays.append("flatten(" + each("transform", every, lambda e: spans(
             e, f"{e}.margin", f"{e}.until", keep=_KEPT)) + ")")
     if "url" in numbers:
