@@ -73,13 +73,13 @@ rule_query("htm13_comment_link", _by_key(C.HTML, "html:comment"), ["html:comment
            "rule_id = 'html:comment:link'")
 rule_query("htm14_meta_refresh", _by_key(C.HTML, "html:meta:refresh"), ["html:meta:refresh"])
 
-rule_query("js1_high_risk_calls", _by_key(C.JS, "js:call"), [f"js:high_risk:{f}" for f in V.JS_HIGH_RISK],
+rule_query("js1_high_risk_calls", [r for r in C.JS if r.kind == "js_call"], [f"js:high_risk:{f}" for f in V.JS_HIGH_RISK],
            "startswith(rule_id, 'js:high_risk:')")
 for _n, (_name, *_rest) in enumerate(V.JS_OBFUSCATION, 2):
     rule_query(f"js{_n}_{_name}", _by_key(C.JS, f"js:obfuscation:{_name}"), [f"js:obfuscation:{_name}"])
 for _n, (_name, *_rest) in enumerate(V.JS_PATTERNS, 8):
     rule_query(f"js{_n}_{_name}", _by_key(C.JS, f"js:pattern:{_name}"), [f"js:pattern:{_name}"])
-rule_query("js15_dom_operations", _by_key(C.JS, "js:call"), [f"js:dom:{f}" for f in V.JS_DOM_OPERATIONS],
+rule_query("js15_dom_operations", [r for r in C.JS if r.kind == "js_call"], [f"js:dom:{f}" for f in V.JS_DOM_OPERATIONS],
            "startswith(rule_id, 'js:dom:')")
 rule_query("js16_line_comment", _by_key(C.JS, "js:line_comment"), ["js:comment:line"])
 rule_query("js17_block_comment", [C.BLOCK_COMMENT], ["js:comment:block"], "rule_id = 'js:comment:suspicious'")
@@ -89,7 +89,7 @@ register("js19_entropy_documents", lambda spark, sf: flat(entropy_findings(table
     "doc_id AS page_id", "source AS location", "text AS content"))),
     "WITH corpus AS (SELECT doc_id AS page_id, source AS location, text AS content FROM documents)\n" + _ARMS["js:entropy"])
 
-rule_query("css1_hiding_values", _by_key(C.CSS, "css:hiding"), [f"css:hiding:{p}" for p in V.CSS_HIDING_VALUES])
+rule_query("css1_hiding_values", [r for r in C.CSS if r.kind == "css_value"], [f"css:hiding:{p}" for p in V.CSS_HIDING_VALUES])
 rule_query("css2_absolute_pos", _by_key(C.CSS, "css:hiding:absolute_pos"), ["css:hiding:absolute_pos"])
 for _n, (_name, *_rest) in enumerate(V.CSS_SELECTORS, 3):
     rule_query(f"css{_n}_{_name}", _by_key(C.CSS, f"css:selector:{_name}"), [f"css:selector:{_name}"])

@@ -13,21 +13,28 @@ _CLASSES = {"s": (SPACE, f"[{SPACE}]"), "S": (r"\S", f"[^{SPACE}]"),
             "w": (WORD, f"[{WORD}]"), "W": (r"\W", f"[^{WORD}]"),
             "d": (r"\p{Nd}", r"\p{Nd}"), "D": (r"\P{Nd}", r"\P{Nd}"),
             "Z": ("Z", r"\z")}
+_WORD_START = re.compile(r"[A-Za-z]+(?![A-Za-z?*+{])")
 _FLAGS = {"i": "iu", "s": "s", "m": "m"}
 _TOKEN = re.compile(r"\\.|\(\?P<|\(\?P=(\w+)\)|\{,(\d+)\}|\{\d+,?\d*\}|&&|.", re.S)
 
 
 def to_java(pattern: str, flags: str = "") -> str:
     """The Java pattern that matches what ``re.compile(pattern, flags)`` matches."""
-    out, in_class, first = [], False, False
+    out, in_class, first, skip = [], False, False, 0
     for token in _TOKEN.finditer(pattern):
+        if token.start() < skip:
+            continue
         t = token.group(0)
         escaped = t[1] if t[0] == "\\" else ""
         opened = False
         if escaped == "b" and not in_class:
-            follows = pattern[token.end():token.end() + 1]
-            out.append(_BEFORE if follows.isalnum() else
-                       f"(?:(?<=[{WORD}]){_AFTER}|{_BEFORE}(?=[{WORD}]))")
+            word = _WORD_START.match(pattern, token.end())
+            if word:
+                # The word first, then the look back: the JVM searches for literals much faster.
+                out.append(f"{word.group(0)}(?<![{WORD}]{word.group(0)})")
+                skip = word.end()
+            else:
+                out.append(f"(?:(?<=[{WORD}]){_AFTER}|{_BEFORE}(?=[{WORD}]))")
         elif escaped == "B" and not in_class:
             out.append(f"(?:(?<=[{WORD}])(?=[{WORD}])|{_BEFORE}{_AFTER})")
         elif escaped in _CLASSES:

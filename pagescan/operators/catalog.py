@@ -9,9 +9,10 @@ from pagescan.rules import values as V
 @dataclass(frozen=True)
 class Rule:
     """One pattern.  ``guards`` are literals of which one must occur before it is tried
-    (in the folded text for case-insensitive patterns); ``kind`` says how its matches are
+    (in whatever case); ``kind`` says how its matches are
     turned into findings; ``at_least`` and ``until`` make one row per page of them;
-    ``upto`` is the tail every match ends with: text after its last occurrence is not tried;
+    ``upto`` is the text every match ends with (``tail`` a pattern for it): what follows its
+    last occurrence is not tried;
     ``lead`` says that group 1 is text before the match proper."""
 
     key: str
@@ -32,6 +33,7 @@ class Rule:
     metadata: dict = field(default_factory=dict)
     requires: str | None = None
     upto: str | None = None
+    tail: str | None = None
     lead: bool = False
     java: str | None = None
 
@@ -51,10 +53,9 @@ def _html():
 
 
 def _js():
-    names = "|".join(V.JS_HIGH_RISK)
-    guards = tuple(n for n in V.JS_HIGH_RISK if n != "decodeURIComponent")
-    yield Rule("js:call", rf"\b({names})\s*\(", "", guards, kind="js_call", margin=80, groups=(1,),
-               category="js_issue", source_type="js")
+    for name, severity in V.JS_HIGH_RISK.items():
+        yield Rule(f"js:high_risk:{name}", rf"\b{name}\s*\(", "", (name,), kind="js_call", severity=severity,
+                   margin=80, category="js_issue", source_type="js", metadata={"function": name})
     for name, pattern, description, guards in V.JS_OBFUSCATION:
         yield Rule(f"js:obfuscation:{name}", pattern, "", tuple(guards), kind="js_count", margin=80,
                    category="js_issue", source_type="js", at_least=5, until=0, placed=False,
@@ -68,13 +69,14 @@ def _js():
 
 
 def _css():
-    options = sorted({v for vs in V.CSS_HIDING_VALUES.values() for v in vs}, key=lambda v: (-len(v), v))
-    props = sorted(V.CSS_HIDING_VALUES, key=lambda p: (-len(p), p))
-    plain = "|".join("".join("\\" + c if c in "()." else c for c in v) for v in options)
-    yield Rule("css:hiding", rf"({'|'.join(props)})\s*:\s*({plain})", "i", tuple(V.CSS_HIDING_VALUES),
-               kind="css_value", groups=(1, 2), category="hidden_element", source_type="css")
+    for prop, values in V.CSS_HIDING_VALUES.items():
+        # One pattern per property: the longest value that fits holds the shorter ones.
+        fitting = "|".join("".join("\\" + c if c in "()." else c for c in v)
+                           for v in sorted(values, key=len, reverse=True))
+        yield Rule(f"css:hiding:{prop}", rf"{prop}\s*:\s*({fitting})", "i", (prop,), kind="css_value",
+                   groups=(1,), category="hidden_element", source_type="css", metadata={"property": prop})
     yield Rule("css:hiding:absolute_pos", V.CSS_ABSOLUTE, "is", ("{",), kind="css_absolute", groups=(1,),
-               category="hidden_element", source_type="css", requires=V.CSS_ABSOLUTE_TAIL, lead=True)
+               category="hidden_element", source_type="css", requires=V.CSS_OFFSET, lead=True)
     for name, pattern, severity, description, guards in V.CSS_SELECTORS:
         yield Rule(f"css:selector:{name}", pattern, "", tuple(guards), severity=severity, category="css_issue",
                    source_type="css", metadata={"description": description})
@@ -104,7 +106,7 @@ def _hiding():
     yield rule("whitespace", V.WHITESPACE_RUN, "", (), kind="whitespace", severity=4, source_type="text")
     yield rule("color_match", V.TEXT_COLOR, guards=("background-color",), kind="color", groups=(1,), margin=200)
     yield rule("absolute_pos", V.HIDING_POSITION, "is", ("position",), kind="position", groups=(1, 2),
-               upto=V.HIDING_POSITION_TAIL)
+               tail=V.HIDING_POSITION_TAIL)
     yield rule("font_size", V.HIDING_FONT, guards=("font-size",), kind="font", groups=(1,))
     yield rule("text_indent", V.HIDING_INDENT, guards=("text-indent",), kind="indent", groups=(1,))
     yield rule("opacity", V.HIDING_OPACITY, guards=("opacity",))
@@ -118,7 +120,7 @@ def _hiding():
 
 # Block comments feed both the script and the style rules, so they are cut out once.
 BLOCK_COMMENT = Rule("block_comment", V.BLOCK_COMMENT, "s", ("/*",), kind="block_comment", groups=(1,),
-                     source_type="comments", upto=r"\*/")
+                     source_type="comments", upto="*/")
 KEYWORD = Rule("keyword", "", kind="keyword", category="keyword_match", source_type="text", margin=60)
 URL = Rule("url", "", kind="url", category="suspicious_url")
 

@@ -4,8 +4,8 @@
 row per element that a rule looks at; every rule is an expression over those rows.
 """
 
-from html import escape
-from html.parser import HTMLParser
+import re
+from html import escape, unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,89 +28,124 @@ _ENDED_BY = {
     "p": {"p", "div", "ul", "ol", "dl", "li", "table", "tr", "td", "th", "pre", "hr", "center", "address",
           "blockquote", "h1", "h2", "h3", "h4", "h5", "h6"},
 }
+_ALWAYS = {"script", "iframe", "form", "a", "input"}
+_MARKS = {"style", "hidden", "class"}
 _USED = {"src", "integrity", "href", "style", "width", "height", "sandbox", "aria-hidden", "action", "type",
          "name", "value", "hidden", "class"}
 
 
-class _Elements(HTMLParser):
-    """Collects the elements the rules need, with text and re-serialised source."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.rows, self.open, self.pieces, self.texts = [], [], [], []
-        self.length, self.forms, self.form = 0, 0, None
+# Start tags with their attributes, end tags, and everything else in angle brackets.  All
+# repetitions are possessive, so broken markup cannot make the search go back.
+_MARKUP = re.compile(r"""
+    <!--(?P<comment>.*?)(?:--!?>|\Z)
+  | <(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+)>
+  | </(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>
+  | <[!?/][^>]*+>""", re.S | re.X)
+_ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title")}
+
+
+def _attributes(source):
+    values = {}
+    for name, value in _ATTRIBUTE.findall(source):
+        if value[:1] in ("'", '"'):
+            value = value[1:-1]
+        values.setdefault(name.lower(), unescape(value) if "&" in value else value)
+    if "class" in values:
+        values["class"] = " ".join(values["class"].split())
+    return values
+
+
+class _Page:
+    """One page's elements; ``parts`` are (kind, value) pieces of its normalised source."""
+
+    def __init__(self, text):
+        self.rows, self.open, self.parts, self.forms, self.form = [], [], [], 0, None
+        place = 0
+        while True:
+            found = _MARKUP.search(text, place)
+            self._text(text[place:found.start() if found else len(text)])
+            if not found:
+                break
+            place = found.end()
+            kind = found.lastgroup
+            if kind == "attrs":
+                tag = found["start"].lower()
+                self._start(tag, found["attrs"])
+                if tag in _RAW_END:
+                    end = _RAW_END[tag].search(text, place)
+                    stop = end.start() if end else len(text)
+                    self.parts.append(("code" if tag in ("script", "style") else "text", text[place:stop]))
+                    place = stop
+            elif kind == "end":
+                self._end(found["end"].lower())
+            else:
+                self.parts.append(("markup", found.group(0)))
+        while self.open:
+            self._close()
 
-    def _put(self, piece):
-        self.pieces.append(piece)
-        self.length += len(piece)
+    def _text(self, text):
+        if text:
+            self.parts.append(("text", text))
 
-    def handle_starttag(self, tag, attrs):
+    def _start(self, tag, source):
         while self.open and tag in _ENDED_BY.get(self.open[-1]["tag"], ()):
             self._close()
-        values = {}
-        for name, value in attrs:
-            values.setdefault(name, value or "")
-        if "class" in values:
-            values["class"] = " ".join(values["class"].split())
-        row = {"tag": tag, "attrs": values, "begin": self.length, "text_from": len(self.texts),
-               "form": self.form, "types": []}
+        values = _attributes(source) if source else {}
+        row = {"tag": tag, "attrs": values, "begin": len(self.parts), "form": self.form, "types": []}
         if tag == "form":
             self.forms += 1
-            self.form = row
-            row["number"] = self.forms
+            self.form, row["number"] = row, self.forms
         elif tag == "input" and self.form is not None:
             self.form["types"].append(values.get("type", ""))
-        shown = "".join(f" {n}={_quoted(v)}" for n, v in values.items())
-        self._put(f"<{tag}{shown}/>" if tag in _VOID else f"<{tag}{shown}>")
-        if tag in ("script", "iframe", "form", "a", "input") or {"style", "hidden", "class"} & values.keys():
+        self.parts.append(("start", row))
+        if tag in _ALWAYS or not _MARKS.isdisjoint(values):
             self.rows.append(row)
         if tag in _VOID:
-            row["end"], row["text_to"] = self.length, len(self.texts)
+            row["end"] = len(self.parts)
         else:
             self.open.append(row)
 
-    def handle_startendtag(self, tag, attrs):
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self.handle_endtag(tag)
-
     def _close(self):
         row = self.open.pop()
-        self._put(f"</{row['tag']}>")
-        row["end"], row["text_to"] = self.length, len(self.texts)
+        self.parts.append(("markup", f"</{row['tag']}>"))
+        row["end"] = len(self.parts)
         if row is self.form:
             self.form = None
 
-    def handle_endtag(self, tag):
+    def _end(self, tag):
         if any(row["tag"] == tag for row in self.open):
             while self.open[-1]["tag"] != tag:
                 self._close()
             self._close()
 
-    def handle_data(self, data):
-        raw = self.open and self.open[-1]["tag"] in ("script", "style")
-        if raw:
-            self.open[-1].setdefault("code", []).append(data)
-        else:
-            self.texts.append(data)
-        self._put(data if raw else escape(data, quote=False))
-
-    def handle_comment(self, data):
-        self._put(f"<!--{data}-->")
-
-    def finish(self, text):
-        self.feed(text)
-        self.close()
-        while self.open:
-            self._close()
-        source = "".join(self.pieces)
+    def _source(self, row):
+        """What is shown of an element: its normalised source up to the longest cut."""
+        out, length = [], 0
+        for place in range(row["begin"], row["end"]):
+            kind, value = self.parts[place]
+            if kind == "start":
+                tag = value["tag"]
+                value = f"<{tag}" + "".join(f" {n}={_quoted(v)}" for n, v in value["attrs"].items()) + (
+                    "/>" if tag in _VOID else ">")
+            elif kind == "text":
+                value = escape(unescape(value), quote=False)
+            out.append(value)
+            length += len(value)
+            if length >= SHOWN:
+                break
+        return "".join(out)[:SHOWN]
+
+    def elements(self):
         for number, row in enumerate(self.rows):
-            form = row if row["tag"] == "form" else row["form"]
-            text = "".join(row.get("code", ())) if row["tag"] == "script" else (
-                "".join(self.texts[row["text_from"]:row["text_to"]]) if row["tag"] == "a" else None)
-            yield (number, row["tag"], [(n, v) for n, v in row["attrs"].items() if n in _USED], text,
-                   source[row["begin"]:min(row["end"], row["begin"] + SHOWN)],
-                   form and form["number"], row["types"] if row["tag"] == "form" else None)
+            form, tag = row if row["tag"] == "form" else row["form"], row["tag"]
+            text = None
+            if tag in ("a", "script"):
+                inner = self.parts[row["begin"]:row["end"]]
+                text = "".join(unescape(v) if k == "text" else v for k, v in inner
+                               if k == ("text" if tag == "a" else "code"))
+            yield (number, tag, [(n, v) for n, v in row["attrs"].items() if n in _USED], text, self._source(row),
+                   form and form["number"], row["types"] if tag == "form" else None)
 
 
 def _quoted(value):
@@ -131,7 +166,7 @@ def _parse(batches):
         rows = []
         for page_id, location, content in zip(*(column.to_pylist() for column in batch.columns)):
             try:
-                rows += [(page_id, location, *row) for row in _Elements().finish(content)]
+                rows += [(page_id, location, *row) for row in _Page(content).elements()]
             except Exception as error:  # one broken page must not stop the scan
                 rows.append((page_id, location, -1, "#error", [], str(error), None, None, None))
         columns = zip(*rows) if rows else ([] for _ in _ARROW)

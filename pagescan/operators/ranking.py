@@ -26,7 +26,8 @@ def numbered(df: DataFrame, group: str | None, *order, name: str = "no") -> Data
     position, so they spread over partitions as well.
     """
     key = F.col(group) if group else F.lit("all")
-    keyed = df.withColumn("_group", key).withColumn("_input", F.monotonically_increasing_id())
+    # Sorting by range reads its input twice, which must not mean computing it twice.
+    keyed = checkpointed(df).withColumn("_group", key).withColumn("_input", F.monotonically_increasing_id())
     placed = (keyed.repartitionByRange("_group", *order, "_input").sortWithinPartitions("_group", *order, "_input")
               .withColumn("_part", F.spark_partition_id()).withColumn("_place", F.monotonically_increasing_id()))
     # Written down, because the numbers and the counts must see the same partitions.

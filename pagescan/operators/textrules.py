@@ -27,51 +27,77 @@ _KEPT = ("rule", *_LABELS)
 
 # --- matches ---------------------------------------------------------------------
 
-def _entry(rule: C.Rule, number: int) -> str:
-    guarded = "folded" if "i" in rule.flags or rule.java else "content"
+_URL_GUARDS = {V.URL_HTTP: "http", V.URL_PATH: "/", V.URL_JAVASCRIPT: "javascript:", V.URL_DATA: ";base64,"}
+
+
+def _guards(rules, keywords=()) -> list[str]:
+    """The literals whose presence decides which patterns are tried."""
+    words = {guard.lower() for rule in rules for guard in rule.guards}
+    if any(rule.kind == "url" for rule in rules):
+        words |= set(_URL_GUARDS.values())
+    words |= {k["needle"] for k in keywords if k["needle"].isascii()}
+    return sorted(word for word in words if len(word) > 1)
+
+
+def _seen(guards, words) -> str:
+    """One of the guards occurs on the page."""
+    return "(" + " OR ".join(f"contains(folded, {lit(g.lower())})" if len(g) == 1 else f"sees_{words.index(g.lower())}"
+                              for g in guards) + ")"
+
+
+def _entry(rule: C.Rule, number: int, words) -> str:
     fixed = dict(rule=lit(number), margin=lit(rule.margin), until=f"CAST({lit(rule.until)} AS INT)", **_UNLABELLED)
     rx = lit(rule.regex())
-    if rule.upto:
-        head = f"regexp_extract(content, {lit('(?s)^.*' + to_java(f'(?:{rule.upto})', rule.flags))}, 0)"
+    if rule.upto or rule.tail:
+        head = (f"left(content, length(content) - length(substring_index(content, {lit(rule.upto)}, -1)))" if rule.upto
+                else f"regexp_extract(content, {lit('(?s)^.*' + to_java(f'(?:{rule.tail})', rule.flags))}, 0)")
         entry = let(lambda v: pieces(f"{v}.head", rx, rule.groups, rule.at_least,
                                      rest=from_char("content", f"length({v}.head) + 1"), **fixed), head=head)
     else:
         entry = pieces("content", rx, rule.groups, rule.at_least, **fixed)
-    conditions = [contains_any(guarded, rule.guards)] if rule.guards else []
+    conditions = [_seen(rule.guards, words)] if rule.guards else []
     if rule.requires:
         conditions.append(has_match("content", rule.requires, rule.flags))
     return when(" AND ".join(conditions) or None, entry)
 
 
-def _keyword_entries(number: int, keywords: list[dict]) -> str:
-    """One entry per keyword that occurs; pages without any candidate letter stop early."""
-    table = "array(" + ", ".join(struct(
-        label=lit(k["keyword"]), needle=lit(k["needle"]), pattern=lit(k["pattern"]),
-        note=lit(k["category_name"]), level=lit(k["weight"])) for k in keywords) + ")"
-    gates = [k["needle"] for k in keywords if k["needle"].isascii()]
-    gate = [contains_any("folded", gates)] if gates else []
-    letters = sorted({next(c for c in k["needle"] if ord(c) > 127)
-                      for k in keywords if not k["needle"].isascii()})
-    if letters:
-        low, high = (rf"\x{{{ord(c):x}}}" for c in (letters[0], letters[-1]))
-        gate.append(f"(octet_length(content) > char_length(content) AND rlike(folded, {lit(f'[{low}-{high}]')}))")
+def _keyword_entries(number: int, keywords: list[dict], words) -> str:
+    """One entry per keyword that occurs.
 
+    The ones with other than ASCII letters are looked up in what remains of the page without
+    ordinary text: the runs of letters in the range the keywords use.
+    """
     def entry(k):
         return pieces("content", f"{k}.pattern", rule=lit(number), margin=lit(C.KEYWORD.margin),
                       until="CAST(NULL AS INT)", **{name: f"{k}.{name}" for name in _LABELS})
 
-    found = each("filter", table, lambda k: f"contains(folded, {k}.needle)")
-    return when(" OR ".join(gate), each("transform", found, entry))
+    def table(rows):
+        return "array(" + ", ".join(struct(
+            label=lit(k["keyword"]), needle=lit(k["core"]), pattern=lit(k["pattern"]),
+            note=lit(k["category_name"]), level=lit(k["weight"])) for k in rows) + ")"
+
+    parts = []
+    plain = [k for k in keywords if k["needle"].isascii()]
+    if plain:
+        found = each("filter", table(plain), lambda k: f"contains(folded, {k}.needle)")
+        parts.append(when(_seen([k["needle"] for k in plain], words), each("transform", found, entry)))
+    wide = [k for k in keywords if not k["needle"].isascii()]
+    if wide:
+        letters = sorted({c for k in wide for c in k["core"]})
+        low, high = (rf"\x{{{ord(c):x}}}" for c in (letters[0], letters[-1]))
+        found = let(lambda v: each("filter", table(wide), lambda k: f"contains({v}.runs, {k}.needle)"),
+                    runs=f"regexp_replace(folded, {lit(f'[^{low}-{high}]+')}, ' ')")
+        parts.append(when(f"octet_length(content) > char_length(content) AND rlike(folded, {lit(f'[{low}-{high}]')})",
+                          each("transform", found, entry)))
+    return f"flatten({only(*parts)})"
 
 
-def url_spans(patterns) -> str:
+def _url_spans(patterns, words) -> str:
     """First occurrence of each URL of a page: ``array<struct<text, number, start, stop, context>>``.
 
     Sorting by URL finds the first occurrences without a shuffle or a quadratic search.
     """
-    guards = {V.URL_HTTP: "http", V.URL_PATH: "/", V.URL_JAVASCRIPT: "javascript:", V.URL_DATA: ";base64,"}
-    entries = only(*[when(f"contains(folded, {lit(guards[rx])})",
-                          pieces("content", lit(to_java(rx, "i")), number=lit(i)))
+    entries = only(*[when(_seen([_URL_GUARDS[rx]], words), pieces("content", lit(to_java(rx, "i")), number=lit(i)))
                      for i, rx in enumerate(patterns)])
     found = "flatten(" + each("transform", entries, lambda e: each(
         "transform", spans(e, "50", keep=("number",)), lambda s: struct(
@@ -94,23 +120,30 @@ def extract_urls(pages: DataFrame) -> DataFrame:
             f"NOT (startswith({u}.text, '/') AND contains({w}.web, {u}.text))")),
             web=f"array_join({each('transform', web, lambda u: f'{u}.text')}, '\n')")
 
-    found = let(kept, urls=url_spans([V.URL_HTTP, V.URL_PATH, V.URL_JAVASCRIPT, V.URL_DATA]))
-    return (_folded(pages).selectExpr("page_id", "location", f"inline({found})")
+    words = _guards([C.URL])
+    found = let(kept, urls=_url_spans([V.URL_HTTP, V.URL_PATH, V.URL_JAVASCRIPT, V.URL_DATA], words))
+    return (_folded(pages, words).selectExpr("page_id", "location", f"inline({found})")
             .selectExpr("page_id", "location", "text AS url", "context", "start AS pos_start",
                         "stop AS pos_end", "number AS pattern_no"))
 
 
-def _folded(pages: DataFrame) -> DataFrame:
-    return pages.selectExpr("page_id", "location", "content", f"{fold('content')} AS folded")
+def _folded(pages: DataFrame, words) -> DataFrame:
+    """Pages with their folded text and a column per guard word: does it occur?
+
+    The searches are a projection of their own, so they run as generated code and once per
+    word, not interpreted within the large expression that uses them.
+    """
+    folded = pages.selectExpr("page_id", "location", "content", f"{fold('content')} AS folded")
+    return folded.selectExpr("*", *[f"contains(folded, {lit(w)}) AS sees_{i}" for i, w in enumerate(words)])
 
 
 def _hits(pages: DataFrame, rules, keywords) -> DataFrame:
     """Exploded matches: page_id, location and one struct ``hit`` per match."""
-    numbers = {r.kind: i for i, r in enumerate(rules)}
-    plain = [_entry(r, i) for i, r in enumerate(rules) if r.kind not in ("keyword", "url")]
+    numbers, words = {r.kind: i for i, r in enumerate(rules)}, _guards(rules, keywords)
+    plain = [_entry(r, i, words) for i, r in enumerate(rules) if r.kind not in ("keyword", "url")]
     entries = [only(*plain)] if plain else []
     if "keyword" in numbers:
-        entries += [_keyword_entries(numbers["keyword"], keywords[i:i + 1000])
+        entries += [_keyword_entries(numbers["keyword"], keywords[i:i + 1000], words)
                     for i in range(0, len(keywords), 1000)]
     arrays = []
     if entries:
@@ -120,10 +153,10 @@ def _hits(pages: DataFrame, rules, keywords) -> DataFrame:
             e, f"{e}.margin", f"{e}.until", keep=_KEPT)) + ")")
     if "url" in numbers:
         # Rooted paths never score, so findings need the other three shapes only.
-        arrays.append(each("transform", url_spans([V.URL_HTTP, V.URL_JAVASCRIPT, V.URL_DATA]), lambda u: struct(
+        arrays.append(each("transform", _url_spans([V.URL_HTTP, V.URL_JAVASCRIPT, V.URL_DATA], words), lambda u: struct(
             text=f"{u}.text", start=f"{u}.start", stop=f"{u}.stop", before=f"{u}.context", after="''",
             g1="CAST(NULL AS STRING)", g2="CAST(NULL AS STRING)", n="1", rule=lit(numbers["url"]), **_UNLABELLED)))
-    return _folded(pages).selectExpr("page_id", "location", f"inline(concat({', '.join(arrays)}))")
+    return _folded(pages, words).selectExpr("page_id", "location", f"inline(concat({', '.join(arrays)}))")
 
 
 # --- matches to findings -----------------------------------------------------------
@@ -149,13 +182,11 @@ def _plain():
 
 
 def _js_call():
-    def level(table):
-        return f"element_at(map({', '.join(lits(pair) for pair in table.items())}), g1)"
-
-    operation = level(V.JS_DOM_OPERATIONS)
-    return only(_row(severity=level(V.JS_HIGH_RISK), rule_id="concat('js:high_risk:', g1)", function="g1"),
-                when(f"{operation} IS NOT NULL", _row(
-                    severity=operation, rule_id="concat('js:dom:', g1)", operation="g1")))
+    """Calls that change the document count under a second rule as well."""
+    name = "r.metadata['function']"
+    return only(_row(), when(f"{name} IN ({lits(V.JS_DOM_OPERATIONS)})", finding(
+        f"concat('js:dom:', {name})", "r.severity", "r.category", "r.source_type", "text", _CONTEXT, "start", "stop",
+        metadata={"operation": name})))
 
 
 def _count(evidence: str, number: str = "n") -> str:
@@ -178,15 +209,16 @@ def _css_count():
 def _css_value():
     """``opacity: 0.00`` holds the listed values 0, 0.0 and 0.00: one finding for each."""
     listed = "element_at(map(" + ", ".join(
-        f"{lit(prop)}, array({lits(values)})" for prop, values in V.CSS_HIDING_VALUES.items()) + f"), {fold('g1')})"
-    held = each("filter", listed, lambda v: f"startswith({fold('g2')}, lower({v}))")
+        f"{lit(prop)}, array({lits(values)})" for prop, values in V.CSS_HIDING_VALUES.items()
+        ) + "), r.metadata['property'])"
+    held = each("filter", listed, lambda v: f"startswith({fold('g1')}, lower({v}))")
 
     def one(value):
-        evidence = f"left(text, length(text) - length(g2) + length({value}))"
-        tail = f"left(concat({from_char('g2', f'length({value}) + 1')}, after), 50)"
-        return finding(f"concat('css:hiding:', {fold('g1')})", "3", "'hidden_element'", "'css'", evidence,
+        evidence = f"left(text, length(text) - length(g1) + length({value}))"
+        tail = f"left(concat({from_char('g1', f'length({value}) + 1')}, after), 50)"
+        return finding("r.key", "r.severity", "r.category", "r.source_type", evidence,
                        one_line(f"concat(before, {evidence}, {tail})"), "start", f"start + length({evidence})",
-                       metadata={"property": fold("g1"), "value": value})
+                       metadata={"property": "r.metadata['property']", "value": value})
 
     return each("transform", held, one)
 

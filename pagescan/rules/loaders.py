@@ -57,7 +57,7 @@ def keyword_table(rows) -> list[dict]:
     unique = {}
     for keyword, category, weight in rows:
         unique.setdefault(keyword, (category, weight))
-    return [{"keyword": keyword, "needle": _folded(keyword), "pattern": _keyword_pattern(keyword),
+    return [{"keyword": keyword, "needle": _folded(keyword), "core": _core(_folded(keyword)), "pattern": _keyword_pattern(keyword),
              "category_name": V.KEYWORD_CATEGORIES.get(category, V.KEYWORD_CATEGORIES["other"]),
              "weight": weight} for keyword, (category, weight) in unique.items()]
 
@@ -67,6 +67,11 @@ def _folded(keyword: str) -> str:
     return keyword.translate(str.maketrans("İıſςΣ", "iisσσ")).lower()
 
 
+def _core(needle: str) -> str:
+    """The longest run of a keyword without ASCII characters, if it has any."""
+    return max(re.findall(r"[^\x00-\x7f]+", needle), key=len, default=needle)
+
+
 def _keyword_pattern(keyword: str) -> str:
     literal = re.escape(keyword)
     if re.fullmatch("[A-Za-z]{1,2}", keyword):

@@ -157,7 +157,7 @@ CSS_HIDING_VALUES = {
 CSS_ABSOLUTE = (r"(?:\G|(?<=\{))([^{#\w]*?)\.?[#\w][^{]+\{[^}]*"
                 r"(?:left|top|right|bottom)\s*:\s*-\d{3,}(?:px|em|%)")
 CSS_ABSOLUTE_DIGITS = r"-(\d{3,})(?:px|em|%)$"
-CSS_ABSOLUTE_TAIL = r"(?:left|top|right|bottom)\s*:\s*-\d{3,}(?:px|em|%)"
+CSS_OFFSET = r":\s*-\d{3,}(?:px|em|%)"
 CSS_SELECTORS = [
     ("attr_js", r"\[[^\]]+=[^\]]*(?:javascript:|data:)[^\]]*\]", 4, "属性选择器中的 JS/Data URL",
      ["javascript:", "data:"]),

@@ -19,6 +19,15 @@ def fetch_errors(table: DataFrame, url="url", html="html") -> DataFrame:
         f"{url} AS location", "'fetch' AS stage", f"concat({lit(V.ERROR_FETCH)}, {url}) AS message")
 
 
+def spread(pages: DataFrame) -> DataFrame:
+    """Pages over all cores where the input has fewer partitions than that, as one small
+    file has; large inputs stay as they are read."""
+    wanted = pages.sparkSession.sparkContext.defaultParallelism
+    if pages.isStreaming or pages.rdd.getNumPartitions() >= wanted:
+        return pages
+    return pages.repartition(wanted, "page_id")
+
+
 def first_of_location(pages: DataFrame) -> DataFrame:
     """Each location once, with its lowest page_id.
 

@@ -8,8 +8,13 @@ from pagescan.operators.ranking import numbered
 from pagescan.operators.rollups import section, statistics
 from pagescan.rules import values as V
 
-_ORDER = ["location", "page_id", F.desc("severity"), "rule_id", "pos_start", "evidence", "context"]
-_BY_SEVERITY = [F.desc("severity"), "location", "page_id", "rule_id", "pos_start", "evidence", "context"]
+
+def _by_location():
+    return ["location", "page_id", F.desc("severity"), "rule_id", "pos_start", "evidence", "context"]
+
+
+def _by_severity():
+    return [F.desc("severity"), "location", "page_id", "rule_id", "pos_start", "evidence", "context"]
 
 
 def formula_guard(value: str) -> str:
@@ -21,7 +26,7 @@ def formula_guard(value: str) -> str:
 def csv_rows(findings: DataFrame) -> DataFrame:
     """The eight columns of the CSV report, numbered."""
     shaped = findings.withColumns({c: F.expr(f"left({formula_guard(c)}, 200)") for c in ("evidence", "context")})
-    return numbered(shaped, None, *_ORDER).select(
+    return numbered(shaped, None, *_by_location()).select(
         "no", "rule_id", "category", "severity", "source_type", "location", "evidence", "context")
 
 
@@ -44,7 +49,7 @@ def write_json(findings: DataFrame, path: str, **about) -> None:
 def text_rows(findings: DataFrame) -> DataFrame:
     """The entries of the text report: suspicious URLs and keyword matches."""
     listed = findings.where("category IN ('suspicious_url', 'keyword_match')")
-    return numbered(listed, "category", *_ORDER).selectExpr(
+    return numbered(listed, "category", *_by_location()).selectExpr(
         "category AS section", "no", "evidence", "location", "concat(severity, '/10') AS severity",
         "array_join(reasons, ', ') AS reasons", "left(context, 150) AS context",
         "metadata['category'] AS keyword_category", "metadata['weight'] AS weight")
@@ -65,6 +70,6 @@ def section_rows(findings: DataFrame) -> DataFrame:
         "CASE section " + " ".join(f"WHEN {lit(s)} THEN left({col}, {cut[i]})" for s, cut in cuts.items())
         + f" ELSE left({col}, {rest}) END AS {col}" for i, (col, rest) in enumerate((("evidence", 120), ("context", 250))))
     titles = " ".join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in V.SECTIONS.items())
-    return numbered(findings.withColumn("section", section()), "section", *_BY_SEVERITY).selectExpr(
+    return numbered(findings.withColumn("section", section()), "section", *_by_severity()).selectExpr(
         "section", f"CASE section {titles} END AS title", "no", "rule_id", "severity", "location",
         evidence, context)
