@@ -9,17 +9,21 @@ import re
 SPACE = r"\s\x1c-\x1f\x85\p{Z}"
 WORD = r"\p{L}\p{N}_"
 _BEFORE, _AFTER = f"(?<![{WORD}])", f"(?![{WORD}])"
-_CLASSES = {"s": (SPACE, f"[{SPACE}]"), "S": (r"\S", f"[^{SPACE}]"),
-            "w": (WORD, f"[{WORD}]"), "W": (r"\W", f"[^{WORD}]"),
+_CLASSES = {"s": (SPACE, f"[{SPACE}]"), "S": ("", f"[^{SPACE}]"),
+            "w": (WORD, f"[{WORD}]"), "W": ("", f"[^{WORD}]"),
             "d": (r"\p{Nd}", r"\p{Nd}"), "D": (r"\P{Nd}", r"\P{Nd}"),
             "Z": ("Z", r"\z")}
 _WORD_START = re.compile(r"[A-Za-z]+(?![A-Za-z?*+{])")
 _FLAGS = {"i": "iu", "s": "s", "m": "m"}
-_TOKEN = re.compile(r"\\.|\(\?P<|\(\?P=(\w+)\)|\{,(\d+)\}|\{\d+,?\d*\}|&&|.", re.S)
+_ANYTHING = r"\[(?:\\s\\S|\\S\\s|\\w\\W|\\W\\w|\\d\\D|\\D\\d)\]"
+_TOKEN = re.compile(_ANYTHING + r"|\\.|\(\?P<|\(\?P=(\w+)\)|\{,(\d+)\}|\{\d+,?\d*\}|&&|.", re.S)
 
 
 def to_java(pattern: str, flags: str = "") -> str:
-    """The Java pattern that matches what ``re.compile(pattern, flags)`` matches."""
+    """The Java pattern that matches what ``re.compile(pattern, flags)`` matches.
+
+    ValueError where Java has no equal form.
+    """
     out, in_class, first, skip = [], False, False, 0
     for token in _TOKEN.finditer(pattern):
         if token.start() < skip:
@@ -27,7 +31,11 @@ def to_java(pattern: str, flags: str = "") -> str:
         t = token.group(0)
         escaped = t[1] if t[0] == "\\" else ""
         opened = False
-        if escaped == "b" and not in_class:
+        if re.fullmatch(_ANYTHING, t) and not in_class:
+            out.append("(?s:.)")
+        elif in_class and escaped in ("W", "S"):
+            raise ValueError(f"negated class inside a class: {pattern}")
+        elif escaped == "b" and not in_class:
             word = _WORD_START.match(pattern, token.end())
             if word:
                 # The word first, then the look back: the JVM searches for literals much faster.
