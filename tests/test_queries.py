@@ -8,9 +8,9 @@ import pytest
 
 import __spark_entry__ as entry
 from oracle.compare import differences
+from oracle.queries import ORACLE, QUERIES
 from tests.conftest import SF
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
 CHECKED = ["mod2_whole_scan", "mod1_fast_scan", "url4_extract_urls", "url5_url_risk", "key2_short_words", "cus1_user_rules",
            "src3_directory_scan", "src5_binary_filter", "src9_target_types", "src10_keyword_rows", "ren2_hidden_element",
            "ren3_hidden_link", "ren5_cloaking", "agg1_statistics", "agg5_page_verdicts", "agg6_counters", "set2_first_of_location",
