@@ -4,16 +4,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagescan.llm.common import documents
+from pagescan.llm.decontaminate import search
 from pagescan.llm.mixing import mix
+from pagescan.llm.oracles import ORACLE
+from pagescan.llm.quality import judge
 from pagescan.llm.sharding import shard
 from pagescan.llm.simhash import near_duplicates
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(documents(spark, sf_dir))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("copies")
 
@@ -22,5 +33,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
-QUERIES = {"op5_simhash": op5_simhash, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
-ORACLE: dict[str, str] = {}
+QUERIES = {"op4_decontamination": op4_decontamination, "op7_quality": op7_quality,
+           "op5_simhash": op5_simhash, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+
+__all__ = ["ORACLE", "QUERIES"]
