@@ -40,7 +40,7 @@ WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS h
      line AS (SELECT DISTINCT host, t, line, len({_words("line")}) AS n FROM norm),
      docs AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
      freq AS (SELECT host, line FROM line JOIN docs USING (host) GROUP BY host, line, docs
-              HAVING count(*) > 20 AND count(*) > docs * 0.05),
+              HAVING count(*) > 10 AND count(*) > docs * 0.02),
      judged AS (SELECT host, t, sum(n) AS all_n, coalesce(sum(n) FILTER (f.line IS NOT NULL), 0) AS removed
                 FROM line LEFT JOIN freq f USING (host, line) GROUP BY host, t),
      base AS (SELECT rid, doc_id, host, t, len(ws) AS n_words, length(regexp_replace(t, '{_SPACE}', '', 'g')) AS word_chars,
@@ -80,4 +80,74 @@ SELECT doc_id, size, source_size, target,
 FROM r
 """
 
-ORACLE = {"op4_decontamination": OP4, "op7_quality": OP7, "op8_mixing": OP8}
+OP1 = r"""
+WITH rules(h, p, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
+       ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+     u AS (SELECT row_number() OVER () AS rid, page_id,
+                  translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''),
+                            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+     fit AS (SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict
+             FROM u JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM u LEFT JOIN fit USING (rid)
+"""
+
+
+def _op3() -> str:
+    """Offsets come from the pieces between matches; plain forms of the patterns."""
+    from pagescan.llm.pii import CONTEXT_BONUS, CONTEXT_CHARS, CONTEXT_WORDS, KINDS, SCORES, WANTED
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}\b",
+        "local_phone": r"\(?\b[0-9]{2,4}\)?[\x20-][0-9]{3,4}[\x20-][0-9]{3,4}\b",
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn = (f"list_sum(list_transform(range(length({digits})), lambda i: CASE WHEN i % 2 = 0 THEN d[length({digits}) - i] "
+            f"ELSE (2 * d[length({digits}) - i]) // 10 + (2 * d[length({digits}) - i]) % 10 END)) % 10 = 0")
+    plain = "replace(m, ' ', '')"
+    valid = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda p: length(ltrim(p, '0')) > 3 OR CAST(right(p, 3) AS INT) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 14 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 10 AND 15",
+        "iban": f"length({plain}) BETWEEN 15 AND 34 AND list_reduce(list_prepend(0, list_transform("
+                f"string_split({plain}[5:] || {plain}[:4], ''), lambda c: CASE WHEN c <= '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END)), "
+                f"lambda a, x: CASE WHEN x < 10 THEN (a * 10 + x) % 97 ELSE (a * 100 + x) % 97 END) = 1",
+        "local_phone": "true",
+    }
+    ways = []
+    for rank, kind in enumerate(KINDS):
+        heard = r"(?i)\b(?:" + "|".join(CONTEXT_WORDS[kind]) + r")\b"
+        ways.append(f"""
+  SELECT rid, {rank} AS rank, '{kind}' AS kind, start, start + length(m) AS stop FROM (
+    SELECT rid, m, d, CAST(start AS BIGINT) AS start, {SCORES[kind]} + CASE WHEN regexp_matches(right(gap, {CONTEXT_CHARS}) || ' ' || left(next, {CONTEXT_CHARS}),
+             '{heard}') THEN {CONTEXT_BONUS} ELSE 0 END AS score
+    FROM (SELECT rid, ms[i] AS m, list_transform(string_split(regexp_replace(ms[i], '[^0-9]', '', 'g'), ''), lambda c: TRY_CAST(c AS INT)) AS d,
+                 gs[i] AS gap, gs[i + 1] AS next,
+                 coalesce(sum(length(gs[i]) + length(ms[i])) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(gs[i]) AS start
+          FROM (SELECT rid, ms, gs, unnest(range(1, len(ms) + 1)) AS i
+                FROM (SELECT rid, regexp_extract_all(t, '{patterns[kind]}') AS ms,
+                             regexp_split_to_array(t, '{patterns[kind]}') AS gs FROM d))))
+  WHERE {valid[kind]} AND score >= {WANTED}""")
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+     s AS ({" UNION ALL ".join(ways)}),
+     base AS (SELECT * FROM s WHERE rank < 4),
+     iban AS (SELECT * FROM s WHERE rank = 4 AND NOT EXISTS (FROM base b WHERE b.rid = s.rid AND b.rank <> 2
+                AND s.start < b.stop AND b.start < s.stop)),
+     firm AS (SELECT * FROM base UNION ALL SELECT * FROM iban),
+     every AS (SELECT * FROM firm UNION ALL SELECT * FROM s WHERE rank = 5 AND NOT EXISTS (FROM firm f
+                WHERE f.rid = s.rid AND s.start < f.stop AND f.start < s.stop)),
+     g AS (SELECT rid, count(*) FILTER (rank = 0) AS e, count(*) FILTER (rank = 1) AS i, count(*) FILTER (rank = 2) AS c,
+                  count(*) FILTER (rank = 3) AS p,
+                  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) FILTER (rank < 4) AS b,
+                  string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS a FROM every GROUP BY rid)
+SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0) AS n_card, coalesce(p, 0) AS n_phone,
+       sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans FROM d LEFT JOIN g USING (rid)
+"""
+
+
+ORACLE = {"op1_url_filters": OP1, "op3_pii": _op3(), "op4_decontamination": OP4, "op7_quality": OP7, "op8_mixing": OP8}

@@ -12,7 +12,7 @@ from pagescan.functions.text import let
 from pagescan.llm.common import SPACE, kept, small, word_count
 
 #: A line is frequent above this many documents of its host and above this share of them.
-LEAST_DOCUMENTS, SHARE = 20, 0.05
+LEAST_DOCUMENTS, SHARE = 10, 0.02
 #: Rejected if less than this share of the words of its distinct lines is left.
 LEFT = 0.5
 

@@ -7,9 +7,23 @@ from pagescan.llm.common import documents
 from pagescan.llm.decontaminate import search
 from pagescan.llm.mixing import mix
 from pagescan.llm.oracles import ORACLE
+from pagescan.llm.pii import digest, find
 from pagescan.llm.quality import judge
 from pagescan.llm.sharding import shard
 from pagescan.llm.simhash import near_duplicates
+from pagescan.llm.url_filters import judge_urls
+
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
+             ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host STRING, path STRING, verdict STRING")
+    return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find(documents(spark, sf_dir)))
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,7 +47,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
-QUERIES = {"op4_decontamination": op4_decontamination, "op7_quality": op7_quality,
+QUERIES = {"op1_url_filters": op1_url_filters, "op3_pii": op3_pii,
+           "op4_decontamination": op4_decontamination, "op7_quality": op7_quality,
            "op5_simhash": op5_simhash, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
 
 __all__ = ["ORACLE", "QUERIES"]
