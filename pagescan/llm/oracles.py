@@ -150,4 +150,71 @@ SELECT doc_id, coalesce(e, 0) AS n_email, coalesce(i, 0) AS n_ip, coalesce(c, 0)
 """
 
 
-ORACLE = {"op1_url_filters": OP1, "op3_pii": _op3(), "op4_decontamination": OP4, "op7_quality": OP7, "op8_mixing": OP8}
+OP9 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+     raw AS (SELECT rid, doc_id, t, no, ls[no] AS line FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS no
+               FROM (SELECT *, string_split(t, chr(10)) AS ls FROM d))),
+     l AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, t, no) AS ord FROM (
+             SELECT *, {_words("lower(line)")} AS w FROM raw) WHERE len(w) > 0),
+     u AS (SELECT array_to_string(w, ' ') AS norm, any_value(w) AS w, min(ord) AS first FROM l GROUP BY 1),
+     v AS (SELECT norm, first, len(w) AS n, i, array_to_string(list_concat(w[:i - 1], w[i + 1:]), ' ') AS rest
+           FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM u WHERE len(w) >= 5)),
+     x AS (SELECT norm FROM (SELECT norm, first, min(first) OVER (PARTITION BY n, i, rest) AS early FROM v) WHERE early < first),
+     y AS (SELECT CASE WHEN v.first > u.first THEN v.norm ELSE u.norm END AS norm
+           FROM v JOIN u ON u.norm = v.rest WHERE len(u.w) >= 5),
+     near AS (SELECT norm FROM x UNION SELECT norm FROM y),
+     flag AS (SELECT rid, no, ord <> first AS exact, near.norm IS NOT NULL AS near
+              FROM l JOIN u ON u.norm = array_to_string(l.w, ' ') LEFT JOIN near ON near.norm = u.norm)
+SELECT any_value(raw.doc_id) AS doc_id, count(flag.no) AS n_lines, count(*) FILTER (exact) AS n_exact,
+       count(*) FILTER (near AND NOT exact) AS n_near,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY raw.no) FILTER (NOT coalesce(exact OR near, false)), '')) AS text_sha256
+FROM raw LEFT JOIN flag USING (rid, no) GROUP BY rid
+"""
+
+#: The breaks and entities are fixed values of html_text, here for the other engine's patterns.
+_BREAKS = ("p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|title|section|article|header|footer|nav|aside|main|"
+           "blockquote|pre|hr|dl|dt|dd|form|option")
+
+
+def _op6() -> str:
+    text = r"regexp_replace(html, '<!--.*?(?:-->|\z)', '', 'gs')"
+    for name in ("script", "style"):
+        text = rf"regexp_replace({text}, '<{name}\b[^>]*(?:>.*?(?:</{name}\s*>|\z)|\z)', '', 'gsi')"
+    text = rf"regexp_replace({text}, '</?(?:{_BREAKS})\b[^>]*(?:>|\z)', chr(10), 'gi')"
+    text = rf"regexp_replace({text}, '<[/!?A-Za-z][^>]*(?:>|\z)', '', 'g')"
+    for name, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&apos;", "''"), ("&amp;", "&")):
+        text = f"replace({text}, '{name}', '{char}')"
+    text = rf"regexp_replace({text}, '[ \t\r\f\x0B]+', ' ', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g')"
+    crlf = "chr(13) || chr(10)"
+
+    def urn(*parts):
+        h = "sha256(" + " || ' ' || ".join(parts) + ")"
+        return f"('<urn:uuid:' || regexp_replace({h}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}}).*$', '\\1-\\2-\\3-\\4-\\5') || '>')"
+
+    def size(x):
+        return f"octet_length(encode({x}))"
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS html FROM pages),
+     r AS (SELECT *, {urn("'response'", "CAST(page_id AS VARCHAR)", "uri")} AS id, 'sha256:' || sha256(html) AS digest,
+                  'HTTP/1.1 200 OK' || {crlf} || 'Content-Type: text/html; charset=UTF-8' || {crlf} || 'Content-Length: '
+                  || {size("html")} AS http, {text} AS text FROM p),
+     b AS (SELECT *, 'sha256:' || sha256(http || {crlf} || {crlf} || html) AS block_of,
+                  {urn("'metadata'", "id")} AS metadata_id, {urn("'conversion'", "id")} AS conversion_id FROM r),
+     e AS (SELECT page_id, id, uri, digest, 'metadata' AS record_type, metadata_id AS record_id, conversion_id AS concurrent_to,
+                  'application/warc-fields' AS content_type,
+                  'source-status: HTTP/1.1 200 OK' || {crlf} || 'source-payload-digest: ' || digest || {crlf} || 'source-block-digest: '
+                  || block_of || {crlf} || 'source-header: Content-Type: text/html; charset=UTF-8' || {crlf}
+                  || 'source-header: Content-Length: ' || {size("html")} || {crlf} AS block FROM b
+           UNION ALL SELECT page_id, id, uri, digest, 'conversion', conversion_id, NULL, 'text/plain; charset=UTF-8', text FROM b)
+SELECT page_id, record_type, record_id, id AS refers_to, concurrent_to, nullif(uri, '') AS target_uri, content_type,
+       CAST({size("block")} AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, digest AS source_digest,
+       sha256('WARC/1.1' || {crlf} || 'WARC-Type: ' || record_type || {crlf} || 'WARC-Record-ID: ' || record_id || {crlf}
+         || 'WARC-Refers-To: ' || id || {crlf} || CASE WHEN concurrent_to IS NULL THEN '' ELSE 'WARC-Concurrent-To: ' || concurrent_to || {crlf} END
+         || 'WARC-Date: 2024-01-01T00:00:00Z' || {crlf} || CASE WHEN uri = '' THEN '' ELSE 'WARC-Target-URI: ' || uri || {crlf} END
+         || 'WARC-Block-Digest: sha256:' || sha256(block) || {crlf} || 'Content-Type: ' || content_type || {crlf}
+         || 'Content-Length: ' || {size("block")} || {crlf} || {crlf} || block || {crlf} || {crlf}) AS record_sha256 FROM e
+"""
+
+
+ORACLE = {"op1_url_filters": OP1, "op3_pii": _op3(), "op4_decontamination": OP4, "op7_quality": OP7, "op8_mixing": OP8, "op9_line_dedup": OP9, "op6_warc": _op6()}

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from pagescan.llm.common import documents
 from pagescan.llm.decontaminate import search
+from pagescan.llm.language import classify, fit
+from pagescan.llm.linededup import dedup_lines
 from pagescan.llm.mixing import mix
 from pagescan.llm.oracles import ORACLE
 from pagescan.llm.pii import digest, find
@@ -12,6 +14,7 @@ from pagescan.llm.quality import judge
 from pagescan.llm.sharding import shard
 from pagescan.llm.simhash import near_duplicates
 from pagescan.llm.url_filters import judge_urls
+from pagescan.llm.warc import derive, page_responses
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -22,6 +25,13 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = "crc32(coalesce(CAST(doc_id AS STRING), '')) % 5 = 0"
+    docs = documents(spark, sf_dir)
+    model = fit(docs.where(f"NOT ({held_out}) AND lang IS NOT NULL"))
+    return classify(docs.select("doc_id", F.expr(f"{held_out} AS held_out"), "text"), model, ["doc_id", "held_out"])
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find(documents(spark, sf_dir)))
 
@@ -35,6 +45,11 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = derive(page_responses(spark.read.parquet(f"{sf_dir}/pages.parquet")), ["page_id"])
+    return records.select("*", F.sha2("warc", 256).alias("record_sha256")).drop("warc")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(documents(spark, sf_dir))
 
@@ -43,12 +58,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).drop("copies")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(documents(spark, sf_dir)).select(
+        "doc_id", "n_lines", "n_exact", "n_near", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
-QUERIES = {"op1_url_filters": op1_url_filters, "op3_pii": op3_pii,
-           "op4_decontamination": op4_decontamination, "op7_quality": op7_quality,
-           "op5_simhash": op5_simhash, "op8_mixing": op8_mixing, "op10_sharding": op10_sharding}
+QUERIES = {f.__name__: f for f in (
+    op1_url_filters, op2_language, op3_pii, op4_decontamination, op5_simhash, op6_warc, op7_quality, op8_mixing,
+    op9_line_dedup, op10_sharding)}
 
 __all__ = ["ORACLE", "QUERIES"]
