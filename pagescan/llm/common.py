@@ -29,13 +29,19 @@ def word_count(text) -> Column:
         F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]++", "x"), r"[\x20\x09-\x0D]++", "")).cast("long")
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, so that a lost executor costs no recomputation
-    and two readers see the same rows.  A folder of our own is used only where none is set."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only where none is set."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
                                  or tempfile.mkdtemp(prefix="pagescan-checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The rows written to the shared folder, so that a lost executor costs no recomputation and two
+    readers see the same rows."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

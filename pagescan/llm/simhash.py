@@ -59,15 +59,16 @@ def _ones(shingles) -> np.ndarray:
     return np.unpackbits(hashes.view(np.uint8)).reshape(-1, 64).sum(0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """``doc_id, fp``: one row per document, the fingerprint as a signed long.  No shuffle."""
+def fingerprints(docs: DataFrame, shingle: int = 3, keep=()) -> DataFrame:
+    """``doc_id``, the columns in ``keep`` and ``fp``, the fingerprint as a signed long; a row per row, no shuffle."""
     def run(batches):
         for batch in batches:
-            prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([batch.column(0), pa.array(prints.view(np.int64))], ["doc_id", "fp"])
+            texts = batch.column(batch.num_columns - 1)
+            prints = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64)
+            yield pa.record_batch([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        run, "doc_id BIGINT, fp BIGINT")
+    rows = docs.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_of"))
+    return rows.mapInArrow(run, rows.drop("_of").schema.add("fp", "long"))
 
 
 class BKTree:
@@ -164,19 +165,34 @@ def links(prints: DataFrame, radius: int = 2) -> DataFrame:
     return dealt.mapInArrow(run, "fp BIGINT, root BIGINT").distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """``doc_id, fp, component_id``, a row for each row of ``docs(doc_id, text)``.
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, keep=()) -> DataFrame:
+    """``doc_id``, the columns in ``keep``, ``fp, component_id``, a row for each row of ``docs(doc_id, text)``.
 
     component_id is the least doc_id reachable over links, the document itself included; NULL
     ids do not count, and a component of NULL ids only has NULL.  NULL, empty and blank texts
     have fingerprint zero, which links like any other.  Repeated rows stay repeated.  Other
     columns are not looked at.
     """
-    prints = kept(fingerprints(docs, shingle))
+    prints = kept(fingerprints(docs, shingle, keep))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(prints, radius), "fp", "root")
     nodes = kept(least.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")))
     merged = kept(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
     ids = kept(nodes.join(merged, "root").select("fp", "component_id"))
-    return prints.join(ids, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(ids, "fp").select("doc_id", *keep, "fp", "component_id")
+
+
+def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component, all columns: the row of least doc_id.
+
+    Of rows that share that id the one with the least hash of its text stays, and of fully equal rows
+    one; a NULL id stays only where a component has no other.
+    """
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    found = near_duplicates(docs.select("doc_id", "text", mark.alias("_mark")), shingle, radius, ["_mark"])
+    first = kept(found.where("doc_id <=> component_id").groupBy("doc_id", "component_id").agg(
+        F.min("_mark").alias("_mark")).select(F.col("doc_id").alias("_id"), "_mark"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), mark.alias("_of"))
+    stay = rows.join(first, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_mark")), "left_semi")
+    return stay.dropDuplicates(["_doc", "_of"]).select("_row.*")
