@@ -173,14 +173,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, keep=())
     have fingerprint zero, which links like any other.  Repeated rows stay repeated.  Other
     columns are not looked at.
     """
+    return _classes(docs, shingle, radius, keep).drop("root")
+
+
+def _classes(docs: DataFrame, shingle: int, radius: int, keep) -> DataFrame:
+    """``near_duplicates`` with ``root``, the least fingerprint of the component."""
     prints = kept(fingerprints(docs, shingle, keep))
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(links(prints, radius), "fp", "root")
     nodes = kept(least.join(roots, F.col("fp") == F.col("node"), "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")))
     merged = kept(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
-    ids = kept(nodes.join(merged, "root").select("fp", "component_id"))
-    return prints.join(ids, "fp").select("doc_id", *keep, "fp", "component_id")
+    ids = kept(nodes.join(merged, "root").select("fp", "root", "component_id"))
+    return prints.join(ids, "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
 def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
@@ -190,8 +195,8 @@ def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame
     one; a NULL id stays only where a component has no other.
     """
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = near_duplicates(docs.select("doc_id", "text", mark.alias("_mark")), shingle, radius, ["_mark"])
-    first = kept(found.where("doc_id <=> component_id").groupBy("doc_id", "component_id").agg(
+    found = _classes(docs.select("doc_id", "text", mark.alias("_mark")), shingle, radius, ["_mark"])
+    first = kept(found.where("doc_id <=> component_id").groupBy("doc_id", "root").agg(
         F.min("_mark").alias("_mark")).select(F.col("doc_id").alias("_id"), "_mark"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), mark.alias("_of"))
     stay = rows.join(first, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_mark")), "left_semi")
