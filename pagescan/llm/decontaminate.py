@@ -48,7 +48,7 @@ def shingles(text: str | None, n: int, tables):
     """Arrays of shingle hashes of the lower-cased words, a piece of about a megabyte at a time.
 
     A word is a run of ASCII letters and digits and of any characters beyond ASCII; one of more
-    than a megabyte is cut.
+    than a megabyte is cut, and a shingle of more than a megabyte is left out.
     """
     (up, down), start = tables, 0
     data = np.frombuffer((text or "").lower().encode(), np.uint8)

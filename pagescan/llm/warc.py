@@ -66,6 +66,15 @@ def _record(head, block) -> Column:
     return F.concat(F.lit(f"WARC/1.1{END}"), F.concat_ws("", *lines), F.lit(END), block, F.lit(END + END))
 
 
+def _parts(records: DataFrame, keep=()) -> DataFrame:
+    """``keep, head, block``; the block is as many bytes as the header says, or all up to the record's end."""
+    cut = "locate('\\r\\n\\r\\n', warc)"
+    parts = records.where(f"{cut} > 0").select(*keep, F.expr(f"left(warc, {cut} - 1) AS head"),
+                                               F.expr(f"substring(warc, {cut} + 4) AS rest"))
+    return parts.withColumn("bytes", header(F.col("head"), "Content-Length").try_cast("int")).withColumn("block", F.expr(
+        "IF(bytes >= 0, CAST(substring(CAST(rest AS BINARY), 1, bytes) AS STRING), regexp_replace(rest, '(?:\\r\\n)++$', ''))"))
+
+
 def derive(records: DataFrame, keep=()) -> DataFrame:
     """``keep, record_type, record_id, refers_to, concurrent_to, target_uri, content_type, content_length,
     block_digest, source_digest, warc``: the derivatives of ``records(warc)``.
@@ -77,16 +86,12 @@ def derive(records: DataFrame, keep=()) -> DataFrame:
     of the source.  Records of other types, NULLs and records without an id give nothing; a
     response without an HTTP head is all payload.  Equal records give equal derivatives.
     """
-    cut = "locate('\\r\\n\\r\\n', warc)"
-    parts = records.where(f"{cut} > 0").select(*keep, F.expr(f"left(warc, {cut} - 1) AS head"),
-                                               F.expr(f"substring(warc, {cut} + 4) AS rest"))
-    # The block is as many bytes as the header says; without a length, all up to the record's end.
-    parts = parts.withColumn("bytes", header(F.col("head"), "Content-Length").try_cast("int")).withColumn("block", F.expr(
-        "IF(bytes >= 0, CAST(substring(CAST(rest AS BINARY), 1, bytes) AS STRING), regexp_replace(rest, '(?:\\r\\n)++$', ''))"))
-    end = cut.replace("warc", "block")
+    # Kept columns travel as one, so that their names meet no other.
+    parts = _parts(records.select(F.struct(F.lit(0).alias("_"), *keep).alias("_keep"), "warc"), ["_keep"])
+    end = "locate('\\r\\n\\r\\n', block)"
     http = f"startswith(block, 'HTTP/') AND {end} > 0"
     source = parts.where(F.lower(header(F.col("head"), "WARC-Type")) == "response").select(
-        *keep, header(F.col("head"), "WARC-Record-ID").alias("id"), header(F.col("head"), "WARC-Target-URI").alias("uri"),
+        "_keep", header(F.col("head"), "WARC-Record-ID").alias("id"), header(F.col("head"), "WARC-Target-URI").alias("uri"),
         header(F.col("head"), "WARC-Date").alias("date"), header(F.col("head"), "WARC-Payload-Digest").alias("stated"),
         header(F.col("head"), "WARC-Block-Digest").alias("block_stated"), "block",
         F.expr(f"IF({http}, left(block, {end} - 1), '') AS http"), F.expr(f"IF({http}, substring(block, {end} + 4), block) AS payload"),
@@ -94,7 +99,7 @@ def derive(records: DataFrame, keep=()) -> DataFrame:
     kind = F.lower(F.coalesce(header(F.col("http"), "Content-Type"), F.lit("text/html")))
     text = F.when(F.startswith(kind, F.lit("text/html")) | F.startswith(kind, F.lit("application/xhtml")), html_text(F.col("payload"))) \
         .when(F.startswith(kind, F.lit("text/plain")), F.col("payload"))
-    source = source.select(*keep, "id", "uri", "date", F.coalesce("stated", digest(F.col("payload"))).alias("digest"),
+    source = source.select("_keep", "id", "uri", "date", F.coalesce("stated", digest(F.col("payload"))).alias("digest"),
                            F.coalesce("block_stated", digest(F.col("block"))).alias("block_of"), "http", text.alias("text"),
                            urn(F.lit("metadata"), F.col("id")).alias("metadata_id"),
                            F.when(text.isNotNull(), urn(F.lit("conversion"), F.col("id"))).alias("conversion_id"))
@@ -103,7 +108,7 @@ def derive(records: DataFrame, keep=()) -> DataFrame:
                                        lambda x: F.concat(F.lit("source-header: "), x, F.lit(END))), "")
     fields = F.concat_ws("", status, F.lit("source-payload-digest: "), F.col("digest"), F.lit(END + "source-block-digest: "),
                          F.col("block_of"), F.lit(END), headers)
-    both = source.select(*keep, "id", "uri", "date", "digest", F.inline(F.filter(F.array(
+    both = source.select("_keep", "id", "uri", "date", "digest", F.inline(F.filter(F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.col("metadata_id").alias("record_id"),
                  F.col("conversion_id").alias("concurrent_to"), F.lit("application/warc-fields").alias("content_type"),
                  fields.alias("block")),
@@ -114,7 +119,7 @@ def derive(records: DataFrame, keep=()) -> DataFrame:
             ("WARC-Concurrent-To", F.col("concurrent_to")), ("WARC-Date", F.col("date")), ("WARC-Target-URI", F.col("uri")),
             ("WARC-Block-Digest", digest(F.col("block"))), ("Content-Type", F.col("content_type")),
             ("Content-Length", F.octet_length("block").cast("string"))]
-    return both.select(*keep, "record_type", "record_id", F.col("id").alias("refers_to"), "concurrent_to",
+    return both.select(*[F.col("_keep")[c].alias(c) for c in keep], "record_type", "record_id", F.col("id").alias("refers_to"), "concurrent_to",
                        F.col("uri").alias("target_uri"), "content_type", F.octet_length("block").cast("long").alias("content_length"),
                        digest(F.col("block")).alias("block_digest"), F.col("digest").alias("source_digest"),
                        _record(head, F.col("block")).alias("warc"))
@@ -128,8 +133,7 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """``warc``: the records of WARC files of text, cut where a version line follows the end of a record."""
+    """``warc``: the records of WARC files of text.  A block that holds a record's end and a version line is cut there."""
     rows = spark.read.option("lineSep", f"{END}{END}WARC/1.").text(path)
-    body = F.regexp_replace("value", r"^WARC/1\.", "")
-    return rows.where("length(value) > 8").select(F.concat(F.lit("WARC/1."), F.regexp_replace(
-        body, r"(?:\r\n)++$", ""), F.lit(END + END)).alias("warc"))
+    records = rows.where("value != ''").select(F.concat(F.lit("WARC/1."), F.regexp_replace("value", r"^WARC/1\.", "")).alias("warc"))
+    return _parts(records).select(F.concat("head", F.lit(END + END), "block", F.lit(END + END)).alias("warc"))

@@ -1,0 +1,272 @@
+"""Quality rules, decontamination, personal data, languages and line de-duplication against brute force."""
+
+import re
+from collections import Counter, defaultdict
+
+import pytest
+
+from pagescan.llm import decontaminate, language, linededup, pii, quality
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+# Quality rules
+
+def plain_statistics(text):
+    text = text or ""
+    found = WORD.findall(text)
+    lines = [line for line in text.split("\n") if WORD.search(line)]
+    windows = [tuple(found[i:i + 3]) for i in range(len(found) - 2)]
+    count = Counter(windows)
+    covered = {i + j for i, w in enumerate(windows) if count[w] > 1 for j in range(3)}
+    return (len(found), sum(map(len, found)), sum(c in "#*$%&|<>" for c in text), len(lines) - len(set(lines)), len(covered),
+            len(found) < 50 or 100 * len(covered) > 50 * len(found))
+
+
+def test_statistics(docs, odd, rng):
+    texts = ["a b c a b c", "a a a a a", "x\ny\nx\n\n\ny ", "#$ %& | <p>\x0bq", "tab\tsep\x0c end"]
+    texts += ["".join(rng.choice("ab \n#\t") for _ in range(rng.randrange(200))) for _ in range(60)]
+    for frame in (docs(*texts), odd):
+        for r in quality.judge(frame, keep=["doc_id", "text"]).collect():
+            assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_statistics(r.text)
+
+
+def test_frequent_lines_go_and_depleted_documents_are_rejected(docs):
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, f"Shared  LINE here\n{body(i)}\n", "en", "a") for i in range(20)]
+    rows += [(100 + i, "Shared line HERE\n" + "shared line here \n" + body(900), "en", "b") for i in range(30)]
+    banner = " ".join(f"b{j}" for j in range(200))
+    rows += [(200 + i, f"{banner}\n{body(300 + i)}", "en", "c") for i in range(15)]
+    judged = {r.doc_id: r for r in quality.judge(docs(*rows)).collect()}
+    assert all(judged[i].kept and judged[i].removed_words == 3 for i in range(20))
+    # Copies are one document, so they keep their lines.
+    assert all(judged[100 + i].kept and judged[100 + i].removed_words == 0 for i in range(30))
+    assert not any(judged[200 + i].kept or judged[200 + i].base_failed for i in range(15))
+    clean = {r.doc_id: r for r in quality.clean(docs(*rows)).collect()}
+    assert set(clean) == {i for i in judged if judged[i].kept}
+    assert clean[3].text == body(3) + "\n" and clean[3].n_chars == len(clean[3].text)
+    assert clean[104].text.startswith("Shared line HERE\nshared")
+
+
+def test_quality_takes_empty_and_clashing_tables(odd, clashing):
+    assert quality.judge(odd).count() == 12 and quality.judge(odd.limit(0)).count() == 0
+    assert quality.clean(clashing).columns == clashing.columns and quality.clean(clashing).count() == 0
+    assert quality.judge(clashing).count() == 3
+
+
+# Decontamination
+
+def plain_containment(item, text, n=5):
+    def grams(t):
+        found = re.findall(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").lower())
+        return {tuple(found[i:i + n]) for i in range(len(found) - n + 1)}
+    wanted = grams(item)
+    return len(wanted & grams(text)) / len(wanted) if wanted else 0
+
+
+def test_containment(spark, docs, rng):
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([3, 5, 6, 9, 20, 45, 130])))) for i in range(60)]
+    texts = []
+    for i in range(120):
+        body = [rng.choice(vocabulary) for _ in range(rng.choice([10, 300, 2000]))]
+        for _ in range(rng.randrange(3)):
+            words = rng.choice(items)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 2, len(words) // 20])):
+                words[rng.randrange(len(words))] = "changed"
+            at = rng.randrange(len(body))
+            body[at:at] = words
+        texts.append(" ".join(body).replace("v1 ", "V1, "))
+    bench = spark.createDataFrame(items, "item_id BIGINT, text STRING")
+    got = {r.doc_id: dict(zip(r.item_ids, r.containments)) for r in decontaminate.search(docs(*texts), bench).collect()}
+    want = {d: {i: c for i, t in items if (c := plain_containment(t, text)) >= 0.8} for d, text in enumerate(texts)}
+    assert sum(map(len, want.values())) > 40
+    assert {d: pytest.approx(v) for d, v in want.items()} == got
+
+
+def test_pieces_and_blocks_lose_nothing(spark, docs, rng, monkeypatch):
+    text = " ".join(rng.choice(["alpha", "be", "c", "délta", "e" * 30]) + str(rng.randrange(50)) for _ in range(2000))
+    import numpy as np
+    tables = decontaminate.powers()
+    whole = sorted(np.concatenate([*decontaminate.shingles(text, 5, tables)]).tolist())
+    for size in (200, 777, 5000):
+        monkeypatch.setattr(decontaminate, "_CHUNK", size)
+        assert set(np.concatenate([*decontaminate.shingles(text, 5, tables)]).tolist()) == set(whole)
+    monkeypatch.undo()
+    bench = spark.createDataFrame([(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(9)], "item_id BIGINT, text STRING")
+    texts = [" ".join(f"i{i % 9}w{j}" for j in range(12)) + " i3w0" for i in range(20)]
+    monkeypatch.setattr(decontaminate, "BLOCK_WORDS", 60)
+    got = {r.doc_id: r.item_ids for r in decontaminate.search(docs(*texts), bench).collect()}
+    assert got == {i: [i % 9] for i in range(20)}
+
+
+def test_decontamination_of_odd_rows(spark, odd, clashing):
+    bench = spark.createDataFrame([(None, "same text here and more"), (1, None), (2, ""), (3, "short one"), (3, "short one"),
+                                   (4, "word0 word1 word2 word3 word4 word5"), (4, "word0 word1 word2 word3 word4 word5")],
+                                  "item_id BIGINT, text STRING")
+    got = {(r.doc_id, tuple(r.item_ids)) for r in decontaminate.search(odd, bench).collect()}
+    assert {d for d, items in got if items} == {4, 8} and {i for _, i in got} == {(), (4,)}
+    assert decontaminate.search(odd, bench.limit(0)).count() == 12 and decontaminate.search(odd.limit(0), bench).count() == 0
+    assert decontaminate.search(clashing, bench).count() == 3
+
+
+# Personal data
+
+BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        d = int(c) * (1 + i % 2)
+        total += d // 10 + d % 10
+    return total % 10 == 0
+
+
+def plain_spans(text):
+    found = []
+    for rank, (kind, pattern) in enumerate(BASE.items()):
+        for m in re.finditer(pattern, text or ""):
+            digits = re.sub("[^0-9]", "", m.group())
+            if kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m.group().split(".")) \
+                    or kind == "card" and 14 <= len(digits) <= 19 and luhn(digits) or kind == "phone" and 10 <= len(digits) <= 15:
+                found.append((m.start(), rank, m.end()))
+    return sorted(found)
+
+
+def test_base_spans_are_those_of_the_plain_patterns(docs, odd, rng):
+    texts = ["a@b.c_d@e.f x@y z@.q a@b.-c.d", "1.2.3.4.5 01.002.0003.255 256.1.1.1 1.2.3", "+12 +1 (555) 123-4567) +++44 20 7946 0958.",
+             "4111 1111 1111 1111, 4111-1111-1111-1112 4111111111111111 1", "é\U0001f600 mail: é@x.de a.b@c-d.ef", "\U0001f600" * 50 + " q@w.e"]
+    texts += ["".join(rng.choice(["a", "@", ".", "-", "+", "1", "23", "4", "(", ")", " ", "255.", "_", "4111111111111111", "é"])
+                      for _ in range(rng.randrange(80))) for _ in range(300)]
+    for r in pii.find(docs(*texts), ["text"]).collect():
+        assert [(s.start, s.rank, s.stop) for s in r.spans if s.rank < 4] == plain_spans(r.text), r.text
+    assert pii.find(odd).count() == 12 and pii.find(odd.limit(0)).count() == 0
+
+
+def test_checksums_and_context_words(docs):
+    texts = ["pay to GB82 WEST 1234 5698 7654 32 now", "GB82 WEST 1234 5698 7654 33", "call 555 123 4567 today", "item 555 123 4567 today",
+             "tel. 030-123-4567", "DE89370400440532013000"]
+    got = {r.doc_id: [pii.KINDS[s.rank] for s in r.spans] for r in pii.find(docs(*texts)).collect()}
+    assert got[0][-1:] == ["iban"] and got[1] == [] and got[2] == ["local_phone"] and got[3] == [] and got[4] == ["local_phone"]
+    assert "iban" in got[5]
+
+
+def test_redaction(docs, clashing):
+    texts = ["write a.b@c.de or +1 (555) 123-4567 now", "nothing", "x@y.z", None]
+    got = [r.text for r in pii.redact(docs(*texts)).orderBy("doc_id").collect()]
+    assert got == ["write [email] or [phone] now", "nothing", "[email]", ""]
+    assert pii.digest(pii.find(clashing)).count() == 3
+
+
+def test_patterns_are_linear(docs):
+    import time
+    hostile = ["a" * 300_000, "a." * 150_000, "1." * 150_000, "1 " * 150_000, "+1" + "(" * 300_000, "@a" * 150_000, "a@b" * 100_000, "AA00" * 75_000]
+    begin = time.time()
+    assert pii.find(docs(*hostile)).count() == len(hostile)
+    assert time.time() - begin < 60
+
+
+# Languages
+
+def test_languages_learned_from_a_sample(spark, docs, rng):
+    alphabets = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "áéíóúab"}
+    def make(lang, n):
+        return " ".join("".join(rng.choice(alphabets[lang]) for _ in range(rng.randrange(2, 8))) for _ in range(n))
+    rows = [(i, make(lang, 60), lang) for i, lang in enumerate(rng.choice(list(alphabets)) for _ in range(300))]
+    model = language.fit(docs(*rows[:200]), rows=90, landmarks=30)
+    assert model["names"] == ["aa", "bb", "cc"]
+    tested = docs(*[(i, text, "cc") for i, text, _ in rows[200:]])
+    got = {r.doc_id: r for r in language.classify(tested, model).collect()}
+    assert sum(got[i].lang_pred == lang for i, _, lang in rows[200:]) >= 95
+    assert all(0 <= r.score <= 1 for r in got.values())
+
+
+def test_kernel_is_the_share_of_common_grams():
+    import numpy as np
+    a, b = (language.grams(t)[0] for t in ("Abc  d", "abc!d"))
+    assert (a == b).all() and a.sum() == len({s[i:i + n] for s in ["abc d"] for n in range(1, 5) for i in range(len(s) - n + 1)})
+    long = "lorem ipsum " * 10
+    whole = language.grams(long)[0]
+    language_chunk = language._CHUNK
+    try:
+        language._CHUNK = 7
+        assert (language.grams(long)[0] == whole).all()
+    finally:
+        language._CHUNK = language_chunk
+    assert not language.grams("12 34 !")[1] and language.grams("中")[1] and not np.any(language.grams(None)[0])
+
+
+def test_texts_without_letters_and_models_without_languages(docs, odd, clashing):
+    model = language.fit(docs((1, "hello world " * 9, "en"), (2, "bonjour monde " * 9, "fr")))
+    got = {r.doc_id: r.lang_pred for r in language.classify(docs((1, None), (2, ""), (3, "12 !?"), (4, "monde")), model).collect()}
+    assert got == {1: "und", 2: "und", 3: "und", 4: "fr"}
+    none = language.fit(odd.limit(0))
+    assert {r.lang_pred for r in language.classify(odd, none).collect()} == {"und"}
+    assert language.classify(clashing, model).count() == 3 and language.classify(odd.limit(0), model).count() == 0
+
+
+# Line de-duplication
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def plain_dedup(rows):
+    places, first = [], {}
+    for doc, text in sorted(rows):
+        for no, line in enumerate(text.split("\n")):
+            if key := tuple(WORD.findall(line.lower())):
+                places.append((doc, no, key))
+                first.setdefault(key, (doc, no))
+    near = {k for k in first if len(k) >= 5 and any(
+        len(o) >= 5 and first[o] < first[k] and abs(len(o) - len(k)) < 2 and edit_distance(k, o) <= 1 for o in first)}
+    gone = defaultdict(set)
+    result = {doc: [0, 0, 0] for doc, _ in rows}
+    for doc, no, key in places:
+        exact = first[key] != (doc, no)
+        result[doc][0] += 1
+        result[doc][1] += exact
+        result[doc][2] += key in near and not exact
+        if exact or key in near:
+            gone[doc].add(no)
+    return {doc: ("\n".join(x for i, x in enumerate(text.split("\n")) if i not in gone[doc]), *result[doc]) for doc, text in rows}
+
+
+def test_lines_within_one_edited_word(docs, rng):
+    base = [[rng.choice("abcdefg") for _ in range(rng.choice([1, 3, 4, 5, 6, 7, 11]))] for _ in range(40)]
+    rows = []
+    for doc in range(40):
+        lines = []
+        for _ in range(rng.randrange(9)):
+            words = list(rng.choice(base))
+            for _ in range(rng.randrange(3)):
+                at = rng.randrange(len(words))
+                words[at:at + rng.randrange(2)] = [rng.choice("ABCxyz")] * rng.randrange(2)
+                words = words or ["q"]
+            lines.append("  ".join(words) if rng.random() < .8 else "")
+        rows.append((doc, "\n".join(lines)))
+    got = {r.doc_id: (r.text, r.n_lines, r.n_exact, r.n_near) for r in linededup.dedup_lines(docs(*rows)).collect()}
+    want = plain_dedup(rows)
+    assert sum(w[3] for w in want.values()) >= 15
+    assert got == want
+
+
+def test_many_fillings_of_one_template(docs):
+    rows = [(i, f"page number {i} of the long report\nown line {i} a{i} b{i} c{i} d{i}") for i in range(300)]
+    got = linededup.dedup_lines(docs(*rows)).collect()
+    assert sum(r.n_near for r in got) == 299 and all(r.n_lines == 2 for r in got)
+
+
+def test_line_dedup_of_odd_rows(odd, clashing):
+    got = linededup.dedup_lines(odd).collect()
+    assert len(got) == 12 and sum(r.text is None for r in got) == 2
+    by_id = {(r.doc_id, r.text) for r in got}
+    assert (None, "Same text here") in by_id and (5, "") in by_id and (5, "Other text") in by_id and (8, "") in by_id
+    assert linededup.dedup_lines(odd.limit(0)).count() == 0 and linededup.dedup_lines(clashing).count() == 3
