@@ -114,7 +114,6 @@ def js_texts() -> dict:
             f"js:obfuscation:{name}", "CASE WHEN n >= 10 THEN 4 ELSE 3 END", "js_issue", "js",
             "n || ' 处匹配'", ctx(80), False, source=spans(pattern), where="i = 1 AND n >= 5")
     for name, pattern, severity, _, _ in V.JS_PATTERNS:
-        pattern = (r"[a-zA-Z_$][a-zA-Z0-9_$]*\s*=\s*[\"']eval[\"'].*;.*\[.*\]\s*\(" if name == "hidden_eval" else pattern)
         arms[f"js:pattern:{name}"] = row(f"js:pattern:{name}", severity, "js_issue", "js", "left(text, 200)", ctx(80),
                                          source=spans(pattern))
     lines, blocks = spans(V.LINE_COMMENT, "", (1,)), spans(V.BLOCK_COMMENT, "s", (1,))

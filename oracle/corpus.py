@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pagescan.functions.text import lits
 from pagescan.rules.loaders import built_in_keywords
-from pagescan.sources.pages import spread
 
 _FILL = "plain words that only keep other passages at a distance from this place "
 PASSAGES = [
@@ -120,7 +119,8 @@ def seeded_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     passage = f"element_at(array({lits(PASSAGES)}), CAST(page_id % {len(PASSAGES)} AS INT) + 1)"
     word = f"element_at(array({lits(words)}), CAST(page_id % {len(words)} AS INT) + 1)"
     content = f"replace(html, '<body>', concat('<body>', {passage}, ' <p>', {word}, '</p>'))"
-    pages = spread(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    # One small file would be one task: deal the pages out as a table of many files is.
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(spark.sparkContext.defaultParallelism)
     return pages.selectExpr("page_id", "url AS location", f"{content} AS content")
 
 

@@ -147,8 +147,14 @@ register("set3_distinct_urls", on_corpus(lambda pages: extract_urls(pages).group
 
 # --- element tree ------------------------------------------------------------------------------
 
+_RAW = "|".join(rf"<{t}\b[^>]*>.*?(?:</{t}|\Z)" for t in ("script", "style", "textarea", "title"))
+_MARKUP = (rf"<!--.*?(?:--!?>|\Z)|{_RAW}|<[a-z][^\s/>]*(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>|<[!?/][^>]*>")
 register("dom0_elements", on_corpus(lambda pages: elements(pages).selectExpr(
-    "page_id", "elem_no", "tag", "attrs['style'] AS style", "text", "outer_html", "form_no")))
+    "page_id", "elem_no", "tag", "begin", "coalesce(attrs['style'], '') AS style")), A.with_corpus(
+        "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS INT) AS elem_no, "
+        "lower(regexp_extract(text, '^<([a-zA-Z][^\\s/>]*)', 1)) AS tag, start AS begin, "
+        "regexp_extract(regexp_extract(text, '^<[^>]*>'), '\\sstyle=\"([^\"]*)\"', 1) AS style "
+        f"FROM {A.spans(_MARKUP, 'is')} WHERE regexp_matches(text, '^<[a-zA-Z]')"))
 for _n, _name in enumerate((
         "external_script", "no_sri", "suspicious_inline_script", "iframe", "hidden_iframe", "no_sandbox", "hidden_link",
         "suspicious_link", "external_form", "sensitive_hidden_field", "suspicious_hidden_value", "insecure_login",
@@ -198,18 +204,16 @@ register("key5_by_severity", on_corpus(_ranked_keywords), A.with_corpus(
     "SELECT page_id, evidence, severity, pos_start, row_number() OVER (PARTITION BY page_id "
     f"ORDER BY severity DESC, pos_start, evidence) AS rank FROM ({_ARMS['keyword']})"))
 
-# The sample rules a user starts from.
+# Rules of a user's own: flags, alternatives, a look-ahead, a repeated group, a look-behind free count.
 SAMPLE_RULES = [
-    {"rule_id": "custom:badsite", "pattern": r"https?://(?:www\.)?evil-[a-z]+\.(?:com|net|org)", "flags": "i",
-     "severity": 8, "category": "suspicious_url", "source_type": "html", "description": "匹配特定模式的恶意域名"},
-    {"rule_id": "custom:php_backdoor",
-     "pattern": r"(?:assert|eval|exec|system|passthru|shell_exec)\s*\(\s*\$_(?:GET|POST|REQUEST)", "flags": "i",
-     "severity": 10, "category": "js_issue", "source_type": "js", "description": "PHP 后门特征函数"},
-    {"rule_id": "custom:large_base64", "pattern": r"[A-Za-z0-9+/]{200,}={0,2}", "flags": "", "severity": 6,
-     "category": "suspicious_pattern", "source_type": "text", "description": "异常大的 Base64 编码数据块"},
-    {"rule_id": "custom:stealth_redirect",
-     "pattern": r"(?:window\.location|document\.location|location\.href)\s*=\s*[\"']https?://(?!example\.com)",
-     "flags": "i", "severity": 7, "category": "js_issue", "source_type": "js", "description": "JS 跳转到外部网站"},
+    {"rule_id": "own:shop_host", "pattern": r"\b(?:www\.)?[a-z]+-shop\.(?:com|info)", "flags": "i",
+     "severity": 8, "category": "suspicious_url", "source_type": "html", "description": "hosts that end in -shop"},
+    {"rule_id": "own:request_call", "pattern": r"(?:eval|system)\s*\(\s*\$_[a-z]+", "flags": "i",
+     "severity": 10, "category": "js_issue", "source_type": "js", "description": "a request value that is run"},
+    {"rule_id": "own:long_run", "pattern": r"(?:[A-Z][0-9][a-z][0-9]){20,}", "flags": "", "severity": 6,
+     "category": "suspicious_pattern", "source_type": "text", "description": "a long run of letters and digits in turn"},
+    {"rule_id": "own:leaving", "pattern": r"location(?:\.href)? ?= ?['\"]https?://(?!example\.com)",
+     "flags": "i", "severity": 7, "category": "js_issue", "source_type": "js", "description": "a script that leaves for another host"},
 ]
 
 
@@ -264,8 +268,12 @@ def _taken_sql(mode, where="true"):
             f"regexp_extract(lower(path), '[^/.][^/]*?(\\.[^./]*)$', 1) IN ({endings}) AND {where}")
 
 
-register("src3_directory_scan", lambda spark, sf: _paths(spark, sf).where(FS.selected("path", "/site")).select("page_id", "path"),
-         _taken_sql("deep", "NOT contains(path, '/.') AND len(string_split(path, '/')) - 3 <= 3"))
+# Encoded addresses of a store with a host; locations keep it.
+register("src3_directory_scan", lambda spark, sf: _paths(spark, sf).selectExpr(
+    "page_id", "concat('s3a://bucket/my%20files', path) AS uri").selectExpr("page_id", f"{FS.location('uri')} AS path").where(
+        FS.selected("path", "s3a://bucket/my files/site")),
+    "SELECT page_id, 's3a://bucket/my files' || path AS path FROM ("
+    + _taken_sql("deep", "NOT contains(path, '/.') AND len(string_split(path, '/')) - 3 <= 3") + ")")
 _EXCLUDE = ["*/old/*", "*.min.js", "/site/a/b/", "*p?.js"]
 register("src4_exclude_patterns", lambda spark, sf: _paths(spark, sf).where(
     f"NOT {FS.excluded('path', _EXCLUDE)}").select("page_id", "path"),
@@ -292,7 +300,13 @@ register("src5_binary_filter", lambda spark, sf: _files(spark, sf).selectExpr(
         WHEN 1 THEN 400 / least(1024, 400 + octet_length(encode(html))) > 0.3
         WHEN 2 THEN 300 / least(1024, 300 + octet_length(encode(html))) > 0.3 ELSE false END AS is_binary FROM pages""")
 register("src6_decode", lambda spark, sf: FS.decode_files(_files(spark, sf)).selectExpr(
-    "page_id", "location", "charset", "length(content) AS chars", "md5(CAST(content AS BINARY)) AS digest"))
+    "page_id", "location", "charset", "length(content) AS chars", "md5(CAST(content AS BINARY)) AS digest"),
+    f"""SELECT page_id, {_PATH} AS location, CASE WHEN page_id % 7 = 3 THEN 'gb18030' ELSE 'utf-8' END AS charset,
+        CAST(CASE page_id % 7 WHEN 0 THEN 1 + length(html) WHEN 1 THEN 400 + length(html) WHEN 2 THEN 300 + length(html)
+             WHEN 3 THEN 5 WHEN 4 THEN 0 ELSE length(html) END AS INT) AS chars,
+        md5(CASE page_id % 7 WHEN 0 THEN unhex('00') || encode(html) WHEN 1 THEN unhex(repeat('01', 400)) || encode(html)
+            WHEN 2 THEN unhex(repeat('02', 300)) || encode(html) WHEN 3 THEN encode('中文<p>') WHEN 4 THEN encode('')
+            ELSE encode(html) END) AS digest FROM pages""")
 register("src2_scan_files", lambda spark, sf: flat(text_findings(
     FS.file_pages(_files(spark, sf).drop("page_id")), _by_key(C.CSS, "css:obfuscation:control_chars"))).drop("page_id"),
     f"""SELECT {_PATH} AS location, 'css:obfuscation:control_chars' AS rule_id, 3 AS severity, 'css_issue' AS category,
@@ -316,7 +330,7 @@ register("src9_target_types", lambda spark, sf: P.classify_targets(P.clean_targe
 _RAW_WORD = ("CASE page_id % 9 WHEN 0 THEN '# note' WHEN 1 THEN ' ' ELSE ' word' || page_id END AS keyword",
              "CASE page_id % 4 WHEN 0 THEN ' porn' WHEN 1 THEN 'unknown' ELSE 'phishing' END AS category",
              "CASE page_id % 6 WHEN 0 THEN '99' WHEN 1 THEN '-3' WHEN 2 THEN 'x' WHEN 3 THEN NULL WHEN 4 THEN ' 7 ' "
-             "ELSE '2.5' END AS weight")
+             "ELSE CASE page_id % 5 WHEN 0 THEN '' WHEN 1 THEN ' ' ELSE '2.5' END END AS weight")
 register("src10_keyword_rows", lambda spark, sf: clean_keywords(table("pages")(spark, sf).selectExpr(*_RAW_WORD)),
     f"""SELECT trim(keyword) AS keyword, CASE WHEN trim(category) IN ('gambling', 'porn', 'malware', 'phishing', 'other')
         THEN trim(category) ELSE 'other' END AS category,
@@ -325,12 +339,12 @@ register("src10_keyword_rows", lambda spark, sf: clean_keywords(table("pages")(s
         WHERE weight IS NOT NULL AND trim(keyword) != '' AND NOT starts_with(trim(keyword), '#')""")
 register("src12_user_rule_rows", lambda spark, sf: clean_custom_rules(table("pages")(spark, sf).selectExpr(
     "IF(page_id % 5 = 0, NULL, concat('r', page_id)) AS rule_id", "url AS pattern", "IF(page_id % 2 = 0, 'i', NULL) AS flags",
-    "IF(page_id % 3 = 0, NULL, page_id - 20) AS severity", "IF(page_id % 7 = 0, 'js_issue', NULL) AS category",
+    "CASE WHEN page_id % 3 = 0 THEN NULL WHEN page_id % 11 = 1 THEN 'high' ELSE CAST(page_id - 20 AS STRING) END AS severity", "IF(page_id % 7 = 0, 'js_issue', NULL) AS category",
     "CAST(NULL AS STRING) AS source_type", "CAST(NULL AS STRING) AS description")),
     """SELECT 'r' || page_id AS rule_id, url AS pattern, CASE WHEN page_id % 2 = 0 THEN 'i' ELSE '' END AS flags,
         CASE WHEN page_id % 3 = 0 THEN 5 ELSE greatest(1, least(10, page_id - 20)) END AS severity,
         CASE WHEN page_id % 7 = 0 THEN 'js_issue' ELSE 'suspicious_pattern' END AS category, 'text' AS source_type,
-        '' AS description FROM pages WHERE page_id % 5 != 0""")
+        '' AS description FROM pages WHERE page_id % 5 != 0 AND (page_id % 3 = 0 OR page_id % 11 != 1)""")
 
 # --- rendered pages ------------------------------------------------------------------------------------
 
@@ -491,9 +505,14 @@ register("set2_first_of_location", lambda spark, sf: P.first_of_location(union([
     P.web_pages(table("pages")(spark, sf)),
     table("pages")(spark, sf).selectExpr("page_id + 1000000 AS page_id", "url AS location", "'again' AS content"),
     table("pages")(spark, sf).selectExpr("page_id + 2000000 AS page_id", "'https://hot.example.com/' AS location",
-                                         "'hot' AS content")])).selectExpr("page_id", "location", "length(content) AS chars"),
+                                         "'hot' AS content"),
+    # Equal rows of winners, and pages without a location.
+    P.web_pages(table("pages")(spark, sf)),
+    table("pages")(spark, sf).selectExpr("page_id + 3000000 AS page_id", "CAST(NULL AS STRING) AS location", "'nowhere' AS content"),
+    ])).selectExpr("page_id", "location", "length(content) AS chars"),
     """SELECT page_id, url AS location, length(html) AS chars FROM pages UNION ALL
-       SELECT min(page_id) + 2000000, 'https://hot.example.com/', 3 FROM pages""")
+       SELECT min(page_id) + 2000000, 'https://hot.example.com/', 3 FROM pages UNION ALL
+       SELECT min(page_id) + 3000000, NULL, 7 FROM pages""")
 register("err1_errors", on_corpus(scan_errors), A.with_corpus(
     f"SELECT location, 'url' AS stage, url AS message FROM {A.urls()} WHERE pattern_no = 0 AND "
     f"{A.port('url')} IS NULL AND regexp_matches(regexp_replace({A.netloc('url')}, '^.*@', ''), '^[^:]*:.')"))

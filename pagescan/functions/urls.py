@@ -11,17 +11,22 @@ _PORT = r"^(?:[^@]*@)*(?:\[[^\]]*\][^:]*|[^:@]*):([^@]*)$"
 _NO_TEXTS = "CAST(array() AS ARRAY<STRING>)"
 
 
+def _bare(url: str) -> str:
+    """Tabs and line ends inside an address do not count."""
+    return f"translate({url}, '\\t\\r\\n', '')"
+
+
 def scheme(url: str) -> str:
-    return f"lower(regexp_extract({url}, {lit(_SCHEME)}, 1))"
+    return f"lower(regexp_extract({_bare(url)}, {lit(_SCHEME)}, 1))"
 
 
 def netloc(url: str) -> str:
     """Lower-cased host with port and user info, '' where there is none."""
-    return f"lower(regexp_extract({url}, {lit(_NETLOC)}, 1))"
+    return f"lower(regexp_extract({_bare(url)}, {lit(_NETLOC)}, 1))"
 
 
 def query(url: str) -> str:
-    return f"regexp_extract({url}, {lit(_QUERY)}, 1)"
+    return f"regexp_extract({_bare(url)}, {lit(_QUERY)}, 1)"
 
 
 def port_text(url: str) -> str:
@@ -121,7 +126,7 @@ def url_risk(url: str) -> str:
     short = "(" + " OR ".join(within(domain, lit(host)) for host in V.SHORT_LINK_DOMAINS) + ")"
     tld = suspicious_tld(domain)
     # The path ends before any ";parameters" of its last segment.
-    path = f"regexp_replace(regexp_extract({url}, {lit(_PATH)}, 1), ';[^/]*$', '')"
+    path = f"regexp_replace(regexp_extract({_bare(url)}, {lit(_PATH)}, 1), ';[^/]*$', '')"
     random_name = has_match(path, V.RANDOM_SCRIPT_NAME)
     level = points((f"{kind} = 'javascript'", 5), (f"{kind} = 'data'", 4), (f"{kind} IN ('http', 'https')", 1),
                    (odd_port(url), 2), (f"({tld}) IS NOT NULL", 2), (short, 3), (random_name, 1))
@@ -152,7 +157,6 @@ def link_risk(url: str, u: str) -> str:
         ELSE {struct(risk=score, reasons=why)} END"""
 
 
-def is_bait(text: str, domain: str) -> str:
-    """Link text that asks for credentials, towards a domain not meant as an example."""
-    return (f"(trim({text}) != '' AND {domain} != '' AND {contains_any(f'lower({text})', V.BAIT_WORDS)} "
-            f"AND NOT {contains_any(domain, V.NEUTRAL_DOMAIN_WORDS)})")
+def is_bait_domain(domain: str) -> str:
+    """A domain that is there and not meant as an example."""
+    return f"({domain} != '' AND NOT {contains_any(domain, V.NEUTRAL_DOMAIN_WORDS)})"

@@ -5,6 +5,9 @@ from dataclasses import dataclass, field
 from pagescan.functions.dialect import to_java
 from pagescan.rules import values as V
 
+#: The start of a word, for an engine whose own word boundary knows ASCII only.
+WORD_START = r"^|\W"
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -13,7 +16,9 @@ class Rule:
     turned into findings; ``at_least`` and ``until`` make one row per page of them;
     ``upto`` is the text every match ends with (``tail`` a pattern for it): what follows its
     last occurrence is not tried;
-    ``lead`` says that group 1 is text before the match proper."""
+    ``lead`` says that group 1 is text before the match proper.  ``linear`` patterns have open repetitions
+    that hostile pages could abuse, and are matched by ``functions.linear``; ``before`` is what must
+    stand ahead of such a match."""
 
     key: str
     pattern: str
@@ -36,6 +41,8 @@ class Rule:
     tail: str | None = None
     lead: bool = False
     java: str | None = None
+    linear: bool = False
+    before: str = ""
 
     def regex(self) -> str:
         return self.java or to_java(self.pattern, self.flags)
@@ -43,12 +50,14 @@ class Rule:
 
 def _html():
     for name, pattern, severity, description, guards in V.HTML_PATTERNS:
-        yield Rule(f"html:pattern:{name}", pattern, "i", tuple(guards), severity=severity,
-                   metadata={"pattern": name, "description": description})
+        before = WORD_START if name == "obfuscated_attributes" else ""
+        yield Rule(f"html:pattern:{name}", pattern.removeprefix(r"\b") if before else pattern, "i", tuple(guards),
+                   severity=severity, linear=name in ("data_uri", "remote_iframe", "obfuscated_attributes"),
+                   before=before, metadata={"pattern": name, "description": description})
     yield Rule("html:hidden_element", V.HTML_HIDDEN, "i", ("display", "visibility"), severity=2,
-               category="hidden_element", metadata={"description": V.HTML_HIDDEN_DESCRIPTION})
+               linear=True, category="hidden_element", metadata={"description": V.HTML_HIDDEN_DESCRIPTION})
     yield Rule("html:comment", V.HTML_COMMENT, "s", ("<!--",), kind="html_comment", groups=(1,), upto="-->")
-    yield Rule("html:meta:refresh", V.HTML_META, "i", ("<meta",), kind="meta", groups=(2,), placed=False,
+    yield Rule("html:meta:refresh", V.HTML_META, "i", ("<meta",), kind="meta", groups=(2,), placed=False, linear=True,
                category="suspicious_url", source_type="meta")
 
 
@@ -62,6 +71,7 @@ def _js():
                    lead=name == "array_join", groups=(1,) if name == "array_join" else (), metadata={"pattern": name, "description": description})
     for name, pattern, severity, description, guards in V.JS_PATTERNS:
         yield Rule(f"js:pattern:{name}", pattern, "", tuple(guards), severity=severity, margin=80, cut=200,
+                   linear=name in ("self_executing", "conditional_eval", "try_catch_eval", "hidden_eval"),
                    category="js_issue", source_type="js",
                    metadata={"pattern": name, "description": description})
     yield Rule("js:line_comment", V.LINE_COMMENT, "", ("//",), kind="line_comment", groups=(1,),
@@ -75,14 +85,14 @@ def _css():
                            for v in sorted(values, key=len, reverse=True))
         yield Rule(f"css:hiding:{prop}", rf"{prop}\s*:\s*({fitting})", "i", (prop,), kind="css_value",
                    groups=(1,), category="hidden_element", source_type="css", metadata={"property": prop})
-    yield Rule("css:hiding:absolute_pos", V.CSS_ABSOLUTE, "is", ("{",), kind="css_absolute", groups=(1,),
-               category="hidden_element", source_type="css", requires=V.CSS_OFFSET, lead=True)
+    yield Rule("css:hiding:absolute_pos", V.CSS_ABSOLUTE, "is", ("{",), kind="css_absolute", linear=True,
+               category="hidden_element", source_type="css", requires=V.CSS_OFFSET)
     for name, pattern, severity, description, guards in V.CSS_SELECTORS:
         yield Rule(f"css:selector:{name}", pattern, "", tuple(guards), severity=severity, category="css_issue",
-                   source_type="css", metadata={"description": description})
+                   linear=name == "attr_js", source_type="css", metadata={"description": description})
     for name, pattern, prop, guards in V.CSS_PROPERTIES:
         yield Rule(f"css:property:{name}", pattern, "i", tuple(guards), category="css_issue",
-                   source_type="css", metadata={"property": prop})
+                   linear=name != "bg_image", source_type="css", metadata={"property": prop})
     yield Rule("css:import:external", V.CSS_IMPORT, "i", ("@import",), kind="css_import", margin=40,
                groups=(1, 2), category="css_issue", source_type="css")
     # Counted in the lower-cased text, which knows ASCII case only for these letters.
@@ -113,7 +123,7 @@ def _hiding():
     yield rule("visibility", V.HIDING_VISIBILITY, guards=("visibility",), evidence="visibility: hidden")
     yield rule("display_none", V.HIDING_DISPLAY, guards=("display",), evidence="display: none")
     yield rule("nested", V.HIDING_NESTED, guards=("<div", "<span", "<p", "<a"), severity=4,
-               source_type="html", margin=30, evidence=V.EVIDENCE_NESTED)
+               linear=True, source_type="html", margin=30, evidence=V.EVIDENCE_NESTED)
     yield rule("entities", V.NUMERIC_ENTITY, guards=("&#",), kind="entities", at_least=11, until=5,
                severity=4, source_type="html", margin=20)
 

@@ -1,49 +1,69 @@
-"""User-defined regular expressions."""
+"""User-defined regular expressions.
+
+They run in Python's ``re``, which is what their authors write for, one by one: a rule that fails on a
+page costs that rule's matches on that page and nothing else.  The JVM's engine would recurse on
+repeated groups and can end the whole executor.
+"""
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagescan.functions.text import lit
-from pagescan.operators.textrules import text_findings
-from pagescan.rules.loaders import needs_python
 from pagescan.schema import FINDINGS, finding, to_findings
 
+_HITS = "page_id BIGINT, location STRING, rule INT, text STRING, start INT, stop INT, around STRING, error STRING"
+_ARROW = pa.schema([("page_id", pa.int64()), ("location", pa.string()), ("rule", pa.int32()), ("text", pa.string()),
+                    ("start", pa.int32()), ("stop", pa.int32()), ("around", pa.string()), ("error", pa.string())])
+#: Matches after which a batch of rows is sent on.
+_ROWS = 10_000
+
 
 def custom_findings(pages: DataFrame, rules) -> DataFrame:
-    """Every match of every user rule.
-
-    Rules run as Spark expressions; those only Python's ``re`` can run as asked (empty
-    matches, syntax the JVM lacks) go through one map over the pages.
-    """
-    spark = pages.sparkSession
-    slow = [rule for rule in rules if needs_python(spark, rule)]
-    fast = [rule for rule in rules if rule not in slow]
-    parts = ([text_findings(pages, fast)] if fast else []) + ([_python_findings(pages, slow)] if slow else [])
-    if not parts:
+    """Every match of every user rule."""
+    rules = list(rules)
+    if not rules:
         return pages.sparkSession.createDataFrame([], FINDINGS)
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _python_findings(pages: DataFrame, rules) -> DataFrame:
-    flags = {"i": re.I, "s": re.S, "m": re.M}
-    specs = [(number, rule.pattern, sum(flags[f] for f in rule.flags)) for number, rule in enumerate(rules)]
-
-    def find(frames):
-        patterns = [(number, re.compile(pattern, flag)) for number, pattern, flag in specs]
-        for frame in frames:
-            yield pd.DataFrame([
-                (page_id, location, number, m.group(0), m.start(), m.end(),
-                 content[max(0, m.start() - 80):m.end() + 80])
-                for page_id, location, content in zip(frame.page_id, frame.location, frame.content)
-                for number, pattern in patterns for m in pattern.finditer(content)],
-                columns=["page_id", "location", "rule", "text", "start", "stop", "around"])
-
-    hits = pages.select("page_id", "location", "content").mapInPandas(
-        find, "page_id BIGINT, location STRING, rule INT, text STRING, start INT, stop INT, around STRING")
     rows = " ".join(f"WHEN {number} THEN " + finding(
         lit(r.key), lit(r.severity), lit(r.category), lit(r.source_type), "left(text, 200)",
         "translate(around, '\n\r', '  ')", "start", "stop",
         metadata={k: lit(v) for k, v in r.metadata.items()}) for number, r in enumerate(rules))
-    return to_findings(hits, f"array(CASE rule {rows} END)")
+    return to_findings(_hits(pages, rules).where("error IS NULL"), f"array(CASE rule {rows} END)")
+
+
+def custom_errors(pages: DataFrame, rules) -> DataFrame:
+    """One row for each rule that failed on a page: location, stage, and a message that names the rule."""
+    return _hits(pages, list(rules)).where("error IS NOT NULL").selectExpr("location", "'rule' AS stage", "error AS message")
+
+
+def _hits(pages: DataFrame, rules) -> DataFrame:
+    flags = {"i": re.I, "s": re.S, "m": re.M}
+    specs = [(number, rule.key, rule.pattern, sum(flags[f] for f in rule.flags)) for number, rule in enumerate(rules)]
+
+    def of_page(page_id, location, content):
+        for number, key, pattern, flag in specs:
+            try:
+                for m in re.finditer(pattern, content or "", flag):
+                    yield (page_id, location, number, m.group(0), m.start(), m.end(),
+                           content[max(0, m.start() - 80):m.end() + 80], None)
+            except Exception as error:  # this rule, on this page
+                yield page_id, location, number, None, None, None, None, f"{key}: {type(error).__name__}: {error}"
+
+    def find(batches):
+        rows = []
+
+        def batch_of():
+            return pa.RecordBatch.from_arrays([pa.array(list(column), field.type) for column, field in
+                                               zip(zip(*rows) if rows else [()] * len(_ARROW), _ARROW)], schema=_ARROW)
+
+        for batch in batches:
+            for page in zip(*(column.to_pylist() for column in batch.columns)):
+                for row in of_page(*page):
+                    rows.append(row)
+                    if len(rows) >= _ROWS:
+                        yield batch_of()
+                        rows.clear()
+        yield batch_of()
+
+    return pages.select("page_id", "location", "content").mapInArrow(find, _HITS)

@@ -1,10 +1,11 @@
 """Rules on the element tree of a page.
 
-``elements`` parses pages (Python, map-side, only pages on which a rule can fire) into one
-row per element that a rule looks at; every rule is an expression over those rows.
+``elements`` parses pages (Python, map-side) into one row per element, with its place in the page.  The
+rules run on narrower rows of the elements they can look at, from pages on which one can fire.
 """
 
 import re
+from bisect import bisect_left
 from html import escape, unescape
 
 import pyarrow as pa
@@ -15,10 +16,16 @@ from pagescan.functions.text import contains_any, fold, has_match, let, lit, onl
 from pagescan.rules import values as V
 from pagescan.schema import finding, to_findings
 
+#: All elements: ``begin`` and ``stop`` are offsets into the page's content, ``text`` is the element's own
+#: text without that of elements inside it.
 ELEMENTS = ("page_id BIGINT, location STRING, elem_no INT, tag STRING, attrs MAP<STRING, STRING>, "
-            "text STRING, outer_html STRING, form_no INT, field_types ARRAY<STRING>")
-# Rules show 500 characters of an element at most; whole ones would repeat the page per level.
-SHOWN = 500
+            "text STRING, begin INT, stop INT, form_no INT, field_types ARRAY<STRING>")
+#: What the rules look at: ``text`` is a script's code or the beginning of a link's whole text, ``bait``
+#: says whether that text holds a bait word, ``outer_html`` is what findings can show of the source.
+_LOOKED_AT = ("page_id BIGINT, location STRING, elem_no INT, tag STRING, attrs MAP<STRING, STRING>, "
+              "text STRING, bait BOOLEAN, outer_html STRING, form_no INT, field_types ARRAY<STRING>")
+# Findings show 500 characters of an element and 100 of a link's text at most.
+SHOWN, _SHOWN_TEXT = 500, 100
 
 # Elements without content, and which start tag ends an open element.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -38,9 +45,9 @@ _USED = {"src", "integrity", "href", "style", "width", "height", "sandbox", "ari
 # repetitions are possessive, so broken markup cannot make the search go back.
 _MARKUP = re.compile(r"""
     <!--(?P<comment>.*?)(?:--!?>|\Z)
-  | <(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+)>
-  | </(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+>
-  | <[!?/][^>]*+>""", re.S | re.X)
+  | <(?P<start>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+|=)*+)(?:>|\Z)
+  | </(?P<end>[a-zA-Z][^\s/>]*+)[^>]*+(?:>|\Z)
+  | <[!?/][^>]*+(?:>|\Z)""", re.S | re.X)
 _ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>"'][^\s>]*+)?+)?+""")
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in ("script", "style", "textarea", "title")}
 
@@ -56,11 +63,21 @@ def _attributes(source):
     return values
 
 
+_BAIT = re.compile("(?=" + "|".join(map(re.escape, V.BAIT_WORDS)) + ")")
+_LONGEST_BAIT = max(map(len, V.BAIT_WORDS))
+_UNBLANK = re.compile("[^ ]+")
+
+
 class _Page:
-    """One page's elements; ``parts`` are (kind, value) pieces of its normalised source."""
+    """One page's elements; ``parts`` are (kind, value) pieces of its normalised source.
+
+    ``texts`` are the pieces of its text, and a link knows its stretch of them, so that links
+    left open inside one another cost no more than others.
+    """
 
     def __init__(self, text):
         self.rows, self.open, self.parts, self.forms, self.form = [], [], [], 0, None
+        self.counts, self.texts, self.length = {}, [], 0
         place = 0
         while True:
             found = _MARKUP.search(text, place)
@@ -69,55 +86,71 @@ class _Page:
                 break
             place = found.end()
             kind = found.lastgroup
+            if place == len(text) and text[-1] != ">" and kind != "comment":
+                break  # a tag that never ends is none, and takes the rest of the page with it
             if kind == "attrs":
                 tag = found["start"].lower()
-                self._start(tag, found["attrs"])
+                row = self._start(tag, found["attrs"], found.start(), place)
                 if tag in _RAW_END:
                     end = _RAW_END[tag].search(text, place)
                     stop = end.start() if end else len(text)
-                    self.parts.append(("code" if tag in ("script", "style") else "text", text[place:stop]))
+                    code = tag in ("script", "style")
+                    if stop > place:
+                        self._part("code" if code else "text", text[place:stop])
+                        row["own"].append(text[place:stop] if code else unescape(text[place:stop]))
                     place = stop
             elif kind == "end":
-                self._end(found["end"].lower())
+                self._end(found["end"].lower(), found.start(), place)
             else:
                 self.parts.append(("markup", found.group(0)))
         while self.open:
-            self._close()
+            self._close(len(text))
+
+    def _part(self, kind, value):
+        self.parts.append((kind, value))
+        if kind == "text":
+            self.texts.append(unescape(value))
+            self.length += len(self.texts[-1])
 
     def _text(self, text):
         if text:
-            self.parts.append(("text", text))
+            self._part("text", text)
+            if self.open:
+                self.open[-1]["own"].append(self.texts[-1])
 
-    def _start(self, tag, source):
+    def _start(self, tag, source, begin, stop):
         while self.open and tag in _ENDED_BY.get(self.open[-1]["tag"], ()):
-            self._close()
+            self._close(begin)
         values = _attributes(source) if source else {}
-        row = {"tag": tag, "attrs": values, "begin": len(self.parts), "form": self.form, "types": []}
+        row = {"tag": tag, "attrs": values, "begin": len(self.parts), "form": self.form, "types": [], "own": [],
+               "from": begin, "to": stop, "text": self.length}
         if tag == "form":
             self.forms += 1
             self.form, row["number"] = row, self.forms
         elif tag == "input" and self.form is not None:
             self.form["types"].append(values.get("type", ""))
         self.parts.append(("start", row))
-        if tag in _ALWAYS or not _MARKS.isdisjoint(values):
-            self.rows.append(row)
+        self.rows.append(row)
         if tag in _VOID:
-            row["end"] = len(self.parts)
+            row["end"], row["text_end"] = len(self.parts), self.length
         else:
             self.open.append(row)
+            self.counts[tag] = self.counts.get(tag, 0) + 1
+        return row
 
-    def _close(self):
+    def _close(self, stop):
         row = self.open.pop()
+        self.counts[row["tag"]] -= 1
         self.parts.append(("markup", f"</{row['tag']}>"))
-        row["end"] = len(self.parts)
+        row["end"], row["to"], row["text_end"] = len(self.parts), stop, self.length
         if row is self.form:
             self.form = None
 
-    def _end(self, tag):
-        if any(row["tag"] == tag for row in self.open):
+    def _end(self, tag, begin, stop):
+        if self.counts.get(tag):
             while self.open[-1]["tag"] != tag:
-                self._close()
-            self._close()
+                self._close(begin)
+            self._close(stop)
 
     def _source(self, row):
         """What is shown of an element: its normalised source up to the longest cut."""
@@ -136,16 +169,43 @@ class _Page:
                 break
         return "".join(out)[:SHOWN]
 
-    def elements(self):
+    def _number(self, row):
+        form = row if row["tag"] == "form" else row["form"]
+        return form and form["number"]
+
+    def all(self):
         for number, row in enumerate(self.rows):
-            form, tag = row if row["tag"] == "form" else row["form"], row["tag"]
-            text = None
-            if tag in ("a", "script"):
-                inner = self.parts[row["begin"]:row["end"]]
-                text = "".join(unescape(v) if k == "text" else v for k, v in inner
-                               if k == ("text" if tag == "a" else "code"))
-            yield (number, tag, [(n, v) for n, v in row["attrs"].items() if n in _USED], text, self._source(row),
-                   form and form["number"], row["types"] if tag == "form" else None)
+            yield (number, row["tag"], [*row["attrs"].items()], "".join(row["own"]), row["from"], row["to"],
+                   self._number(row), row["types"] if row["tag"] == "form" else None)
+
+    def looked_at(self):
+        """The rows that a rule can look at."""
+        text = "".join(self.texts)
+        # Lower-cased letter by letter, where that keeps the length.
+        low = text.lower() if len(text.lower()) == len(text) else "".join(
+            c.lower() if len(c.lower()) == 1 else c for c in text)
+        baits = [m.start() for m in _BAIT.finditer(low)]
+        filled = [m.span() for m in _UNBLANK.finditer(text)]
+        starts = [a for a, _ in filled]
+        rows = [row for row in self.rows if row["tag"] in _ALWAYS or not _MARKS.isdisjoint(row["attrs"])]
+        for number, row in enumerate(rows):
+            tag, own, bait = row["tag"], None, None
+            if tag == "script":
+                own = "".join(row["own"])
+            elif tag == "a":
+                begin, end = row["text"], row["text_end"]
+                word = bisect_left(starts, begin)
+                if word and filled[word - 1][1] > begin:
+                    word -= 1
+                first = max(begin, starts[word]) if word < len(starts) and max(begin, starts[word]) < end else end
+                own = text[first:min(end, first + _SHOWN_TEXT)]
+                place = bisect_left(baits, begin)
+                # If the first one is not wholly inside, only those close behind it can be.
+                near = baits[place:place + _LONGEST_BAIT + 1]
+                bait = bool(near) and (near[0] + _LONGEST_BAIT <= end or any(
+                    low.startswith(w, at) and at + len(w) <= end for at in near for w in V.BAIT_WORDS))
+            yield (number, tag, [(n, v) for n, v in row["attrs"].items() if n in _USED], own, bait, self._source(row),
+                   self._number(row), row["types"] if tag == "form" else None)
 
 
 def _quoted(value):
@@ -155,23 +215,37 @@ def _quoted(value):
     return f"'{value}'" if "'" not in value else '"' + value.replace('"', "&quot;") + '"'
 
 
-_ARROW = pa.schema([
-    ("page_id", pa.int64()), ("location", pa.string()), ("elem_no", pa.int32()), ("tag", pa.string()),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string()), ("outer_html", pa.string()),
-    ("form_no", pa.int32()), ("field_types", pa.list_(pa.string()))])
+_TYPES = {"page_id": pa.int64(), "location": pa.string(), "elem_no": pa.int32(), "tag": pa.string(),
+          "attrs": pa.map_(pa.string(), pa.string()), "text": pa.string(), "bait": pa.bool_(), "outer_html": pa.string(),
+          "begin": pa.int32(), "stop": pa.int32(), "form_no": pa.int32(), "field_types": pa.list_(pa.string())}
+#: Elements after which a batch is sent on.
+_ROWS = 5_000
 
 
-def _parse(batches):
-    for batch in batches:
+def _parser(columns: str, kind: str):
+    schema = pa.schema([(c.split()[0], _TYPES[c.split()[0]]) for c in columns.split(", ") if c.split()[0] in _TYPES])
+
+    def batch_of(rows):
+        columns = zip(*rows) if rows else ([] for _ in schema)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(column), field.type) for column, field in zip(columns, schema)], schema=schema)
+
+    def parse(batches):
         rows = []
-        for page_id, location, content in zip(*(column.to_pylist() for column in batch.columns)):
-            try:
-                rows += [(page_id, location, *row) for row in _Page(content).elements()]
-            except Exception as error:  # one broken page must not stop the scan
-                rows.append((page_id, location, -1, "#error", [], str(error), None, None, None))
-        columns = zip(*rows) if rows else ([] for _ in _ARROW)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(column), field.type) for column, field in zip(columns, _ARROW)], schema=_ARROW)
+        for batch in batches:
+            for page_id, location, content in zip(*(column.to_pylist() for column in batch.columns)):
+                try:
+                    found = [(page_id, location, *row) for row in getattr(_Page(content or ""), kind)()]
+                except Exception as error:  # one broken page must not stop the scan
+                    found = [(page_id, location, -1, "#error", [], str(error)) + (None,) * (len(schema) - 6)]
+                for row in found:
+                    rows.append(row)
+                    if len(rows) >= _ROWS:
+                        yield batch_of(rows)
+                        rows.clear()
+        yield batch_of(rows)
+
+    return parse
 
 
 # A rule can only fire on a page that holds one of these, or spells it with entities.
@@ -184,9 +258,14 @@ def can_fire(folded: str) -> str:
 
 
 def elements(pages: DataFrame) -> DataFrame:
-    """One row per element that a rule can look at; a page that fails gives one ``#error`` row."""
+    """One row per element of every page, in the order of start tags; a page that fails gives one ``#error`` row."""
+    return pages.select("page_id", "location", "content").mapInArrow(_parser(ELEMENTS, "all"), ELEMENTS)
+
+
+def looked_at(pages: DataFrame) -> DataFrame:
+    """The elements that a rule can look at, of pages on which one can fire; ``#error`` rows as above."""
     wanted = pages.where(f"content != '' AND {can_fire(fold('content'))}")
-    return wanted.select("page_id", "location", "content").mapInArrow(_parse, ELEMENTS)
+    return wanted.select("page_id", "location", "content").mapInArrow(_parser(_LOOKED_AT, "looked_at"), _LOOKED_AT)
 
 
 def _attr(name: str) -> str:
@@ -252,7 +331,7 @@ def _link():
 
     def rows(v):
         external = f"(coalesce(base, '') != '' AND {U.is_external_link(href, 'base', f'{v}.domain')})"
-        bait = U.is_bait("text", f"{v}.domain")
+        bait = f"(coalesce(bait, false) AND {U.is_bait_domain(f'{v}.domain')})"
         short = U.short_link(f"{v}.domain")
         tld = f"{v}.tld IS NOT NULL"
         risk = U.points((external, 2), (tld, U.tld_weight(f"{v}.tld")), (short, 3), (bait, 2))
@@ -316,11 +395,11 @@ def _any_element():
 
 
 def dom_findings(pages: DataFrame) -> DataFrame:
-    return element_findings(elements(pages))
+    return element_findings(looked_at(pages))
 
 
 def element_findings(rows: DataFrame) -> DataFrame:
-    """All element rules over the rows of ``elements``."""
+    """All element rules over the rows of ``looked_at``."""
     by_tag = f"""CASE tag WHEN 'script' THEN {_script()} WHEN 'iframe' THEN {_iframe()}
         WHEN 'a' THEN {_link()} WHEN 'form' THEN {_form()} WHEN 'input' THEN {_input()} ELSE array() END"""
     rows = rows.where("tag != '#error'").selectExpr("*", f"{U.page_domain('location')} AS base")

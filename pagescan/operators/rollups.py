@@ -55,9 +55,11 @@ def page_verdicts(pages: DataFrame, findings: DataFrame) -> DataFrame:
 
     Findings are counted per page before the join, so no page's findings meet in one task.
     """
-    counted = severity_histogram(findings, ["page_id"])
+    counted = severity_histogram(findings, ["page_id", "location"]).withColumnsRenamed(
+        {"page_id": "_page", "location": "_location"})
     levels = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("total", *LEVELS)]
-    return pages.select("page_id", "location").join(counted, "page_id", "left").select(
+    same = F.col("page_id").eqNullSafe(F.col("_page")) & F.col("location").eqNullSafe(F.col("_location"))
+    return pages.select("page_id", "location").join(counted, same, "left").select(
         "page_id", "location", *levels).withColumn("risk", F.expr(
             "CASE WHEN critical > 0 THEN 'critical' WHEN high > 0 THEN 'high' WHEN total > 0 THEN 'low' "
             "ELSE 'clean' END"))

@@ -5,13 +5,16 @@ once, and plain columns on the exploded rows turn matches into findings.  No shu
 no state, so the same functions serve batch and streaming tables.
 """
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.types import StructType
 
 from pagescan.functions import urls as U
-from pagescan.functions.dialect import to_java
+from pagescan.functions.dialect import to_java, to_re2
+from pagescan.functions.linear import Pattern, matcher
 from pagescan.functions.text import (
     around, contains_any, each, first_word, fold, from_char, has_match, let, lit, lits, one_line, only,
     pieces, spans, struct, when)
@@ -45,8 +48,39 @@ def _seen(guards, words) -> str:
                               for g in guards) + ")"
 
 
+def _fixed(rule: C.Rule, number: int) -> dict:
+    return dict(rule=lit(number), margin=lit(rule.margin), until=f"CAST({lit(rule.until)} AS INT)", **_UNLABELLED)
+
+
+def _taken(place: int, **extra: str) -> str:
+    """The matches of a linear pattern as an entry; NULL where it was not tried or found nothing."""
+    column = f"linear.p{place}"
+    return when(f"{column} IS NOT NULL", struct(**{n: f"{column}.{n}" for n in ("found", "gaps", "g1", "g2")}, **extra))
+
+
+def _with_linear(pages: DataFrame, tries) -> DataFrame:
+    """Pages with the column ``linear``: what ``tries``, pairs of pattern and condition, find."""
+    if not tries:
+        return pages
+    bits = " | ".join(f"IF({condition or 'true'}, {1 << k}L, 0L)" for k, (_, condition) in enumerate(tries))
+    asked = pages.selectExpr("*", f"{bits} AS bits")
+    return asked.withColumn("linear", matcher([p for p, _ in tries])(
+        F.expr("IF(bits = 0, NULL, content)"), F.col("bits"))).drop("bits")
+
+
+def _linear_try(rule: C.Rule, words) -> tuple:
+    conditions = [_seen(rule.guards, words)] if rule.guards else []
+    if rule.requires:
+        conditions.append(has_match("content", rule.requires, rule.flags))
+    return Pattern(rule.pattern, rule.flags, rule.groups, rule.before, rule.at_least), " AND ".join(conditions)
+
+
+def _data_try(words) -> tuple:
+    return Pattern(V.URL_DATA, "i"), _seen([_URL_GUARDS[V.URL_DATA]], words)
+
+
 def _entry(rule: C.Rule, number: int, words) -> str:
-    fixed = dict(rule=lit(number), margin=lit(rule.margin), until=f"CAST({lit(rule.until)} AS INT)", **_UNLABELLED)
+    fixed = _fixed(rule, number)
     rx = lit(rule.regex())
     if rule.upto or rule.tail:
         head = (f"left(content, length(content) - length(substring_index(content, {lit(rule.upto)}, -1)))" if rule.upto
@@ -92,12 +126,13 @@ def _keyword_entries(number: int, keywords: list[dict], words) -> str:
     return f"flatten({only(*parts)})"
 
 
-def _url_spans(patterns, words) -> str:
+def _url_spans(patterns, words, data_place: int) -> str:
     """First occurrence of each URL of a page: ``array<struct<text, number, start, stop, context>>``.
 
     Sorting by URL finds the first occurrences without a shuffle or a quadratic search.
     """
-    entries = only(*[when(_seen([_URL_GUARDS[rx]], words), pieces("content", lit(to_java(rx, "i")), number=lit(i)))
+    entries = only(*[_taken(data_place, number=lit(i)) if rx == V.URL_DATA else
+                     when(_seen([_URL_GUARDS[rx]], words), pieces("content", lit(to_java(rx, "i")), number=lit(i)))
                      for i, rx in enumerate(patterns)])
     found = "flatten(" + each("transform", entries, lambda e: each(
         "transform", spans(e, "50", keep=("number",)), lambda s: struct(
@@ -121,8 +156,8 @@ def extract_urls(pages: DataFrame) -> DataFrame:
             web=f"array_join({each('transform', web, lambda u: f'{u}.text')}, '\n')")
 
     words = _guards([C.URL])
-    found = let(kept, urls=_url_spans([V.URL_HTTP, V.URL_PATH, V.URL_JAVASCRIPT, V.URL_DATA], words))
-    return (_folded(pages, words).selectExpr("page_id", "location", f"inline({found})")
+    found = let(kept, urls=_url_spans([V.URL_HTTP, V.URL_PATH, V.URL_JAVASCRIPT, V.URL_DATA], words, 0))
+    return (_with_linear(_folded(pages, words), [_data_try(words)]).selectExpr("page_id", "location", f"inline({found})")
             .selectExpr("page_id", "location", "text AS url", "context", "start AS pos_start",
                         "stop AS pos_end", "number AS pattern_no"))
 
@@ -140,7 +175,10 @@ def _folded(pages: DataFrame, words) -> DataFrame:
 def _hits(pages: DataFrame, rules, keywords) -> DataFrame:
     """Exploded matches: page_id, location and one struct ``hit`` per match."""
     numbers, words = {r.kind: i for i, r in enumerate(rules)}, _guards(rules, keywords)
-    plain = [_entry(r, i, words) for i, r in enumerate(rules) if r.kind not in ("keyword", "url")]
+    slow = [i for i, r in enumerate(rules) if r.linear]
+    tries = [_linear_try(rules[i], words) for i in slow] + ([_data_try(words)] if "url" in numbers else [])
+    plain = [_taken(slow.index(i), **_fixed(r, i)) if r.linear else _entry(r, i, words)
+             for i, r in enumerate(rules) if r.kind not in ("keyword", "url")]
     entries = [only(*plain)] if plain else []
     if "keyword" in numbers:
         entries += [_keyword_entries(numbers["keyword"], keywords[i:i + 1000], words)
@@ -153,10 +191,10 @@ def _hits(pages: DataFrame, rules, keywords) -> DataFrame:
             e, f"{e}.margin", f"{e}.until", keep=_KEPT)) + ")")
     if "url" in numbers:
         # Rooted paths never score, so findings need the other three shapes only.
-        arrays.append(each("transform", _url_spans([V.URL_HTTP, V.URL_JAVASCRIPT, V.URL_DATA], words), lambda u: struct(
+        arrays.append(each("transform", _url_spans([V.URL_HTTP, V.URL_JAVASCRIPT, V.URL_DATA], words, len(slow)), lambda u: struct(
             text=f"{u}.text", start=f"{u}.start", stop=f"{u}.stop", before=f"{u}.context", after="''",
             g1="CAST(NULL AS STRING)", g2="CAST(NULL AS STRING)", n="1", rule=lit(numbers["url"]), **_UNLABELLED)))
-    return _folded(pages, words).selectExpr("page_id", "location", f"inline(concat({', '.join(arrays)}))")
+    return _with_linear(_folded(pages, words), tries).selectExpr("page_id", "location", f"inline(concat({', '.join(arrays)}))")
 
 
 # --- matches to findings -----------------------------------------------------------
@@ -224,11 +262,10 @@ def _css_value():
 
 
 def _css_absolute():
-    text = from_char("text", "length(g1) + 1")
     digits = f"ltrim('0', regexp_extract(text, {lit(to_java(V.CSS_ABSOLUTE_DIGITS, 'i'))}, 1))"
     return "array(" + finding(
-        "r.key", f"IF(length({digits}) > 4, 4, 3)", "r.category", "r.source_type", text,
-        one_line(f"concat(right(concat(before, g1), 50), {text}, after)"), "start + length(g1)", "stop") + ")"
+        "r.key", f"IF(length({digits}) > 4, 4, 3)", "r.category", "r.source_type", "text",
+        _CONTEXT, "start", "stop") + ")"
 
 
 def _css_import():
@@ -367,11 +404,28 @@ def text_findings(pages: DataFrame, rules, keywords=()) -> DataFrame:
 
 # --- entropy -------------------------------------------------------------------------
 
-@F.pandas_udf(T.DoubleType())
-def char_entropy(texts: pd.Series) -> pd.Series:
-    """Shannon entropy of the characters of each text, in bits."""
-    import numpy as np
+def _without_comments(texts: pa.Array) -> pa.Array:
+    """Code without line and block comments.
 
+    No block comment ends after the last end mark, so what follows the line of that mark is rid of
+    line comments only; an unclosed block is then no work for every comment behind it.
+    """
+    heads, tails = [], []
+    for text in texts.to_pylist():
+        last = (text or "").rfind("*/")
+        line = text.find("\n", last) if last >= 0 else 0
+        cut = len(text or "") if line < 0 else line
+        heads.append((text or "")[:cut])
+        tails.append((text or "")[cut:])
+    both = [pc.replace_substring_regex(pa.array(part, pa.string()), pattern=pattern, replacement="")
+            for part, pattern in ((heads, to_re2(V.CODE_COMMENTS, "s")), (tails, r"//[^\n]*"))]
+    return pc.binary_join_element_wise(*both, "")
+
+
+@F.arrow_udf(StructType().add("bits", "double").add("shown", "string").add("rounded", "string"))
+def char_entropy(texts: pa.Array) -> pa.Array:
+    """Shannon entropy of the characters of each text without comments, in bits, 0 for an empty one; and
+    with two places, rounded half to even from the exact value."""
     def entropy(text):
         if not text:
             return 0.0
@@ -379,14 +433,15 @@ def char_entropy(texts: pd.Series) -> pd.Series:
         share = counts / counts.sum()
         return float(-(share * np.log2(share)).sum())
 
-    return texts.map(entropy)
+    bits = [entropy(text) for text in _without_comments(texts).to_pylist()]
+    return pa.StructArray.from_arrays([pa.array(bits, pa.float64()), pa.array([f"{e:.2f}" for e in bits]),
+                                       pa.array([str(round(e, 2)) for e in bits])], ["bits", "shown", "rounded"])
 
 
 def entropy_findings(pages: DataFrame) -> DataFrame:
     """One finding per page whose text without comments looks encoded."""
-    code = F.expr(f"IF({contains_any('content', ['//', '/*'])}, "
-                  f"regexp_replace(content, {lit(to_java(V.CODE_COMMENTS, 's'))}, ''), content)")
-    rows = pages.select("page_id", "location", char_entropy(code).alias("entropy")).where("entropy > 3.8")
-    return to_findings(rows, "array(" + finding(
-        "IF(entropy > 4.5, 'js:entropy:high', 'js:entropy:medium')", "IF(entropy > 4.5, 4, 2)", "'js_issue'", "'js'",
-        f"format_string({lit(V.EVIDENCE_ENTROPY)}, entropy)", metadata={"entropy": "round(entropy, 2)"}) + ")")
+    # Not deterministic, as far as Spark knows: else the test for large values would run it a second time.
+    rows = pages.select("page_id", "location", char_entropy.asNondeterministic()("content").alias("entropy"))
+    return to_findings(rows, when("entropy.bits > 3.8", "array(" + finding(
+        "IF(entropy.bits > 4.5, 'js:entropy:high', 'js:entropy:medium')", "IF(entropy.bits > 4.5, 4, 2)", "'js_issue'", "'js'",
+        f"replace({lit(V.EVIDENCE_ENTROPY)}, '%.2f', entropy.shown)", metadata={"entropy": "entropy.rounded"}) + ")"))

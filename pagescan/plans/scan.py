@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame
 from pagescan.functions import urls as U
 from pagescan.functions.text import lit
 from pagescan.operators import catalog as C
-from pagescan.operators.custom import custom_findings
-from pagescan.operators.dom import dom_findings, elements
+from pagescan.operators.custom import custom_errors, custom_findings
+from pagescan.operators.dom import dom_findings, looked_at
 from pagescan.operators.textrules import entropy_findings, extract_urls, text_findings
 from pagescan.rules.loaders import keyword_table, built_in_keywords
 
@@ -62,12 +62,13 @@ def detect(pages: DataFrame, detector: str) -> DataFrame:
     return texts(C.HIDING, "hiding:")
 
 
-def scan_errors(pages: DataFrame) -> DataFrame:
-    """What could not be judged: element trees that failed, and URLs with an impossible port.
+def scan_errors(pages: DataFrame, rules=()) -> DataFrame:
+    """What could not be judged: element trees that failed, URLs with an impossible port, and user rules
+    that failed on a page.
 
     Only the failing part of a page is lost; its other findings stay.
     """
-    trees = elements(pages).where("tag = '#error'").selectExpr("location", "'dom' AS stage", "text AS message")
+    trees = looked_at(pages).where("tag = '#error'").selectExpr("location", "'dom' AS stage", "text AS message")
     ports = extract_urls(pages).where(f"pattern_no = 0 AND {U.has_bad_port('url')}").selectExpr(
         "location", "'url' AS stage", "url AS message")
-    return trees.unionByName(ports)
+    return union([trees, ports, *([custom_errors(pages, rules)] if rules else [])])

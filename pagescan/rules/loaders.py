@@ -7,8 +7,8 @@ from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagescan.functions.dialect import WORD, to_java
-from pagescan.functions.text import lit, lits
+from pagescan.functions.dialect import WORD
+from pagescan.functions.text import lits
 from pagescan.operators.catalog import Rule
 from pagescan.rules import values as V
 
@@ -24,8 +24,8 @@ def built_in_keywords() -> tuple:
 def clean_keywords(rows: DataFrame) -> DataFrame:
     """Raw string columns keyword, category, weight as a keyword table.
 
-    Comment lines, blank keywords and rows without a third column go; unknown categories
-    become ``other``; weights are held between 1 and 10, unreadable ones are 5.
+    Comment lines, blank keywords and rows without a third column (NULL) go; unknown categories
+    become ``other``; weights are held between 1 and 10, blank and unreadable ones are 5.
     """
     return (rows.where("weight IS NOT NULL AND trim(keyword) != '' AND NOT startswith(trim(keyword), '#')")
             .selectExpr(
@@ -45,7 +45,9 @@ def load_keywords(spark: SparkSession, path: str | None = None) -> list[dict]:
     rows = ()
     if path is not None:
         try:
-            raw = spark.read.csv(path, schema="keyword STRING, category STRING, weight STRING")
+            # A blank third column is read as the empty text, a missing one as NULL.
+            raw = spark.read.csv(path, schema="keyword STRING, category STRING, weight STRING", nullValue="\x00",
+                                 emptyValue="")
             rows = [tuple(r) for r in clean_keywords(raw).collect()]
         except Exception as error:
             if "PATH_NOT_FOUND" not in str(error):
@@ -80,20 +82,28 @@ def _keyword_pattern(keyword: str) -> str:
 
 
 def clean_custom_rules(rows: DataFrame) -> DataFrame:
-    """String columns of user rules with defaults put in and severities held between 1 and 10."""
-    return rows.where("rule_id IS NOT NULL AND pattern IS NOT NULL").selectExpr(
+    """Columns of user rules with defaults put in and severities held between 1 and 10; a row whose
+    severity is no number is skipped."""
+    usable = "rule_id IS NOT NULL AND pattern IS NOT NULL AND (severity IS NULL OR try_cast(severity AS INT) IS NOT NULL)"
+    return rows.where(usable).selectExpr(
         "rule_id", "pattern", "coalesce(flags, '') AS flags",
-        "greatest(1, least(10, coalesce(CAST(severity AS INT), 5))) AS severity",
+        "greatest(1, least(10, coalesce(try_cast(severity AS INT), 5))) AS severity",
         "coalesce(category, 'suspicious_pattern') AS category", "coalesce(source_type, 'text') AS source_type",
         "coalesce(description, '') AS description")
 
 
-def load_custom_rules(path: str) -> list[Rule]:
-    """User rules from a YAML file; entries that cannot be used are skipped."""
+def load_custom_rules(path: str, spark: SparkSession | None = None) -> list[Rule]:
+    """User rules from a YAML file; entries that cannot be used are skipped.
+
+    With a session the file is read by Spark, from any storage it knows.
+    """
     import yaml
     try:
-        with open(path, encoding="utf-8") as file:
-            data = yaml.safe_load(file)
+        if spark is not None:
+            data = yaml.safe_load(spark.read.text(path, wholetext=True).first()[0])
+        else:
+            with open(path, encoding="utf-8") as file:
+                data = yaml.safe_load(file)
     except (OSError, yaml.YAMLError):
         return []
     return custom_rules(data.get("rules", ()) if isinstance(data, dict) else ())
@@ -115,15 +125,3 @@ def custom_rules(entries) -> list[Rule]:
         except (re.error, KeyError, TypeError, ValueError, AttributeError):
             continue
     return rules
-
-
-def needs_python(spark: SparkSession, rule: Rule) -> bool:
-    """Can the rule match the empty string, or does the JVM refuse its pattern?"""
-    from re import _parser
-    if _parser.parse(rule.pattern).getwidth()[0] == 0:
-        return True
-    try:
-        spark.sql(f"SELECT regexp_count('', {lit(to_java(rule.pattern, rule.flags))})").collect()
-    except Exception:
-        return True
-    return False

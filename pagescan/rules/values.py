@@ -122,7 +122,7 @@ JS_PATTERNS = [
      r"(function\s*\(\s*\)\s*\{[^\}]*\}\s*\(\s*\))|\(([^\)]+)\)\(\)", 3, "自执行函数", ["function", ")()"]),
     ("conditional_eval", r"if\s*\([^\)]*\)\s*\{[^\}]*eval\s*\(", 4, "条件 eval 调用", ["eval"]),
     ("try_catch_eval", r"try\s*\{[^\}]*eval\s*\([^\)]*\)[^\}]*\}\s*catch", 4, "try-catch 中的 eval", ["eval"]),
-    ("hidden_eval", r"[a-zA-Z_$][a-zA-Z0-9_$]*\s*=\s*[\"']eval[\"'][^;\n]*;[^\[\n]*\[.*\]\s*\(", 5,
+    ("hidden_eval", r"[a-zA-Z_$][a-zA-Z0-9_$]*\s*=\s*[\"']eval[\"'].*;.*\[.*\]\s*\(", 5,
      "隐藏的 eval 调用", ["eval'", 'eval"']),
     ("cookie", r"document\.cookie", 3, "Cookie 操作", ["document.cookie"]),
     ("referrer", r"document\.referrer", 1, "Referrer 检查", ["document.referrer"]),
@@ -152,9 +152,7 @@ CSS_HIDING_VALUES = {
     "text-indent": ["-9999px", "-999px", "-1000px"],
     "transform": ["translateX(-9999px)", "translateY(-9999px)"],
 }
-# Every start between two braces leads to the same block, so only the first one is tried
-# (group 1 is skipped); plain text without braces then costs one pass.
-CSS_ABSOLUTE = (r"(?:\G|(?<=\{))([^{#\w]*?)\.?[#\w][^{]+\{[^}]*"
+CSS_ABSOLUTE = (r"\.?[#\w][^{]+\{[^}]*"
                 r"(?:left|top|right|bottom)\s*:\s*-\d{3,}(?:px|em|%)")
 CSS_ABSOLUTE_DIGITS = r"-(\d{3,})(?:px|em|%)$"
 CSS_OFFSET = r":\s*-\d{3,}(?:px|em|%)"
@@ -214,7 +212,6 @@ KEYWORD_CATEGORIES = {"gambling": "博彩", "porn": "色情", "malware": "恶意
 HTML_EXTENSIONS = [".html", ".htm", ".shtml", ".xhtml", ".php", ".asp", ".aspx", ".jsp"]
 CSS_EXTENSIONS = [".css", ".less", ".scss", ".sass"]
 JS_EXTENSIONS = [".js", ".jsx", ".ts", ".tsx"]
-MAX_FILE_CHARS = 10 * 1024 * 1024
 INTERNAL_HOST = (r"^(127\.0\.0\.1|localhost|10\.\d+\.\d+\.\d+|172\.(?:1[6-9]|2\d|3[01])\.\d+\.\d+"
                  r"|192\.168\.\d+\.\d+)$")
 ERROR_UNREADABLE = "无法读取: "

@@ -1,6 +1,7 @@
 """Directories of files as scan input."""
 
 import fnmatch
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -12,9 +13,6 @@ from pagescan.functions.text import lit
 from pagescan.rules import values as V
 from pagescan.sources.pages import has_extension
 
-# The path of a file without scheme and host.
-_PATH = "regexp_replace({}, '^[a-zA-Z][a-zA-Z0-9+.-]*:(?://[^/]*)?', '')"
-
 
 def excluded(path: str, patterns) -> str:
     """SQL: does a path match an exclude pattern?  ``*`` crosses slashes; ``dir/`` is a prefix."""
@@ -70,14 +68,27 @@ def decode_files(files: DataFrame, max_chars: int | None = None) -> DataFrame:
         "IF(valid, 'utf-8', other.charset) AS charset")
 
 
+def _qualified(spark: SparkSession, directory: str) -> str:
+    """A directory as its file system names it in full, not percent-encoded."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+
+
+def location(path: str) -> str:
+    """SQL: a file's location from its encoded URI: the path for local files, else the whole URI, decoded."""
+    decoded = f"try_url_decode(replace({path}, '+', '%2B'))"
+    return f"regexp_replace({decoded}, '^file:/+', '/')"
+
+
 def list_files(spark: SparkSession, directory: str, mode: str = "deep", depth: int = 3, exclude=()) -> DataFrame:
     """The files of a directory tree a scan takes: location and content, read lazily.
 
-    The conditions are on the file name only, so Spark drops files before opening them.
+    The directory may be relative or on any storage Spark knows; locations keep scheme and host, but
+    for local files.  The conditions are on the file name only, so Spark drops files before opening them.
     """
-    path = _PATH.format("_metadata.file_path")
-    base = directory.split("://")[-1] if "://" in directory else directory.removeprefix("file:")
+    base = re.sub("^file:/+", "/", _qualified(spark, directory))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+    path = location("_metadata.file_path")
     return files.where(selected(path, base, mode, depth, exclude)).selectExpr(f"{path} AS location", "content")
 
 

@@ -19,23 +19,19 @@ def fetch_errors(table: DataFrame, url="url", html="html") -> DataFrame:
         f"{url} AS location", "'fetch' AS stage", f"concat({lit(V.ERROR_FETCH)}, {url}) AS message")
 
 
-def spread(pages: DataFrame) -> DataFrame:
-    """Pages over all cores where the input has fewer partitions than that, as one small
-    file has; large inputs stay as they are read."""
-    wanted = pages.sparkSession.sparkContext.defaultParallelism
-    if pages.isStreaming or pages.rdd.getNumPartitions() >= wanted:
-        return pages
-    return pages.repartition(wanted, "page_id")
-
-
 def first_of_location(pages: DataFrame) -> DataFrame:
-    """Each location once, with its lowest page_id.
+    """Each location once, NULL as one of them, with its lowest page_id; of several contents under that
+    id the one with the least hash, and of equal rows one.
 
-    The winners are found on the two narrow columns, where partial aggregation takes care of
+    The winners are found on narrow columns, where partial aggregation takes care of
     a location that is most of the table; content moves once, spread by location and page_id.
     """
-    winners = pages.groupBy("location").agg(F.min("page_id").alias("page_id"))
-    return pages.join(winners, ["location", "page_id"], "left_semi").select(*pages.columns)
+    mark = F.xxhash64("content")
+    first = pages.groupBy("location").agg(F.min(F.struct("page_id", mark.alias("mark"))).alias("first")).select(
+        F.col("location").alias("_location"), F.col("first.page_id").alias("_page_id"), F.col("first.mark").alias("_mark"))
+    won = (F.col("location").eqNullSafe(F.col("_location")) & F.col("page_id").eqNullSafe(F.col("_page_id"))
+           & (mark == F.col("_mark")))
+    return pages.join(first, won, "left_semi").select(*pages.columns).dropDuplicates(["location", "page_id"])
 
 
 def read_targets(spark: SparkSession, path: str) -> DataFrame:

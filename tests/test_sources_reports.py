@@ -46,6 +46,23 @@ def test_directory_scan(spark, site):
     assert rules == {"a.html", "one/two/three/f.css"}
 
 
+def test_directories_by_any_name(spark, tmp_path, monkeypatch):
+    root = tmp_path / "in ner 中" / "a+b"
+    root.mkdir(parents=True)
+    (root / "x y%20.html").write_text("<p>")
+    monkeypatch.chdir(tmp_path)
+    for name in (str(tmp_path / "in ner 中"), f"file://{tmp_path}/in ner 中", f"file:{tmp_path}/in ner 中/"):
+        assert [r.location for r in FS.list_files(spark, name).collect()] == [str(root / "x y%20.html")]
+
+
+def test_selection_in_stores(spark):
+    rows = [("s3a://bucket/dir/a.html", "s3a://bucket/dir"), ("hdfs://host:8020/dir/b/c.css", "hdfs://host:8020/dir/"),
+            ("s3a://other/dir/a.html", "s3a://bucket/dir"), ("s3a://bucket/dir/.x/a.html", "s3a://bucket/dir")]
+    got = [spark.sql(f"SELECT {FS.selected(repr(path), base)} AS s").first().s for path, base in rows]
+    assert got == [True, True, False, False]
+    assert spark.sql(f"SELECT {FS.location(repr('s3a://b/x%20y+z.html'))} AS l").first().l == "s3a://b/x y+z.html"
+
+
 def test_targets(spark, tmp_path):
     (tmp_path / "t.txt").write_text("http://10.0.0.1/x\n\n  https://a.com:80/y \nhttps://172.32.0.1/\n/x/y.html\n/x/y\n", "utf-8")
     rows = P.classify_targets(P.read_targets(spark, str(tmp_path / "t.txt"))).collect()

@@ -7,10 +7,10 @@ from pagescan import custom_rules, load_custom_rules, load_keywords, scan
 from pagescan.functions import urls as U
 from pagescan.operators import catalog as C
 from pagescan.operators.custom import custom_findings
-from pagescan.operators.dom import elements
+from pagescan.operators.dom import elements, looked_at
 from pagescan.operators.rendered import RENDERED, cloaked_findings, rendered_findings
 from pagescan.operators.textrules import extract_urls, text_findings
-from pagescan.rules.loaders import built_in_keywords, keyword_table, needs_python
+from pagescan.rules.loaders import built_in_keywords, keyword_table
 from pagescan.schema import FINDINGS
 
 URLS = [  # url, domain, port, odd port, risk
@@ -56,10 +56,11 @@ def test_extract_urls_takes_each_once_and_drops_covered_paths(pages):
 
 
 def test_element_tree(pages):
-    rows = elements(pages(
+    page = (
         '<FORM action="/a"><input type=hidden name=x><p class=" b  a ">one<p style="x:1">two <b>three</b></form>'
         '<input name="out"><a href="https://e.com/?a=1&amp;b=2" HREF="no">t &lt; <i>u</i><!-- c --></a>'
-        '<script>var a = "<p>" && 1;</script><textarea><a href="https://no.com"></textarea>')).collect()
+        '<script>var a = "<p>" && 1;</script><textarea><a href="https://no.com"></textarea>')
+    rows = looked_at(pages(page)).collect()
     by_tag = {}
     for row in rows:
         by_tag.setdefault(row.tag, []).append(row)
@@ -71,6 +72,36 @@ def test_element_tree(pages):
     assert by_tag["a"][0].text == "t < u"
     assert by_tag["a"][0].outer_html == '<a href="https://e.com/?a=1&amp;b=2">t &lt; <i>u</i><!-- c --></a>'
     assert by_tag["script"][0].text == 'var a = "<p>" && 1;'
+    every = elements(pages(page)).collect()
+    assert [r.tag for r in every] == ["form", "input", "p", "p", "b", "input", "a", "i", "script", "textarea"]
+    shown = {r.tag: page[r.begin:r.stop] for r in every}
+    assert shown["b"] == "<b>three</b>" and shown["p"] == '<p style="x:1">two <b>three</b>' and shown["a"].endswith("<!-- c --></a>")
+    assert [r.text for r in every if r.tag == "p"] == ["one", "two "] and every[0].attrs == {"action": "/a"}
+    assert every[-1].text == '<a href="https://no.com">' and every[6].text == "t < "
+
+
+def test_bait_words_inside_nested_links(pages):
+    page = "<a>lo<b>gin<a>x<b> verif</b></a>y" + " " * 500 + "<a><b>tail text LOGIN"
+    got = [(r.text, r.bait) for r in looked_at(pages(page + "<form>")).collect() if r.tag == "a"]
+    assert [b for _, b in got] == [True, False, True] and got[0][0].startswith("loginx verify") and got[2][0] == "tail text LOGIN"
+
+
+def test_line_ends_inside_addresses(spark):
+    frame = spark.createDataFrame([("http://evil.x\nyz/a",), ("ht\ttps://bit.l\ry/q?redir\nect=1",)], "url STRING")
+    rows = frame.selectExpr(f"{U.netloc('url')} AS d", f"{U.query_word('url')} AS q", f"{U.scheme('url')} AS s").collect()
+    assert [tuple(r) for r in rows] == [("evil.xyz", None, "http"), ("bit.ly", "redirect", "https")]
+
+
+def test_user_rules_fail_alone(spark, pages):
+    from pagescan.operators.catalog import Rule
+    from pagescan.operators.custom import custom_errors, custom_findings
+    rules = [Rule("good", "abc"), Rule("bad", "(unclosed"), Rule("deep", r"(?:\w|\s){50,}", cut=200), Rule("empty", "q*")]
+    frame = pages("abc " * 50_000, "nothing", "")
+    found = {(r.page_id, r.rule_id) for r in custom_findings(frame, rules).collect()}
+    assert {(0, "good"), (0, "deep"), (1, "empty")} <= found and not any(rule == "bad" for _, rule in found)
+    errors = custom_errors(frame, rules).collect()
+    assert len(errors) == 3 and all(e.stage == "rule" and e.message.startswith("bad: ") for e in errors)
+    assert spark.range(3).count() == 3
 
 
 def test_rendered_elements(spark):
@@ -118,7 +149,6 @@ def test_user_rules(spark, pages, tmp_path):
 """, "utf-8")
     rules = load_custom_rules(str(path))
     assert [r.key for r in rules] == ["a:1", "a:4", "a:5"]
-    assert [needs_python(spark, r) for r in rules] == [False, True, True]
     found = {(r.rule_id, r.evidence, r.pos_start, r.severity, r.category)
              for r in custom_findings(pages("bb evil-x éz 1z"), rules).collect()}
     assert ("a:1", "evil-x", 3, 10, "suspicious_pattern") in found and ("a:4", "bb", 0, 5, "suspicious_pattern") in found
