@@ -439,14 +439,12 @@ for _name in ("css", "hiding", "js"):
              A.with_corpus(A.union(*[sql for k, sql in _ARMS.items() if k.startswith(f"{_name}:")])))
 
 
-# Reports and roll-ups are shown on the text findings.
+# Reports and roll-ups are over whole scans.
 def _found(spark, sf):
-    return text_findings(seeded_pages(spark, sf), [*C.HTML, *C.CSS, *C.HIDING, C.URL, C.KEYWORD, *C.JS], _BUILT_IN)
+    return scan(seeded_pages(spark, sf))
 
 
-_FOUND_ARMS = [k for k in _ARMS if ":dom:" not in k or k.startswith("js:dom:")]
-_FOUND_ARMS = [k for k in _FOUND_ARMS if k not in ("js:comment:block", "js:comment:base64", "css:comment:suspicious", "js:entropy")]
-_FINDINGS = A.union(*[_ARMS[k] for k in _FOUND_ARMS])
+_FINDINGS = A.union(*_ARMS.values())
 
 
 def rollup(name, build, columns, group=""):
@@ -475,15 +473,14 @@ rollup("agg5_verdict", R.verdict,
 
 
 def _page_verdicts(pages):
-    return R.page_verdicts(pages, union([text_findings(pages, C.HIDING), dom_findings(pages)]))
+    return R.page_verdicts(pages, scan(pages))
 
 
-_PAGE_ARMS = [k for k in _ARMS if k.startswith(("hiding:", "html:dom:"))]
 register("agg5_page_verdicts", on_corpus(_page_verdicts), A.with_corpus(
     "SELECT c.page_id, c.location, "
     + ", ".join(f"coalesce({n}, 0) AS {n}" for n in ("total", *R.LEVELS))
     + ", CASE WHEN critical > 0 THEN 'critical' WHEN high > 0 THEN 'high' WHEN total > 0 THEN 'low' ELSE 'clean' END AS risk"
-    + f" FROM corpus c LEFT JOIN (SELECT page_id, {_LEVELS} FROM (" + A.union(*[_ARMS[k] for k in _PAGE_ARMS])
+    + f" FROM corpus c LEFT JOIN (SELECT page_id, {_LEVELS} FROM (" + _FINDINGS
     + ") f GROUP BY page_id) s USING (page_id)"))
 rollup("agg7_report_sections", R.sections, f"{_SECTION} AS section, count(*) AS findings, max(severity) AS max_severity",
        f" GROUP BY {_SECTION}")
@@ -533,7 +530,8 @@ register("snk3_formula_guard", lambda spark, sf: table("documents")(spark, sf).s
     ).selectExpr("doc_id", f"{S.formula_guard('value')} AS value"),
     f"SELECT doc_id, CASE WHEN left(value, 1) IN ('=', '+', '-', '@') THEN '''' || value ELSE value END AS value "
     f"FROM ({_GUARD_TABLES})")
-register("snk4_text_rows", lambda spark, sf: S.text_rows(_found(spark, sf)).drop("keyword_category", "weight"), A.with_corpus(
+register("snk4_text_rows", lambda spark, sf: S.text_rows(_found(spark, sf)).selectExpr(
+    "section", "no", "evidence", "location", "severity", "reasons", "context"), A.with_corpus(
     "SELECT category AS section, row_number() OVER (PARTITION BY category ORDER BY location, page_id, severity DESC, rule_id, "
     "pos_start, evidence, context) AS no, evidence, location, severity || '/10' AS severity, "
     "replace(reasons, '|', ', ') AS reasons, left(context, 150) AS context FROM ("

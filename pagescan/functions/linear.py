@@ -40,10 +40,23 @@ def marked(texts: pa.Array, p: Pattern, first_group: int) -> list[list[str]]:
     return pc.split_pattern(out, mark).to_pylist()
 
 
-def matcher(patterns: list[Pattern]):
-    """A column function of (text, bits): a struct with a field ``p0, p1, ...`` for each pattern, its ``PIECES`` or NULL.
+@dataclass(frozen=True)
+class Fact:
+    """Something else a page's text is asked for: a field with its SQL and Arrow type, and a function from
+    texts to values."""
+
+    name: str
+    ddl: str
+    kind: pa.DataType
+    of: object
+
 
-    Pattern number k is tried on rows with bit k set.  Marked as not deterministic, so that Spark evaluates it once.
+def matcher(patterns: list[Pattern], facts: tuple[Fact, ...] = ()):
+    """A column function of (text, bits): a struct with a field ``p0, p1, ...`` for each pattern, its ``PIECES`` or NULL,
+    and one for each fact.
+
+    Pattern number k is tried on rows with bit k set; the facts have the bits behind.  Marked as not
+    deterministic, so that Spark evaluates it once.
     """
     counts = [3 + p.before.count("(") - p.before.count("(?") for p in patterns]
 
@@ -57,7 +70,13 @@ def matcher(patterns: list[Pattern]):
                     if len(cut) > 4 * p.at_least - 4 + 1:
                         values[place] = {"found": cut[1::4], "gaps": cut[0::4], "g1": cut[2::4], "g2": cut[3::4]}
             fields.append(pa.array(values, _PIECES))
-        return pa.StructArray.from_arrays(fields, [f"p{k}" for k in range(len(patterns))])
+        for k, fact in enumerate(facts, len(patterns)):
+            values, places = [None] * rows, (asked >> k & 1).nonzero()[0]
+            if len(places):
+                for place, value in zip(places.tolist(), fact.of(texts.take(pa.array(places)))):
+                    values[place] = value
+            fields.append(pa.array(values, fact.kind))
+        return pa.StructArray.from_arrays(fields, [f"p{k}" for k in range(len(patterns))] + [f.name for f in facts])
 
-    kind = "struct<" + ", ".join(f"p{k}: {PIECES}" for k in range(len(patterns))) + ">"
-    return F.arrow_udf(run, kind).asNondeterministic()
+    kind = ", ".join([f"p{k}: {PIECES}" for k in range(len(patterns))] + [f"{f.name}: {f.ddl}" for f in facts])
+    return F.arrow_udf(run, f"struct<{kind}>").asNondeterministic()

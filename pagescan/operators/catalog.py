@@ -133,5 +133,8 @@ BLOCK_COMMENT = Rule("block_comment", V.BLOCK_COMMENT, "s", ("/*",), kind="block
                      source_type="comments", upto="*/")
 KEYWORD = Rule("keyword", "", kind="keyword", category="keyword_match", source_type="text", margin=60)
 URL = Rule("url", "", kind="url", category="suspicious_url")
+# Not patterns, but looked for in the same pass over the pages.
+ELEMENT = Rule("html:dom", "", kind="element")
+ENTROPY = Rule("js:entropy", "", kind="entropy", category="js_issue", source_type="js")
 
 HTML, JS, CSS, HIDING = tuple(_html()), tuple(_js()), tuple(_css()), tuple(_hiding())

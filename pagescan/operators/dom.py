@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from pagescan.functions import urls as U
+from pagescan.functions.linear import Fact
 from pagescan.functions.text import contains_any, fold, has_match, let, lit, only, when
 from pagescan.rules import values as V
 from pagescan.schema import finding, to_findings
@@ -395,12 +396,33 @@ def _any_element():
 
 
 def dom_findings(pages: DataFrame) -> DataFrame:
-    return element_findings(looked_at(pages))
+    """All element rules over the rows of ``looked_at``; a whole scan has them in its one pass instead."""
+    rows = looked_at(pages).where("tag != '#error'").selectExpr("*", f"{U.page_domain('location')} AS base")
+    return to_findings(rows, element_findings())
 
 
-def element_findings(rows: DataFrame) -> DataFrame:
-    """All element rules over the rows of ``looked_at``."""
+def element_findings() -> str:
+    """SQL array of the findings of an element: columns tag, attrs, text, bait, outer_html, form_no, field_types,
+    location, and base, the page's domain."""
     by_tag = f"""CASE tag WHEN 'script' THEN {_script()} WHEN 'iframe' THEN {_iframe()}
         WHEN 'a' THEN {_link()} WHEN 'form' THEN {_form()} WHEN 'input' THEN {_input()} ELSE array() END"""
-    rows = rows.where("tag != '#error'").selectExpr("*", f"{U.page_domain('location')} AS base")
-    return to_findings(rows, f"concat({by_tag}, {_any_element()})")
+    return f"IF(tag = '#error', array(), concat({by_tag}, {_any_element()}))"
+
+
+_NAMES = ("elem_no", "tag", "attrs", "text", "bait", "outer_html", "form_no", "field_types")
+
+
+def _elements_of(texts: pa.Array) -> list[list[dict]]:
+    out = []
+    for text in texts.to_pylist():
+        try:
+            out.append([dict(zip(_NAMES, row)) for row in _Page(text or "").looked_at()])
+        except Exception:  # one broken page must not stop the scan; scan_errors names it
+            out.append([])
+    return out
+
+
+#: The elements of a page as one value.
+ELEMENT = "struct<elem_no: int, tag: string, attrs: map<string, string>, text: string, bait: boolean, outer_html: string, " \
+          "form_no: int, field_types: array<string>>"
+FACT = Fact("elements", f"array<{ELEMENT}>", pa.list_(pa.struct([(n, _TYPES[n]) for n in _NAMES])), _elements_of)

@@ -10,22 +10,23 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from pagescan.functions import urls as U
 from pagescan.functions.dialect import to_java, to_re2
-from pagescan.functions.linear import Pattern, matcher
+from pagescan.functions.linear import Fact, Pattern, matcher
 from pagescan.functions.text import (
     around, contains_any, each, first_word, fold, from_char, has_match, let, lit, lits, one_line, only,
     pieces, spans, struct, when)
 from pagescan.operators import catalog as C
+from pagescan.operators import dom as D
 from pagescan.rules import values as V
 from pagescan.schema import finding, text_map, to_findings
 
 # What a match can carry besides its text: keywords have a name, a category and a weight.
 _LABELS = {"label": "STRING", "note": "STRING", "level": "INT"}
-_UNLABELLED = {name: f"CAST(NULL AS {kind})" for name, kind in _LABELS.items()}
-_KEPT = ("rule", *_LABELS)
+_NO_ELEMENT = f"CAST(NULL AS {D.ELEMENT})"
+_UNLABELLED = {**{name: f"CAST(NULL AS {kind})" for name, kind in _LABELS.items()}, "element": _NO_ELEMENT}
+_KEPT = ("rule", *_LABELS, "element")
 
 
 # --- matches ---------------------------------------------------------------------
@@ -58,13 +59,13 @@ def _taken(place: int, **extra: str) -> str:
     return when(f"{column} IS NOT NULL", struct(**{n: f"{column}.{n}" for n in ("found", "gaps", "g1", "g2")}, **extra))
 
 
-def _with_linear(pages: DataFrame, tries) -> DataFrame:
-    """Pages with the column ``linear``: what ``tries``, pairs of pattern and condition, find."""
-    if not tries:
+def _with_linear(pages: DataFrame, tries, facts=()) -> DataFrame:
+    """Pages with the column ``linear``: what ``tries`` and ``facts``, pairs of a pattern or fact and its condition, find."""
+    if not tries and not facts:
         return pages
-    bits = " | ".join(f"IF({condition or 'true'}, {1 << k}L, 0L)" for k, (_, condition) in enumerate(tries))
+    bits = " | ".join(f"IF({condition or 'true'}, {1 << k}L, 0L)" for k, (_, condition) in enumerate([*tries, *facts]))
     asked = pages.selectExpr("*", f"{bits} AS bits")
-    return asked.withColumn("linear", matcher([p for p, _ in tries])(
+    return asked.withColumn("linear", matcher([p for p, _ in tries], tuple(f for f, _ in facts))(
         F.expr("IF(bits = 0, NULL, content)"), F.col("bits"))).drop("bits")
 
 
@@ -103,7 +104,7 @@ def _keyword_entries(number: int, keywords: list[dict], words) -> str:
     """
     def entry(k):
         return pieces("content", f"{k}.pattern", rule=lit(number), margin=lit(C.KEYWORD.margin),
-                      until="CAST(NULL AS INT)", **{name: f"{k}.{name}" for name in _LABELS})
+                      until="CAST(NULL AS INT)", **{name: f"{k}.{name}" for name in _LABELS}, element=_NO_ELEMENT)
 
     def table(rows):
         return "array(" + ", ".join(struct(
@@ -178,7 +179,8 @@ def _hits(pages: DataFrame, rules, keywords) -> DataFrame:
     slow = [i for i, r in enumerate(rules) if r.linear]
     tries = [_linear_try(rules[i], words) for i in slow] + ([_data_try(words)] if "url" in numbers else [])
     plain = [_taken(slow.index(i), **_fixed(r, i)) if r.linear else _entry(r, i, words)
-             for i, r in enumerate(rules) if r.kind not in ("keyword", "url")]
+             for i, r in enumerate(rules) if r.kind not in ("keyword", "url", "element", "entropy")]
+    facts = []
     entries = [only(*plain)] if plain else []
     if "keyword" in numbers:
         entries += [_keyword_entries(numbers["keyword"], keywords[i:i + 1000], words)
@@ -194,7 +196,20 @@ def _hits(pages: DataFrame, rules, keywords) -> DataFrame:
         arrays.append(each("transform", _url_spans([V.URL_HTTP, V.URL_JAVASCRIPT, V.URL_DATA], words, len(slow)), lambda u: struct(
             text=f"{u}.text", start=f"{u}.start", stop=f"{u}.stop", before=f"{u}.context", after="''",
             g1="CAST(NULL AS STRING)", g2="CAST(NULL AS STRING)", n="1", rule=lit(numbers["url"]), **_UNLABELLED)))
-    return _with_linear(_folded(pages, words), tries).selectExpr("page_id", "location", f"inline(concat({', '.join(arrays)}))")
+    def bare(number, **values):
+        return struct(**{"text": "''", "start": "0", "stop": "0", "before": "''", "after": "''", "g1": "CAST(NULL AS STRING)",
+                         "g2": "CAST(NULL AS STRING)", "n": "1", "rule": lit(number), **_UNLABELLED, **values})
+
+    if "element" in numbers:
+        facts.append((D.FACT, f"content != '' AND {D.can_fire('folded')}"))
+        arrays.append("coalesce(" + each("transform", "linear.elements", lambda e: bare(
+            numbers["element"], text=f"{e}.text", element=e)) + ", array())")
+    if "entropy" in numbers:
+        facts.append((ENTROPY_FACT, "true"))
+        arrays.append(f"IF(linear.entropy.bits > 3.8, array({bare(
+            numbers['entropy'], before="IF(linear.entropy.bits > 4.5, 'high', 'medium')", g1='linear.entropy.shown', g2='linear.entropy.rounded')}), array())")
+    return _with_linear(_folded(pages, words), tries, facts).selectExpr(
+        "page_id", "location", f"inline(concat({', '.join(arrays)}))")
 
 
 # --- matches to findings -----------------------------------------------------------
@@ -351,6 +366,15 @@ def _keyword():
                          context=f'left({_CONTEXT}, 200)', keyword='label', category='note', weight='level')})"
 
 
+def _entropy():
+    return "array(" + _entropy_finding("before = 'high'", "g1", "g2") + ")"
+
+
+def _entropy_finding(high: str, shown: str, rounded: str) -> str:
+    return finding(f"IF({high}, 'js:entropy:high', 'js:entropy:medium')", f"IF({high}, 4, 2)", "'js_issue'", "'js'",
+                   f"replace({lit(V.EVIDENCE_ENTROPY)}, '%.2f', {shown})", metadata={"entropy": rounded})
+
+
 def _url():
     """The HTML, style and script views of one URL; ``u`` holds its facts."""
     def row(rule_id, severity, source_type, why, evidence="text"):
@@ -380,7 +404,7 @@ _KINDS = {"plain": _plain, "js_call": _js_call, "js_count": _js_count, "css_coun
           "zero_width": _zero_width, "entities": _entities, "whitespace": _whitespace, "color": _color,
           "position": _position, "indent": _indent, "font": _font, "meta": _meta,
           "html_comment": _html_comment, "line_comment": _line_comment, "block_comment": _block_comment,
-          "keyword": _keyword, "url": _url}
+          "keyword": _keyword, "url": _url, "element": D.element_findings, "entropy": _entropy}
 _UNCUT = 2**31 - 1
 
 
@@ -399,6 +423,9 @@ def text_findings(pages: DataFrame, rules, keywords=()) -> DataFrame:
     if "url" in kinds:
         number = next(i for i, r in enumerate(rules) if r.kind == "url")
         hits = hits.selectExpr("*", f"{when(f'rule = {number}', U.url_facts('text', 'location'))} AS u")
+    if "element" in kinds:
+        hits = hits.selectExpr("*", *[f"element.{n} AS {n}" for n in ("tag", "attrs", "bait", "outer_html", "form_no", "field_types")],
+                               f"{U.page_domain('location')} AS base")
     return to_findings(hits, by_kind)
 
 
@@ -422,8 +449,7 @@ def _without_comments(texts: pa.Array) -> pa.Array:
     return pc.binary_join_element_wise(*both, "")
 
 
-@F.arrow_udf(StructType().add("bits", "double").add("shown", "string").add("rounded", "string"))
-def char_entropy(texts: pa.Array) -> pa.Array:
+def _entropies(texts: pa.Array) -> list[dict]:
     """Shannon entropy of the characters of each text without comments, in bits, 0 for an empty one; and
     with two places, rounded half to even from the exact value."""
     def entropy(text):
@@ -434,14 +460,13 @@ def char_entropy(texts: pa.Array) -> pa.Array:
         return float(-(share * np.log2(share)).sum())
 
     bits = [entropy(text) for text in _without_comments(texts).to_pylist()]
-    return pa.StructArray.from_arrays([pa.array(bits, pa.float64()), pa.array([f"{e:.2f}" for e in bits]),
-                                       pa.array([str(round(e, 2)) for e in bits])], ["bits", "shown", "rounded"])
+    return [{"bits": e, "shown": f"{e:.2f}", "rounded": str(round(e, 2))} for e in bits]
+
+
+ENTROPY_FACT = Fact("entropy", "struct<bits: double, shown: string, rounded: string>", pa.struct(
+    [("bits", pa.float64()), ("shown", pa.string()), ("rounded", pa.string())]), _entropies)
 
 
 def entropy_findings(pages: DataFrame) -> DataFrame:
     """One finding per page whose text without comments looks encoded."""
-    # Not deterministic, as far as Spark knows: else the test for large values would run it a second time.
-    rows = pages.select("page_id", "location", char_entropy.asNondeterministic()("content").alias("entropy"))
-    return to_findings(rows, when("entropy.bits > 3.8", "array(" + finding(
-        "IF(entropy.bits > 4.5, 'js:entropy:high', 'js:entropy:medium')", "IF(entropy.bits > 4.5, 4, 2)", "'js_issue'", "'js'",
-        f"replace({lit(V.EVIDENCE_ENTROPY)}, '%.2f', entropy.shown)", metadata={"entropy": "entropy.rounded"}) + ")"))
+    return text_findings(pages, [C.ENTROPY])

@@ -26,21 +26,19 @@ def scan(pages: DataFrame, mode: str = "deep", keywords=None, rules=(), extra=()
 
     ``keywords`` replaces the packaged list (see ``load_keywords``), ``rules`` are user
     rules (``load_custom_rules``), ``extra`` further detectors: functions from pages to
-    findings.  All text and URL rules share one pass over the pages; the element tree and
-    the entropy have their own.
+    findings.  All rules share one pass over the pages; user rules and further detectors
+    have their own.
     """
     parts = MODES[mode]
     keywords = keyword_table(built_in_keywords()) if keywords is None else keywords
-    text = [C.KEYWORD, *C.HTML, C.URL]
+    text = [C.KEYWORD, *C.HTML, C.URL, C.ELEMENT]
     if "js" in parts:
-        text += [*C.JS, *C.CSS, *C.HIDING, C.BLOCK_COMMENT]
+        text += [*C.JS, *C.CSS, *C.HIDING, C.BLOCK_COMMENT, C.ENTROPY]
     found = text_findings(pages, text, keywords)
     if "js" not in parts:
         # The URL rows carry the script and style views as well.
         found = found.where("NOT startswith(rule_id, 'js:') AND NOT startswith(rule_id, 'css:')")
-    frames = [found, dom_findings(pages)]
-    if "js" in parts:
-        frames.append(entropy_findings(pages))
+    frames = [found]
     if rules:
         frames.append(custom_findings(pages, rules))
     return union(frames + [detector(pages) for detector in extra])

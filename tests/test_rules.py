@@ -192,6 +192,15 @@ def test_modes_and_detectors(pages):
         assert {r.rule_id.split(":")[0] for r in detect(page, name).collect()} == {name}
 
 
+def test_a_whole_scan_reads_the_pages_once(spark, tmp_path, capsys):
+    spark.range(4).selectExpr("id AS page_id", "'x' AS location", "'<p>' AS content").write.parquet(str(tmp_path / "p"))
+    for mode in ("fast", "deep"):
+        scan(spark.read.parquet(str(tmp_path / "p")), mode).explain("formatted")
+        plan = capsys.readouterr().out
+        tree = plan[:plan.index("\n(1) ")]
+        assert tree.count("Scan parquet") == 1 and tree.count("ArrowEvalPython") == 1 and "MapInArrow" not in tree
+
+
 def test_metadata_and_reasons(pages):
     rows = {r.rule_id: r for r in scan(pages("eval(x) https://evil.xyz/ <p style='color:red;display:none'>")).collect()}
     assert rows["js:high_risk:eval"].metadata == {"function": "eval"}
