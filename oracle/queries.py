@@ -194,10 +194,8 @@ register(
 
 
 def _ranked_keywords(pages):
-    # Bounded by the text of one page, so a window per page is safe.
-    return flat(text_findings(pages, [C.KEYWORD], _BUILT_IN)).selectExpr(
-        "page_id", "evidence", "severity", "pos_start",
-        "row_number() OVER (PARTITION BY page_id ORDER BY severity DESC, pos_start, evidence) AS rank")
+    return R.ranked_keywords(text_findings(pages, [C.KEYWORD], _BUILT_IN)).select(
+        "page_id", "evidence", "severity", "pos_start", "rank")
 
 
 register("key5_by_severity", on_corpus(_ranked_keywords), A.with_corpus(

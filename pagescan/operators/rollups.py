@@ -1,6 +1,6 @@
 """Counts, shares and verdicts over findings."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagescan.functions.text import lit
@@ -83,3 +83,12 @@ def counters(scanned: DataFrame, errors: DataFrame) -> DataFrame:
                     F.expr("count_if(kind = 'url')").alias("scanned_urls"),
                     F.expr("count_if(kind IN ('file', 'url'))").alias("total_scanned"),
                     F.expr("count_if(kind = 'error')").alias("errors"))
+
+
+def ranked_keywords(findings: DataFrame) -> DataFrame:
+    """Keyword findings with their ``rank`` on the page: most severe first, then as they stand.
+
+    Bounded by the text of one page, so a window per page is safe.
+    """
+    order = Window.partitionBy("page_id", "location").orderBy(F.desc("severity"), "pos_start", "evidence")
+    return findings.where("category = 'keyword_match'").withColumn("rank", F.row_number().over(order))

@@ -59,6 +59,7 @@ def write_text(findings: DataFrame, path: str) -> None:
     """One entry per record, sections apart."""
     entry = ("concat_ws('\\n', concat('[', no, '] ', evidence), concat('    ', location), "
              "concat('    ', severity), IF(reasons = '', NULL, concat('    ', reasons)), "
+             "concat('    ', keyword_category, ' ', weight), "
              "IF(context = '', NULL, concat('    ', context))) AS value")
     text_rows(findings).selectExpr("section", entry).write.mode("overwrite").partitionBy("section").text(path)
 
