@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: Runs of white space as every operator here splits on (blank, tab, LF, VT, FF, CR).
 SPACE = r"[\x20\x09-\x0D]+"
 #: Rows up to which a side of a join may be broadcast; its count is taken first.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS = 500_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,12 +45,17 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small(df: DataFrame) -> DataFrame:
+def small(df: DataFrame, weight: str | None = None) -> DataFrame:
     """``df`` with a broadcast hint if it is counted as small; else the join stays a shuffle join.
 
-    ``df`` should be cheap to count: a kept table or an aggregate of few groups.
+    ``df`` should be cheap to count: a kept table or an aggregate of few groups.  Rows with arrays count as
+    the SQL expression ``weight`` says.
     """
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    if weight is None:
+        found = df.limit(BROADCAST_ROWS + 1).count()
+    else:
+        found = df.agg(F.sum(F.expr(weight))).first()[0] or 0
+    return F.broadcast(df) if found <= BROADCAST_ROWS else df
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -18,35 +18,41 @@ from pagescan.functions.text import let
 from pagescan.llm.common import SPACE, kept, small
 
 LEAST_WORDS = 5
-_SPLIT = SPACE.replace("\\", "\\\\")
-_BITS40 = 1 << 40
+#: Sums of hashes are taken modulo this prime, so that no line is too long for a long.
+_PRIME = (1 << 61) - 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``place`` (struct of document, text hash and line number) and ``words`` of lines with a word.
-
-    Rows equal in document and text are one.
-    """
-    words = f"filter(split(lower(line), '{_SPLIT}'), x -> x != '')"
+    """``place`` (struct of document, text hash and line number) and ``line``, for lines with a word."""
     return docs.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"),
                        F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("no", "line")) \
-        .select(F.struct("doc_id", "th", "no").alias("place"), F.expr(f"{words} AS words")).where("size(words) > 0")
+        .select(F.struct("doc_id", "th", "no").alias("place"), "line").where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _normal() -> F.Column:
+    """The words of ``line``, lower-cased, one blank between them."""
+    low = F.lower("line")
+    return F.when(low.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace(low, SPACE, " "))).otherwise(low)
 
 
 def _half_keys() -> str:
-    """Hashes of the halves that a near line of the same or a neighbouring length must share."""
-    def key(side, n):
-        part = f"slice(words, 1, {n})" if side == "first" else f"slice(words, size(words) - {n} + 1, {n})"
-        return f"xxhash64('{side}', {n}, concat_ws(' ', {part}))"
-    same, shorter = "CAST(size(words) div 2 AS INT)", "CAST((size(words) - 1) div 2 AS INT)"
-    return (f"IF(size(words) < {LEAST_WORDS - 1}, array(), "
-            f"array_distinct(array({', '.join(key(s, n) for s in ('first', 'last') for n in (same, shorter))})))")
+    """Keys of the halves of ``norm`` that a near line must share: two of the first half, then two of the last.
+
+    The shorter line's length gives the half, so a line of n words has halves of n and of n - 1.
+    """
+    def keys(v):
+        def half(side, size):
+            sign = "" if side == "first" else "-"
+            return f"xxhash64('{side}', {size}, substring_index(norm, ' ', {sign}CAST({size} div 2 AS INT)))"
+        every = [half(side, size) for side in ("first", "last") for size in (f"{v}.n", f"({v}.n - 1)")]
+        return f"IF({v}.n < {LEAST_WORDS}, array(), array({', '.join(every)}))"
+    return let(keys, n="(length(norm) - length(replace(norm, ' ', '')) + 1)")
 
 
 def _sums(array: str) -> str:
     """For each position the sum of all before it; blocks of sqrt(n), so long lines do not cost n * n."""
     def total(numbers):
-        return f"aggregate({numbers}, 0L, (a, b) -> a + b)"
+        return f"aggregate({numbers}, 0L, (a, b) -> (a + b) % {_PRIME}L)"
 
     def from_width(v):
         blocks = (f"transform(sequence(0, CAST((size({v}.x) - 1) div {v}.width AS INT)), b -> "
@@ -61,34 +67,30 @@ def _sums(array: str) -> str:
 
 
 def _variant_keys() -> str:
-    """SQL array of (kind, key): 'exchange' and 'delete' variants, and the 'whole' line.
+    """SQL array of (kind, key): 1 for a word exchanged, 2 for one deleted, 3 for the whole line.
 
     A line's hash is the sum of a hash of each word with its place, so a variant's hash is the sum
-    before the word and the sum behind it, there with places one less.
+    before the word and the sum behind it, there with places one less.  The edit lies outside the
+    half that is shared, so a line that shares its first half only has variants of the rest.
     """
-    def terms(seed, shift):
-        return f"transform(words, (w, i) -> pmod(xxhash64('{seed}', w, i - {shift}), {_BITS40}L))"
+    def terms(shift):
+        return f"transform(words, (w, i) -> pmod(xxhash64(w, i - {shift}), {_PRIME}L))"
 
     def keys(v):
-        n = "size(words)"
-        def without(seed, moved):
-            plain = f"{v}.all_{seed} - {v}.{seed}[i]"
-            behind = f"{v}.{seed}_before[i] + {v}.moved_{seed} - {v}.{seed}_moved_before[i] - {v}.{seed}_moved[i]"
-            return behind if moved else plain
-        exchange = f"named_struct('kind', 'exchange', 'key', xxhash64('x', {n}, i, {without('a', 0)}, {without('b', 0)}))"
-        delete = f"named_struct('kind', 'delete', 'key', xxhash64('d', {n} - 1, {without('a', 1)}, {without('b', 1)}))"
-        whole = f"named_struct('kind', 'whole', 'key', xxhash64('d', {n}, {v}.all_a, {v}.all_b))"
-        each = f"flatten(transform(sequence(0, {n} - 1), i -> array({exchange}, {delete})))"
-        return f"array_append(array_distinct({each}), {whole})"
-
-    add = "aggregate({}, 0L, (p, q) -> p + q)"
-    def sums(v):
-        return let(keys, **{f"{s}{m}": f"{v}.{s}{m}" for s in "ab" for m in ("", "_moved")},
-                   **{f"all_{s}": add.format(f"{v}.{s}") for s in "ab"},
-                   **{f"moved_{s}": add.format(f"{v}.{s}_moved") for s in "ab"},
-                   **{f"{s}_before": _sums(f"{v}.{s}") for s in "ab"},
-                   **{f"{s}_moved_before": _sums(f"{v}.{s}_moved") for s in "ab"})
-    return let(sums, a=terms("a", 0), b=terms("b", 0), a_moved=terms("a", 1), b_moved=terms("b", 1))
+        n = f"{v}.n"
+        exchange = f"named_struct('kind', 1, 'key', xxhash64('x', {n}, i, pmod({v}.total - {v}.plain[i], {_PRIME}L)))"
+        delete = (f"named_struct('kind', 2, 'key', xxhash64('d', {n} - 1, pmod({v}.before[i] + "
+                  f"pmod({v}.moved_total - {v}.moved_before[i] - {v}.moved[i], {_PRIME}L), {_PRIME}L)))")
+        whole = f"named_struct('kind', 3, 'key', xxhash64('d', {n}, {v}.total))"
+        # Halves of n - 1 words are the smallest a partner can share.
+        start = f"IF(sides = 1, CAST(({n} - 1) div 2 AS INT), 0)"
+        stop = f"IF(sides = 2, {n} - 1 - CAST(({n} - 1) div 2 AS INT), {n} - 1)"
+        return (f"array_append(array_distinct(flatten(transform(sequence({start}, {stop}), i -> array({exchange}, {delete})))), {whole})")
+
+    total = f"aggregate({{}}, 0L, (p, q) -> (p + q) % {_PRIME}L)"
+    return let(lambda v: let(keys, n="size(words)", plain=f"{v}.plain", moved=f"{v}.moved", total=total.format(f"{v}.plain"),
+                             moved_total=total.format(f"{v}.moved"), before=_sums(f"{v}.plain"), moved_before=_sums(f"{v}.moved")),
+               plain=terms(0), moved=terms(1))
 
 
 def _within_one(a: str, b: str) -> str:
@@ -106,24 +108,27 @@ def _within_one(a: str, b: str) -> str:
 
 def _near(lines: DataFrame, unique: DataFrame) -> DataFrame:
     """``hash`` of the distinct lines for which there is an earlier near line."""
-    halves = kept(unique.select("hash", F.explode("halves").alias("half")))
-    shared = kept(halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half"))
-    involved = kept(halves.join(small(shared), "half", "left_semi").select("hash").distinct().join(
-        unique.select("hash", "place"), "hash"))
-    texts = kept(lines.select("place", "words").join(small(involved), "place"))
-    variants = kept(texts.where(f"size(words) >= {LEAST_WORDS}").select("hash", "place", F.explode(F.expr(_variant_keys())).alias("v"))
-                    .select("hash", "place", "v.kind", "v.key"))
-    mine, other = F.struct("place", "hash"), F.struct(F.col("place").alias("place"), F.col("hash").alias("hash"))
-    exchange = variants.where("kind = 'exchange'")
-    first = kept(exchange.groupBy("key").agg(F.min(mine).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"))
-    pairs = exchange.join(small(first), "key").where("hash != first.hash").select("hash", F.col("first").alias("early"))
-    whole = variants.where("kind = 'whole'").select("key", F.struct("place", "hash").alias("whole"))
-    met = variants.where("kind = 'delete'").select("key", other.alias("longer")).join(whole, "key").where("longer.hash != whole.hash")
-    pairs = pairs.unionByName(met.select(
+    halves = unique.select("hash", F.posexplode("halves").alias("no", "key")).selectExpr("hash", "key", "IF(no < 2, 1, 2) AS side")
+    shared = kept(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    involved = halves.join(small(shared), "key", "left_semi").groupBy("hash").agg(F.expr("bit_or(side)").alias("sides"))
+    involved = kept(involved.join(unique.select("hash", "place"), "hash"))
+    texts = kept(lines.join(small(involved), "place").select("hash", "place", "sides", _normal().alias("norm")).distinct())
+    variants = kept(texts.select("hash", "sides", F.split("norm", " ").alias("words")).select(
+        "hash", F.explode(F.expr(_variant_keys())).alias("v")).select("hash", "v.kind", "v.key"))
+    # Most variants are nobody else's; only shared keys go on.
+    common = kept(variants.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    met = kept(variants.join(small(common), "key", "left_semi").join(small(texts.select("hash", "place")), "hash").select(
+        "key", "kind", F.struct("place", "hash").alias("at")))
+    exchange = met.where("kind = 1")
+    first = kept(exchange.groupBy("key").agg(F.min("at").alias("early")))
+    pairs = exchange.join(small(first), "key").where("at.hash != early.hash").select("at.hash", "early")
+    whole = met.where("kind = 3").select("key", F.col("at").alias("whole"))
+    longer = met.where("kind = 2").select("key", F.col("at").alias("longer")).join(whole, "key").where("longer.hash != whole.hash")
+    pairs = pairs.unionByName(longer.select(
         F.greatest("longer", "whole").getField("hash").alias("hash"), F.least("longer", "whole").alias("early")))
     earliest = kept(pairs.groupBy("hash").agg(F.min("early").alias("early")))
     # Verified on the words themselves.
-    words = texts.select("hash", "words")
+    words = texts.select("hash", F.split("norm", " ").alias("words"))
     return earliest.join(words, "hash").select("hash", F.col("words").alias("mine"), F.col("early.hash").alias("other")).join(
         words.select(F.col("hash").alias("other"), F.col("words").alias("theirs")), "other").where(
         F.expr(_within_one("mine", "theirs"))).select("hash")
@@ -139,7 +144,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     one document and share a result.  Other columns are not read.
     """
     lines = _lines(docs)
-    hashed = lines.select("place", F.expr("xxhash64(concat_ws(' ', words))").alias("hash"), F.expr(_half_keys()).alias("halves"))
+    hashed = lines.select("place", _normal().alias("norm")).select(
+        "place", F.xxhash64("norm").alias("hash"), F.expr(_half_keys()).alias("halves"))
     places = kept(hashed.select("place", "hash").distinct())
     unique = kept(hashed.groupBy("hash").agg(F.min("place").alias("place"), F.first("halves").alias("halves")))
     near = kept(_near(lines, unique).select("hash", F.lit(True).alias("near")).distinct())
