@@ -95,7 +95,7 @@ def _judged(docs: DataFrame, keep, host: str, least: int, share: float, left: fl
     wrapped = docs.select(F.struct(*keep).alias("_row"), "text", *_keyed(docs, host))
     rows = statistics(wrapped, ["_row", "text", "_host", "_text", F.expr(
         f"aggregate({_LINES}, 0L, (a, x) -> a + CAST(x.n AS BIGINT)) AS _all")])
-    return rows.join(small(removed), ["_host", "_text"], "left").withColumn(
+    return rows.join(small(removed, "1 + size(_lines)"), ["_host", "_text"], "left").withColumn(
         "removed_words", F.coalesce("removed_words", F.lit(0).cast("long"))).withColumn(
         "kept", ~F.col("base_failed") & (F.col("_all") - F.col("removed_words") >= left * F.col("_all")))
 
