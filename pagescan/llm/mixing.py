@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagescan.llm.common import kept, small, word_count
 
 #: Bits of the 60-bit hash that each round of histograms resolves.
-LEVELS = (16, 16, 28)
+LEVELS = (12, 16, 16, 16)
 _BITS = sum(LEVELS)
 
 
