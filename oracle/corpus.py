@@ -29,7 +29,7 @@ PASSAGES = [
     r'<i data-x="\\x41 \\u0041">a</i><i onx="ab\\u12af">b</i><i data-y="\x41\u0041">c</i>',
     '<div style="color:red;display:none">a</div><span class="q" style="visibility: hidden">b</span>'
     '<p style="opacity:0.5">c</p><article style="Display : None">d</article><b style="display:none">e</b>',
-    "<!-- password: admin123 --><!-- some HEX code --><!-- plain <!--[if IE]> x ]> --><!-- nothing -->"
+    "<!-- the Secret door --><!-- some HEX code --><!-- plain <!--[if IE]> x ]> --><!-- nothing -->"
     '<!-- <a href="https://c.example.com/x">l</a> <a href=\'http://d.ga/y\'>m</a> --><!--\nSecret\nlines\n-->',
     '<meta http-equiv="refresh" content="0;url=https://evil.com/p"><meta http-equiv=redirect '
     'content=1;url=/local/x><meta content="0;url=y" http-equiv="refresh"><META HTTP-EQUIV="Refresh" '
