@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagescan.llm import jaccard
 from pagescan.llm.common import components, kept
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -188,16 +189,18 @@ def _classes(docs: DataFrame, shingle: int, radius: int, keep) -> DataFrame:
     return prints.join(ids, "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
-def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row of each component, all columns: the row of least doc_id.
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """One row of each component of ``jaccard.classes``, all columns: the row of least doc_id.
 
-    Of rows that share that id the one with the least hash of its text stays, and of fully equal rows
-    one; a NULL id stays only where a component has no other.
+    Components link texts with four fifths or more of their five-word shingles in common; the three words and two
+    bits of ``near_duplicates`` reach copies and the nearest copies only.  Of rows that share that id the one with
+    the least hash of its text stays, and of fully equal rows one; a NULL id stays only where a component has no other.
     """
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = _classes(docs.select("doc_id", "text", mark.alias("_mark")), shingle, radius, ["_mark"])
-    first = kept(found.where("doc_id <=> component_id").groupBy("doc_id", "root").agg(
-        F.min("_mark").alias("_mark")).select(F.col("doc_id").alias("_id"), "_mark"))
+    found = kept(jaccard.classes(docs))
+    first = kept(found.groupBy("root").agg(
+        F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_mark")).alias("_least")).select(
+        F.col("_least._doc").alias("_id"), F.col("_least._mark").alias("_mark")))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), mark.alias("_of"))
     stay = rows.join(first, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_mark")), "left_semi")
     return stay.dropDuplicates(["_doc", "_of"]).select("_row.*")

@@ -1,0 +1,71 @@
+"""The pipeline's near-duplicates against brute-force Jaccard similarity of five-word shingles."""
+
+import itertools
+
+import corpus_pipeline
+import duckdb
+
+from pagescan.llm import jaccard, simhash
+from tests.conftest import SF
+from tests.llm.test_text_operators import WORD
+
+
+def plain_shingles(text, n=5):
+    found = WORD.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(found[i:i + n]) for i in range(len(found) - n + 1)} or ({tuple(found)} if found else set())
+
+
+def plain_survivors(rows):
+    """Least id of each component of pairs with similarity 0.8 or more."""
+    sets = {i: plain_shingles(t) for i, t in rows}
+    root = {i: i for i in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if root[a] != root[b] and 5 * both >= 4 * either:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {i: new if r == old else r for i, r in root.items()}
+    return sorted(set(root.values()))
+
+
+def test_near_copies_down_to_four_fifths(docs, rng):
+    rows = []
+    for base in range(25):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([8, 30, 60, 200, 900]))]
+        for _ in range(6):
+            copy = list(words)
+            for _ in range(rng.randrange(1 + len(words) // 25)):
+                copy[rng.randrange(len(copy))] = "changed"
+            rows.append((len(rows), " ".join(copy[rng.randrange(3):])))
+    rng.shuffle(rows)
+    got = sorted(r.doc_id for r in simhash.deduplicate(docs(*rows)).collect())
+    assert got == plain_survivors(rows)
+    assert 25 < len(got) < 120
+
+
+def test_one_large_group_linked_over_a_base_only(docs, rng):
+    """Copies changed in different places are less alike than each is to the base."""
+    words = [f"w{i}" for i in range(104)]
+    rows = [(1000, " ".join(words))]
+    for i in range(60):
+        copy = list(words)
+        for at in rng.sample(range(5, 100, 12), 2):
+            copy[at] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    got = sorted(r.doc_id for r in simhash.deduplicate(docs(*rows)).collect())
+    assert got == plain_survivors(rows)
+
+
+def test_shingles_in_pieces(monkeypatch):
+    text = " ".join(f"w{i * i % 1013}" for i in range(3000)) + "  tail\nof words"
+    whole = jaccard.shingles(text)
+    assert len(whole) == len(plain_shingles(text))
+    for size in (1, 7, 1000):
+        monkeypatch.setattr(jaccard, "_CHUNK", size)
+        assert (jaccard.shingles(text) == whole).all()
+
+
+def test_stage_on_the_given_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
+    got = sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect())
+    assert got == plain_survivors(rows)
