@@ -18,9 +18,12 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9](?:[\x20().-]*+[0-9])++",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    # Only the beginning; where an account number ends is for _accounts to find.
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "local_phone": r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?[\x20-][0-9]{3,4}[\x20-][0-9]{3,4}(?![0-9A-Za-z])",
 }
+#: From its beginning, an account number is within this run: 34 characters with a blank before each.
+_ACCOUNT_RUN, _ACCOUNT_CHARS = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", 68
 #: Score of a confirmed span, what a context word adds, how far it may be, and what is wanted.
 SCORES = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "local_phone": 0.3}
 CONTEXT_WORDS = {
@@ -78,6 +81,46 @@ def _spans(text: str, kind: str) -> str:
     return f"IF({text} rlike {pattern}, {matched}, array())"
 
 
+def _accounts(text: str) -> str:
+    """As ``_spans`` for account numbers: of each run the longest prefix that ends with a word and is valid.
+
+    A run goes on over blanks into the words behind the number, so its end says nothing; only the beginning is
+    matched, and a number inside another one is left out.
+    """
+    pattern = lit(PATTERNS["iban"])
+    heard = lit(r"(?i)\b(?:" + "|".join(CONTEXT_WORDS["iban"]) + r")\b")
+    chars = _ACCOUNT_CHARS + CONTEXT_CHARS
+
+    def place(v):
+        def ahead(i):
+            # The text from a beginning on; pieces have five characters or more.
+            return (f"left(aggregate(sequence({i}, least({i} + {chars // 5 + 1}, size({v}.found) - 1)), '', (t, j) -> "
+                    f"IF(length(t) >= {chars}, t, concat(t, get({v}.found, j), left(get({v}.gaps, j + 1), {chars})))), {chars})")
+
+        def stops(c):
+            return (f"filter(sequence(greatest(length({c}.run), 15), 15, -1), p -> substring({c}.ahead, p, 1) != ' ' "
+                    f"AND NOT substring({c}.ahead, p + 1, 1) rlike '[A-Za-z0-9]' AND {_valid('iban', f'left({c}.ahead, p)')})")
+
+        def with_starts(w):
+            def one(_, i):
+                def span(s):
+                    near = (f"concat(right(get({v}.gaps, {i}), {CONTEXT_CHARS}), ' ', "
+                            f"substring({s}.ahead, {s}.chars + 1, {CONTEXT_CHARS}))")
+                    return (f"IF({s}.chars IS NULL, NULL, named_struct('start', {s}.start, 'rank', {KINDS.index('iban')}, 'stop', "
+                            f"{s}.start + {s}.chars, 'score', {SCORES['iban']}D + IF({near} rlike {heard}, {CONTEXT_BONUS}D, 0D)))")
+                start = f"CAST(get({w}.totals, {i}) + length(get({v}.gaps, {i})) AS BIGINT)"
+                return let(lambda a: let(lambda c: let(span, ahead=f"{c}.ahead", start=start, chars=f"get({stops(c)}, 0)"),
+                                         ahead=f"{a}.ahead", run=f"regexp_extract({a}.ahead, {lit(_ACCOUNT_RUN)}, 0)"), ahead=ahead(i))
+            return let(lambda f: f"aggregate({f}.spans, filter({f}.spans, s -> false), (a, s) -> "
+                                 f"IF(size(a) > 0 AND s.start < get(a, size(a) - 1).stop, a, concat(a, array(s))))",
+                       spans=f"filter({each('transform', f'{v}.found', one, indexed=True)}, s -> s.score >= {WANTED}D)")
+        return let(with_starts, totals=running_totals(each("transform", f"{v}.found", lambda span, i: (
+            f"length(get({v}.gaps, {i})) + length({span})"), indexed=True)))
+
+    matched = let(place, found=f"regexp_extract_all({text}, {pattern}, 0)", gaps=f"split({text}, {pattern}, -1)")
+    return f"IF({text} rlike {pattern}, {matched}, array())"
+
+
 def find(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
     """``keep`` and ``spans``: array of (start, rank, stop, score) by start, then kind; a row per row.
 
@@ -97,7 +140,7 @@ def find(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
                      f"y -> y.rank != 2 AND x.start < y.stop AND y.start < x.stop)))")),
             base=f"concat({base})")
 
-    spans = let(lambda t: let(gather, **{k: _spans(f"{t}.t", k) for k in KINDS}), t=text)
+    spans = let(lambda t: let(gather, **{k: _accounts(f"{t}.t") if k == "iban" else _spans(f"{t}.t", k) for k in KINDS}), t=text)
     return docs.select(*keep, F.expr(f"{spans} AS spans"))
 
 

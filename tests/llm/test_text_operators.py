@@ -153,6 +153,17 @@ def test_checksums_and_context_words(docs):
     assert "iban" in got[5]
 
 
+def test_account_numbers_with_words_behind(docs):
+    texts = ["IBAN DE89370400440532013000 BIC COBADEFFXXX", "pay to DE89370400440532013000 The rest", "GB82 WEST 1234 5698 7654 32 Today",
+             "DE89370400440532013000 GB82WEST12345698765432 NOW 1", "AB12 GB82 WEST 1234 5698 7654 32", "DE89370400440532013000X", "DE88370400440532013000 BIC"]
+    texts.append(" ".join(f"AA{i % 90 + 10}" for i in range(20_000)))
+    got = {r.doc_id: [texts[r.doc_id][s.start:s.stop] for s in r.spans if s.rank == 4] for r in pii.find(docs(*texts)).collect()}
+    plain, spaced = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    assert [got[i] for i in range(7)] == [[plain], [plain], [spaced], [plain, "GB82WEST12345698765432"], [spaced], [], []]
+    assert [r.text for r in pii.redact(docs(*texts[:3])).orderBy("doc_id").collect()] == [
+        "IBAN [iban] BIC COBADEFFXXX", "pay to [iban] The rest", "[iban] Today"]
+
+
 def test_redaction(docs, clashing):
     texts = ["write a.b@c.de or +1 (555) 123-4567 now", "nothing", "x@y.z", None]
     got = [r.text for r in pii.redact(docs(*texts)).orderBy("doc_id").collect()]
