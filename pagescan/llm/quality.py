@@ -1,7 +1,7 @@
 """Quality rules: statistics of each text, and lines that too many documents of a host share.
 
 Lines are normalised and hashed, distinct documents are counted per host and line, lines
-above the limits are removed, and a document of which too little is left is rejected.
+above the limit are removed, and a document of which too little is left is rejected.
 Everything is Spark expressions; only hashes and counts are shuffled, never texts.
 """
 
@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from pagescan.functions.text import let
 from pagescan.llm.common import SPACE, kept, small, word_count
 
-#: A line is frequent above this many documents of its host and above this share of them.
-LEAST_DOCUMENTS, SHARE = 10, 0.02
+#: A line is frequent above this many distinct documents of its host, whatever the size of the host.
+LEAST_DOCUMENTS = 10
 #: Rejected if less than this share of the words of its distinct lines is left.
 LEFT = 0.5
 
@@ -73,23 +73,21 @@ def _keyed(docs: DataFrame, host: str) -> list:
             F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_text")]
 
 
-def frequent_lines(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUMENTS,
-                   share: float = SHARE) -> tuple[DataFrame, DataFrame]:
+def frequent_lines(docs: DataFrame, host: str = "source",
+                   least: int = LEAST_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
     """(``_host, _text, line, n``: the lines of every document; ``_host, line``: the frequent ones).
 
     Equal texts of a host are one document, so copies do not make their own lines frequent.
     """
     lines = kept(docs.select(*_keyed(docs, host), F.inline(F.expr(_LINES))).distinct())
-    size = docs.select(*_keyed(docs, host)).distinct().groupBy("_host").agg(F.count("*").alias("_docs"))
     counts = lines.groupBy("_host", "line").agg(F.count("*").alias("_in")).where(F.col("_in") > least)
-    frequent = counts.join(small(kept(size)), "_host").where(F.col("_in") > F.col("_docs") * share)
-    return lines, kept(frequent.select("_host", "line"))
+    return lines, kept(counts.select("_host", "line"))
 
 
-def _judged(docs: DataFrame, keep, host: str, least: int, share: float, left: float) -> DataFrame:
+def _judged(docs: DataFrame, keep, host: str, least: int, left: float) -> DataFrame:
     """``_row`` (struct of the columns in ``keep``), the text, statistics, removed_words, kept and the
     hashes of the document's frequent lines."""
-    lines, frequent = frequent_lines(docs, host, least, share)
+    lines, frequent = frequent_lines(docs, host, least)
     removed = kept(lines.join(small(frequent), ["_host", "line"]).groupBy("_host", "_text").agg(
         F.sum("n").cast("long").alias("removed_words"), F.collect_set("line").alias("_lines")))
     wrapped = docs.select(F.struct(*keep).alias("_row"), "text", *_keyed(docs, host))
@@ -101,7 +99,7 @@ def _judged(docs: DataFrame, keep, host: str, least: int, share: float, left: fl
 
 
 def judge(docs: DataFrame, host: str = "source", keep=("doc_id",), least: int = LEAST_DOCUMENTS,
-          share: float = SHARE, left: float = LEFT) -> DataFrame:
+          left: float = LEFT) -> DataFrame:
     """``keep``, the statistics, ``removed_words`` and ``kept``, a row for each row of ``docs``.
 
     removed_words counts the words of the document's distinct frequent lines; kept is false where
@@ -109,12 +107,12 @@ def judge(docs: DataFrame, host: str = "source", keep=("doc_id",), least: int =
     and empty texts have no words and fail; a NULL host is the host of empty name; a blank line is
     no line.  Equal texts of a host share a verdict.  Other columns are not read.
     """
-    return _judged(docs, keep, host, least, share, left).select(
+    return _judged(docs, keep, host, least, left).select(
         "_row.*", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "removed_words")
 
 
-def clean(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUMENTS, share: float = SHARE,
+def clean(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUMENTS,
           left: float = LEFT) -> DataFrame:
     """The rows that ``judge`` keeps, all columns, with frequent lines taken out of ``text``.
 
@@ -124,7 +122,7 @@ def clean(docs: DataFrame, host: str = "source", least: int = LEAST_DOCUMENTS, s
     rest = F.expr(f"array_join(filter(split(text, '\\n'), x -> NOT (x rlike '{_WORD_CHARS}' AND "
                   f"array_contains(_lines, {_normal('x')}))), '\n')")
     text = F.when(F.col("_lines").isNull(), F.col("_row.text")).otherwise(rest)
-    out = _judged(docs, docs.columns, host, least, share, left).where("kept").select(
+    out = _judged(docs, docs.columns, host, least, left).where("kept").select(
         "_row", text.alias("_new"))
     return out.select(*[F.col("_new").alias("text") if c == "text"
                         else F.length("_new").cast("long").alias(c) if c == "n_chars"

@@ -48,6 +48,14 @@ def test_frequent_lines_go_and_depleted_documents_are_rejected(docs):
     assert clean[104].text.startswith("Shared line HERE\nshared")
 
 
+def test_frequent_lines_of_a_hot_host(docs):
+    """A line in 12 of 700 documents is under 2 % of its host."""
+    body = lambda i: " ".join(f"w{i}x{j}" for j in range(60))
+    rows = [(i, f"Shared line here\n{body(i)}" if i < 12 else f"Rare line here\n{body(i)}" if i < 22 else body(i)) for i in range(700)]
+    judged = {r.doc_id: r.removed_words for r in quality.judge(docs(*rows)).collect()}
+    assert judged == {i: 3 if i < 12 else 0 for i in range(700)}
+
+
 def test_quality_takes_empty_and_clashing_tables(odd, clashing):
     assert quality.judge(odd).count() == 12 and quality.judge(odd.limit(0)).count() == 0
     assert quality.clean(clashing).columns == clashing.columns and quality.clean(clashing).count() == 0
