@@ -1,5 +1,6 @@
 """What several operators share: word pattern, checked broadcasts, cut lineage, connected components."""
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,15 +30,40 @@ def word_count(text) -> Column:
         F.coalesce(text, F.lit("")), r"[^\x20\x09-\x0D]++", "x"), r"[\x20\x09-\x0D]++", "")).cast("long")
 
 
+def valid_text(column="text") -> Column:
+    """The text for a Python worker: what is no UTF-8 becomes U+FFFD, as any string column may hold any bytes."""
+    return F.make_valid_utf8(F.col(column).cast("string"))
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    Without that setting a session whose tasks run inside the driver gets a folder of its own; on a
+    cluster it is an error, since executors would not see a local folder.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                                 or tempfile.mkdtemp(prefix="pagescan-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not re.fullmatch(r"local(\[[^,\]]*(,[^,\]]*)?\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="pagescan-checkpoints-")
+        context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
 
+def stored(df: DataFrame, folder: str) -> DataFrame:
+    """The rows written as Parquet into ``folder`` and read again; smaller than a checkpoint for wide tables."""
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def dropped(spark: SparkSession, folder: str) -> None:
+    """Takes away a folder that ``stored`` wrote, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def kept(df: DataFrame) -> DataFrame:
     """The rows written to the shared folder, so that a lost executor costs no recomputation and two
     readers see the same rows."""

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagescan.llm.common import kept, small
+from pagescan.llm.common import kept, small, valid_text
 from pagescan.llm.mixing import hash60, thresholds
 
 #: At most so many labelled documents are learned from, spread evenly over the languages, and so many are landmarks.
@@ -54,7 +54,7 @@ def sample(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
 
     The bound is found from histograms of the hash; equal rows count once.
     """
-    marked = labelled.select("lang", F.col("text").cast("string").alias("text"), hash60(F.concat_ws(
+    marked = labelled.select("lang", valid_text().alias("text"), hash60(F.concat_ws(
         ":", F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))).alias("h"))
     hashes = kept(marked.select(F.col("lang").alias("source"), "h", F.lit(1).cast("long").alias("size")).distinct())
     counts = kept(hashes.groupBy("source").agg(F.count("*").alias("n")))
@@ -106,7 +106,8 @@ def classify(docs: DataFrame, model: dict, keep=("doc_id",)) -> DataFrame:
 
     A NULL text, one without a letter, or a model without languages gives ``und`` and 0.  Ties go to the
     first language in code-point order.  The score is the winner's regression value moved from
-    [-1, 1] to [0, 1].  ``keep`` must not name results; other columns are not read.
+    [-1, 1] to [0, 1].  Bytes that are no UTF-8 count as U+FFFD, which is no letter.  ``keep`` must not name results;
+    other columns are not read.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -126,6 +127,6 @@ def classify(docs: DataFrame, model: dict, keep=("doc_id",)) -> DataFrame:
             yield pa.record_batch([*batch.columns[:-1], pa.array(best, pa.string()), pa.array(scores, pa.float64())],
                                   names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    rows = docs.select(*keep, F.col("text").cast("string").alias("_text"))
+    rows = docs.select(*keep, valid_text().alias("_text"))
     schema = rows.drop("_text").schema.add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(run, schema)

@@ -19,7 +19,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagescan.llm import jaccard
 from pagescan.llm.common import components, kept
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -28,12 +27,12 @@ _CHUNK = 1 << 20
 _BLOCKS, _BLOCK_BITS = 8, 8
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
     """SimHash of the word shingles; zero where there is no word.
 
     The text is worked through in pieces of a megabyte, so a very long one needs little memory.
     """
-    data = (text or "").encode().translate(_LOWER)
+    data = (text.encode() if isinstance(text, str) else text or b"").translate(_LOWER)
     ones, total, tail, start = np.zeros(64, np.int64), 0, [], 0
     while start < len(data):
         cut = _SPACE.search(data, min(start + _CHUNK, len(data)))
@@ -68,7 +67,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, keep=()) -> DataFrame:
             prints = np.array([fingerprint(t.as_py(), shingle) for t in texts], np.uint64)
             yield pa.record_batch([*batch.columns[:-1], pa.array(prints.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").alias("_of"))
+    rows = docs.select(F.col("doc_id").cast("long"), *keep, F.col("text").cast("string").cast("binary").alias("_of"))
     return rows.mapInArrow(run, rows.drop("_of").schema.add("fp", "long"))
 
 
@@ -171,8 +170,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, keep=())
 
     component_id is the least doc_id reachable over links, the document itself included; NULL
     ids do not count, and a component of NULL ids only has NULL.  NULL, empty and blank texts
-    have fingerprint zero, which links like any other.  Repeated rows stay repeated.  Other
-    columns are not looked at.
+    have fingerprint zero, which links like any other.  Repeated rows stay repeated.  Texts are
+    taken as bytes, so such as are no UTF-8 count as they are.  Other columns are not looked at.
     """
     return _classes(docs, shingle, radius, keep).drop("root")
 
@@ -189,18 +188,17 @@ def _classes(docs: DataFrame, shingle: int, radius: int, keep) -> DataFrame:
     return prints.join(ids, "fp").select("doc_id", *keep, "fp", "root", "component_id")
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
-    """One row of each component of ``jaccard.classes``, all columns: the row of least doc_id.
+def deduplicate(docs: DataFrame, shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row of each component, all columns: the row of least doc_id.
 
-    Components link texts with four fifths or more of their five-word shingles in common; the three words and two
-    bits of ``near_duplicates`` reach copies and the nearest copies only.  Of rows that share that id the one with
-    the least hash of its text stays, and of fully equal rows one; a NULL id stays only where a component has no other.
+    Of rows that share that id the one with the least hash of its text stays, and of fully equal rows
+    one; a NULL id stays only where a component has no other.  NULL, empty and blank texts are one
+    component; an empty table stays empty; columns of any name go through untouched.
     """
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    found = kept(jaccard.classes(docs))
-    first = kept(found.groupBy("root").agg(
-        F.min(F.struct(F.col("_doc").isNull().alias("none"), "_doc", "_mark")).alias("_least")).select(
-        F.col("_least._doc").alias("_id"), F.col("_least._mark").alias("_mark")))
+    found = _classes(docs.select("doc_id", "text", mark.alias("_mark")), shingle, radius, ["_mark"])
+    first = kept(found.where("doc_id <=> component_id").groupBy("doc_id", "root").agg(
+        F.min("_mark").alias("_mark")).select(F.col("doc_id").alias("_id"), "_mark"))
     rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").cast("long").alias("_doc"), mark.alias("_of"))
     stay = rows.join(first, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_of") == F.col("_mark")), "left_semi")
     return stay.dropDuplicates(["_doc", "_of"]).select("_row.*")
