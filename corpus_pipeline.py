@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the least doc_id stays."""
+    """Of each component of SimHash links the document with the least doc_id stays."""
     return simhash.deduplicate(docs)
 
 
