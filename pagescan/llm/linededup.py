@@ -11,11 +11,13 @@ template with thousands of fillings gives as many pairs, not their square.
 Everything is Spark expressions; what is shuffled are hashes and places, and the words of lines that have variants.
 """
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagescan.functions.text import let
-from pagescan.llm.common import SPACE, kept, small
+from pagescan.llm.common import SPACE, dropped, kept, shared_folder, small, stored
 
 LEAST_WORDS = 5
 #: Sums of hashes are taken modulo this prime, so that no line is too long for a long.
@@ -23,30 +25,34 @@ _PRIME = (1 << 61) - 1
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``place`` (struct of document, text hash and line number) and ``line``, for lines with a word."""
-    return docs.select(F.col("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("th"),
+    """``doc_id, th, no, line`` (th: the text's hash), for lines with a word."""
+    return docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("th"),
                        F.posexplode(F.split(F.col("text").cast("string"), "\n")).alias("no", "line")) \
-        .select(F.struct("doc_id", "th", "no").alias("place"), "line").where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+        .where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+
+
+def _place() -> Column:
+    return F.struct("doc_id", "th", "no")
 
 
-def _normal() -> F.Column:
+def _normal() -> Column:
     """The words of ``line``, lower-cased, one blank between them."""
     low = F.lower("line")
     return F.when(low.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$"), F.trim(F.regexp_replace(low, SPACE, " "))).otherwise(low)
 
 
-def _half_keys() -> str:
-    """Keys of the halves of ``norm`` that a near line must share: two of the first half, then two of the last.
+def _half_keys() -> list[Column]:
+    """Keys ``h0`` to ``h3`` of the halves of ``norm`` (``n`` words) that a near line must share: two of the first half, then two
+    of the last; NULL for short lines.
 
     The shorter line's length gives the half, so a line of n words has halves of n and of n - 1.
     """
-    def keys(v):
-        def half(side, size):
-            sign = "" if side == "first" else "-"
-            return f"xxhash64('{side}', {size}, substring_index(norm, ' ', {sign}CAST({size} div 2 AS INT)))"
-        every = [half(side, size) for side in ("first", "last") for size in (f"{v}.n", f"({v}.n - 1)")]
-        return f"IF({v}.n < {LEAST_WORDS}, array(), array({', '.join(every)}))"
-    return let(keys, n="(length(norm) - length(replace(norm, ' ', '')) + 1)")
+    keys = []
+    for side in ("first", "last"):
+        for size in ("n", "(n - 1)"):
+            half = f"substring_index(norm, ' ', {'' if side == 'first' else '-'}CAST({size} div 2 AS INT))"
+            keys.append(F.expr(f"IF(n < {LEAST_WORDS}, NULL, xxhash64('{side}', {size}, {half})) AS h{len(keys)}"))
+    return keys
 
 
 def _sums(array: str) -> str:
@@ -106,13 +112,22 @@ def _within_one(a: str, b: str) -> str:
     return let(same, a=a, b=b)
 
 
-def _near(lines: DataFrame, unique: DataFrame) -> DataFrame:
+def _involved(places: DataFrame) -> DataFrame:
+    """``hash, place, sides`` of the distinct lines that share a half with another one: first place, and which halves."""
+    halves = places.where("h0 IS NOT NULL").select("hash", F.expr("stack(4, 1, h0, 1, h1, 2, h2, 2, h3) AS (side, key)"))
+    # A key is shared if two different lines have it.
+    shared = kept(halves.groupBy("key").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).where(
+        "low != high").select("key"))
+    sides = kept(halves.join(small(shared), "key", "left_semi").groupBy("hash").agg(F.expr("bit_or(side) AS sides")))
+    return kept(places.join(small(sides), "hash").groupBy("hash").agg(
+        F.min(_place()).alias("place"), F.min("sides").alias("sides")))
+
+
+def _near(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``hash`` of the distinct lines for which there is an earlier near line."""
-    halves = unique.select("hash", F.posexplode("halves").alias("no", "key")).selectExpr("hash", "key", "IF(no < 2, 1, 2) AS side")
-    shared = kept(halves.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    involved = halves.join(small(shared), "key", "left_semi").groupBy("hash").agg(F.expr("bit_or(side)").alias("sides"))
-    involved = kept(involved.join(unique.select("hash", "place"), "hash"))
-    texts = kept(lines.join(small(involved), "place").select("hash", "place", "sides", _normal().alias("norm")).distinct())
+    involved = small(_involved(places)).withColumnRenamed("place", "_place")
+    texts = kept(_lines(docs).join(involved, _place() == F.col("_place")).select(
+        "hash", F.col("_place").alias("place"), "sides", _normal().alias("norm")).distinct())
     variants = kept(texts.select("hash", "sides", F.split("norm", " ").alias("words")).select(
         "hash", F.explode(F.expr(_variant_keys())).alias("v")).select("hash", "v.kind", "v.key"))
     # Most variants are nobody else's; only shared keys go on.
@@ -134,6 +149,31 @@ def _near(lines: DataFrame, unique: DataFrame) -> DataFrame:
         F.expr(_within_one("mine", "theirs"))).select("hash")
 
 
+def _gone(docs: DataFrame) -> DataFrame:
+    """``_doc, _th, n_exact, n_near, gone``: for documents that lose lines, the numbers of those.
+
+    The lines are cut, normalised and hashed once, into a stored table of numbers; what follows reads that.  Only lines that
+    stand twice or are near another one go into joins.
+    """
+    spark = docs.sparkSession
+    folder = f"{shared_folder(spark)}/lines-{uuid.uuid4()}"
+    hashed = _lines(docs).select("doc_id", "th", "no", _normal().alias("norm")).select(
+        "doc_id", "th", "no", "norm", F.expr("length(norm) - length(replace(norm, ' ', '')) + 1 AS n"))
+    places = stored(hashed.select("doc_id", "th", "no", F.xxhash64("norm").alias("hash"), *_half_keys()), folder)
+    again = kept(places.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    first = places.join(small(again), "hash").groupBy("hash").agg(F.min(_place()).alias("first"))
+    near = _near(docs, places).distinct().select("hash", F.lit(True).alias("near"))
+    judged = kept(first.join(near, "hash", "full").select("hash", "first", F.coalesce("near", F.lit(False)).alias("near")))
+    # Rows equal in id and text are one document, so their places are equal too.
+    marked = places.join(small(judged), "hash").select("doc_id", "th", "no", "near", F.expr(
+        "first IS NOT NULL AND named_struct('doc_id', doc_id, 'th', th, 'no', no) != first").alias("exact")).where(
+        "exact OR near").distinct()
+    gone = kept(marked.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(
+        F.expr("count_if(exact) AS n_exact"), F.expr("count_if(NOT exact) AS n_near"), F.collect_list("no").alias("gone")))
+    dropped(spark, folder)
+    return gone
+
+
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``doc_id, text, n_lines, n_exact, n_near`` for each row of ``docs(doc_id, text)``.
 
@@ -143,22 +183,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines with a word.  Blank lines stay.  NULL texts stay NULL.  Rows equal in doc_id and text are
     one document and share a result.  Other columns are not read.
     """
-    lines = _lines(docs)
-    hashed = lines.select("place", _normal().alias("norm")).select(
-        "place", F.xxhash64("norm").alias("hash"), F.expr(_half_keys()).alias("halves"))
-    places = kept(hashed.select("place", "hash").distinct())
-    unique = kept(hashed.groupBy("hash").agg(F.min("place").alias("place"), F.first("halves").alias("halves")))
-    near = kept(_near(lines, unique).select("hash", F.lit(True).alias("near")).distinct())
-    judged = kept(unique.select("hash", F.col("place").alias("first")).join(small(near), "hash", "left"))
-    per_document = places.join(judged, "hash").select(
-        F.col("place.doc_id").alias("_doc"), F.col("place.th").alias("_th"), F.col("place.no").alias("no"),
-        (F.col("place") != F.col("first")).alias("exact"), F.coalesce("near", F.lit(False)).alias("near")).groupBy("_doc", "_th").agg(
-        F.count("*").alias("n_lines"), F.sum(F.expr("IF(exact, 1L, 0L)")).alias("n_exact"),
-        F.sum(F.expr("IF(near AND NOT exact, 1L, 0L)")).alias("n_near"),
-        F.expr("collect_list(no) FILTER (WHERE exact OR near) AS gone"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("th"))
     left = let(lambda v: f"array_join(transform(array_except(sequence(0, size({v}.l) - 1), gone), i -> {v}.l[i]), '\\n')",
                l="split(text, '\\n')")
-    return rows.join(per_document, F.col("th").eqNullSafe(F.col("_th")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left").select(
-        "doc_id", F.expr(f"CASE WHEN size(gone) > 0 THEN {left} ELSE text END AS text"),
-        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_exact", "n_near")])
+    # From the first sign of a word to the line's end: a match for each line with a word.
+    n_lines = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*+")), F.lit(0)).cast("long")
+    return rows.join(small(_gone(docs), "1 + size(gone)"), F.col("th").eqNullSafe(F.col("_th")) & F.col("doc_id").eqNullSafe(
+        F.col("_doc")), "left").select(
+        "doc_id", F.expr(f"CASE WHEN size(gone) > 0 THEN {left} ELSE text END AS text"), n_lines.alias("n_lines"),
+        *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_exact", "n_near")])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pagescan.functions.text import each, let, lit, running_totals
 
 #: Kinds in the order of the contract, then those the method adds.
-KINDS = ("email", "ip", "card", "phone", "iban", "local_phone")
+KINDS = ("email", "ip", "card", "phone", "iban", "local_phone", "private_key", "access_key", "secret")
 _LOCAL = "A-Za-z0-9._%+-"
 #: Java forms of the patterns; each begins where a run begins or the last match ended.
 PATTERNS = {
@@ -21,15 +21,21 @@ PATTERNS = {
     # Only the beginning; where an account number ends is for _accounts to find.
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=(?:\x20?[A-Z0-9]){11})",
     "local_phone": r"(?<![0-9A-Za-z+.])\(?[0-9]{2,4}\)?[\x20-][0-9]{3,4}[\x20-][0-9]{3,4}(?![0-9A-Za-z])",
+    "private_key": r"-----BEGIN(?:\x20[A-Z]{1,20}){0,3}\x20PRIVATE\x20KEY-----(?:[^-]++-----END[A-Z\x20]{1,60}+-----)?",
+    "access_key": r"(?<![A-Za-z0-9_])(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[opsru]_[A-Za-z0-9]{36}|xox[abpr]-[A-Za-z0-9-]{9,99}[A-Za-z0-9])(?![A-Za-z0-9_])",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{20,}+",
 }
 #: From its beginning, an account number is within this run: 34 characters with a blank before each.
 _ACCOUNT_RUN, _ACCOUNT_CHARS = r"^[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+", 68
 #: Score of a confirmed span, what a context word adds, how far it may be, and what is wanted.
-SCORES = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "local_phone": 0.3}
+SCORES = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "local_phone": 0.3, "private_key": 0.9,
+          "access_key": 0.9, "secret": 0.3}
 CONTEXT_WORDS = {
     "email": ["mail", "contact"], "ip": ["ip", "address", "host"], "card": ["card", "visa", "credit"],
     "phone": ["phone", "tel", "call", "mobile"], "iban": ["iban", "account", "bank"],
-    "local_phone": ["phone", "tel", "telefon", "call", "mobile", "fax", "teléfono", "téléphone"]}
+    "local_phone": ["phone", "tel", "telefon", "call", "mobile", "fax", "teléfono", "téléphone"],
+    "private_key": ["key"], "access_key": ["key", "token"],
+    "secret": ["token", "secret", "password", "passwd", "key", "apikey", "api_key", "credential", "credentials", "bearer", "authorization"]}
 CONTEXT_BONUS, CONTEXT_CHARS, WANTED = 0.4, 40, 0.5
 
 
@@ -53,6 +59,10 @@ def _valid(kind: str, span: str) -> str:
         return f"length({_digits(span)}) BETWEEN 14 AND 19 AND luhn_check({_digits(span)})"
     if kind == "phone":
         return f"length({_digits(span)}) BETWEEN 10 AND 15"
+    if kind == "secret":
+        # Letters and digits mixed, and not a repeated few.
+        return (f"length({span}) <= 200 AND length({_digits(span)}) >= 4 AND length(regexp_replace({span}, '[^A-Za-z]++', '')) >= 2 "
+                f"AND size(array_distinct(split({span}, ''))) >= 8")
     if kind == "iban":
         return f"length(replace({span}, ' ', '')) BETWEEN 15 AND 34 AND {_mod97(span)} = 1"
     return "true"
@@ -125,20 +135,27 @@ def find(docs: DataFrame, keep=("doc_id",)) -> DataFrame:
     """``keep`` and ``spans``: array of (start, rank, stop, score) by start, then kind; a row per row.
 
     Offsets count code points, the stop is exclusive, rank is the place in ``KINDS``.  Account numbers
-    (mod 97) and phone numbers without a country code, which need a context word, are found besides the
-    four base kinds; one that overlaps a base span, or an account number, is left out.  NULL and empty texts hold
+    (mod 97), phone numbers without a country code and secrets (long runs of mixed letters and digits), which both need a
+    context word, private keys and access keys of known forms are found besides the four base kinds; one that overlaps
+    a base span, or one found before it, is left out.  NULL and empty texts hold
     nothing.  Other columns are not read.
     """
     text = "coalesce(CAST(text AS STRING), '')"
 
+    def apart(found, others, but_cards=True):
+        cards = "y.rank != 2 AND " if but_cards else ""
+        return f"filter({found}, x -> NOT exists({others}, y -> {cards}x.start < y.stop AND y.start < x.stop))"
+
     def gather(v):
-        base = ", ".join(f"{v}.{k}" for k in KINDS[:4])
-        return let(lambda b: (
-            let(lambda c: f"array_sort(concat({c}.firm, filter({v}.local_phone, x -> NOT exists({c}.firm, "
-                          f"y -> x.start < y.stop AND y.start < x.stop))))",
-                firm=f"concat({b}.base, filter({v}.iban, x -> NOT exists({b}.base, "
-                     f"y -> y.rank != 2 AND x.start < y.stop AND y.start < x.stop)))")),
-            base=f"concat({base})")
+        # Each kind the method adds gives way to what is there before it.
+        def from_base(b):
+            def from_firm(c):
+                def from_known(d):
+                    return let(lambda e: f"array_sort(concat({e}.sure, {apart(f'{v}.local_phone', f'{e}.sure', False)}))",
+                               sure=f"concat({d}.known, {apart(f'{v}.secret', f'{d}.known')})")
+                return let(from_known, known=f"concat({c}.firm, {apart(f'concat({v}.private_key, {v}.access_key)', f'{c}.firm')})")
+            return let(from_firm, firm=f"concat({b}.base, {apart(f'{v}.iban', f'{b}.base')})")
+        return let(from_base, base=f"concat({', '.join(f'{v}.{k}' for k in KINDS[:4])})")
 
     spans = let(lambda t: let(gather, **{k: _accounts(f"{t}.t") if k == "iban" else _spans(f"{t}.t", k) for k in KINDS}), t=text)
     return docs.select(*keep, F.expr(f"{spans} AS spans"))

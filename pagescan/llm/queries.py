@@ -3,18 +3,21 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagescan.llm.collocations import collocations
 from pagescan.llm.common import documents
 from pagescan.llm.decontaminate import search
 from pagescan.llm.language import classify, fit
 from pagescan.llm.linededup import dedup_lines
 from pagescan.llm.mixing import mix
 from pagescan.llm.oracles import ORACLE
+from pagescan.llm.orderminhash import edited_likeness
 from pagescan.llm.pii import digest, find
 from pagescan.llm.quality import judge
 from pagescan.llm.sharding import shard
 from pagescan.llm.simhash import near_duplicates
 from pagescan.llm.url_filters import judge_urls
 from pagescan.llm.warc import derive, page_responses
+from pagescan.llm.whitening import whiten
 
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -67,8 +70,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(documents(spark, sf_dir))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_url_filters, op2_language, op3_pii, op4_decontamination, op5_simhash, op6_warc, op7_quality, op8_mixing,
-    op9_line_dedup, op10_sharding)}
+    op9_line_dedup, op10_sharding, op11_whitening, op12_collocations, op13_fingerprints)}
 
 __all__ = ["ORACLE", "QUERIES"]

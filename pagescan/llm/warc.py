@@ -1,33 +1,90 @@
 """WARC derivatives: a metadata record and a plain-text conversion record for each response record.
 
-Records are strings: header lines, an empty line, the block.  Everything is Spark expressions;
-one pass, no shuffle.
+Records are strings: header lines, an empty line, the block.  Derivatives are Spark expressions; one pass, no
+shuffle.  Files are read by the lengths that records state.
 """
 
+import re
+from collections.abc import Callable
+from html.entities import html5
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Elements whose ends break a line of text.
 BREAKS = ("p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|title|section|article|header|footer|nav|aside|main|"
           "blockquote|pre|hr|dl|dt|dd|form|option")
-ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&")]
+#: A character reference: decimal, hexadecimal, or a name with its semicolon.
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+#: Numbers that pages from one old code page use for its characters.
+OLD_NUMBERS = {n: bytes([n]).decode("cp1252") for n in range(128, 160) if n not in (129, 141, 143, 144, 157)}
 END = "\r\n"
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _table(pairs) -> Column:
+    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+
+
+def _referred() -> Callable[[Column], Column]:
+    """What a character reference stands for; an unknown name stays."""
+    letters = {}
+    for name, text in sorted(html5.items()):
+        if name.endswith(";"):
+            letters.setdefault(name[0], []).append((f"&{name}", text))
+    # By first letter, since a map is searched from its beginning.
+    names = F.create_map(*[x for letter, pairs in letters.items() for x in (F.lit(letter), _table(pairs))])
+    old = _table(OLD_NUMBERS.items())
+
+    def of_number(n):
+        return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
+                .when(n.between(128, 159) & F.map_contains_key(old, n), old[n])
+                .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
+
+    def of(e):
+        hexadecimal = F.lower(F.substring(e, 3, 1)) == "x"
+        digits = F.regexp_extract(e, "[0-9A-Fa-f]+(?=;)", 0)
+        number = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
+        return (F.when(e == "&amp;", F.lit("&")).when(F.startswith(e, F.lit("&#")), _bound(number, of_number))
+                .otherwise(F.coalesce(names[F.substring(e, 2, 1)][e], e)))
+
+    return of
+
+
+def resolved(text: Column) -> Column:
+    """A text with its character references resolved, each once."""
+    of = _referred()
+
+    def joined(v):
+        pairs = F.zip_with(v["gaps"], F.transform(v["found"], of), lambda gap, e: F.concat(gap, F.coalesce(e, F.lit(""))))
+        return F.array_join(pairs, "")
+
+    def cut(t):
+        parts = F.struct(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)).alias("found"), F.split(t, REFERENCE, -1).alias("gaps"))
+        return F.when(F.contains(t, F.lit("&")), _bound(parts, joined)).otherwise(t)
+
+    return _bound(text, cut)
+
+
 def html_text(html) -> Column:
-    """The text of a page: comments, scripts, styles and tags out, block ends as line ends, common entities resolved.
+    """The text of a page: comments, scripts, styles and tags out, block ends as line ends, character references resolved.
 
-    What is left open (a comment, a script, a tag) goes on to the end, so each pattern looks at a page once.
+    What is left open (a comment, a script, a tag) goes on to the end, so each pattern looks at a page once.  Blanks and line
+    ends that are one already are not touched.
     """
     text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    for name in ("script", "style"):
-        text = F.regexp_replace(text, rf"(?is)<{name}\b[^>]*+(?:>.*?(?:</{name}\s*+>|\z)|\z)", "")
+    text = F.regexp_replace(text, "(?is)" + "|".join(
+        rf"<{name}\b[^>]*+(?:>.*?(?:</{name}\s*+>|\z)|\z)" for name in ("script", "style")), "")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKS})\b[^>]*+(?:>|\z)", "\n")
     text = F.regexp_replace(text, r"<[/!?A-Za-z][^>]*+(?:>|\z)", "")
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    text = F.regexp_replace(text, r"[ \t\r\f\x0B]++", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" ?+\n[ \n]*+", "\n"), r"^[ \n]++|[ \n]++$", "")
+    text = resolved(text)
+    text = F.regexp_replace(text, r"[\t\r\f\x0B][ \t\r\f\x0B]*+| [ \t\r\f\x0B]++", " ")
+    return F.regexp_replace(F.regexp_replace(text, r" \n[ \n]*+|\n[ \n]++", "\n"), r"^[ \n]++|[ \n]++$", "")
 
 
 def digest(block) -> Column:
@@ -132,8 +189,52 @@ def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None
         "compression", compression).text(path)
 
 
+_LENGTH = re.compile(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$")
+_SEPARATOR = b"\r\n\r\nWARC/1."
+
+
+def _whole(batches):
+    """Records from the pieces of files, put together until they have the length they state."""
+    at, parts, missing = None, [], 0
+
+    def record():
+        head, _, rest = b"".join(parts).partition(b"\r\n\r\n")
+        stated = _LENGTH.search(head)
+        block = rest[:int(stated[1])] if stated else rest.rstrip(b"\r\n")
+        return head + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    for batch in batches:
+        out = []
+        for file, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if parts and file == at and missing > 0:
+                parts += [_SEPARATOR, piece]
+                missing -= len(_SEPARATOR) + len(piece)
+                continue
+            if parts:
+                out.append(record())
+            at, parts, missing = file, [], 0
+            if piece.startswith(b"WARC/1."):  # only the first piece of a file has its own beginning
+                piece = piece[len(b"WARC/1."):]
+            if piece:
+                parts = [b"WARC/1.", piece]
+                cut = piece.find(b"\r\n\r\n")
+                stated = _LENGTH.search(piece[:cut]) if cut >= 0 else None
+                missing = int(stated[1]) - (len(piece) - cut - 4) if stated else 0
+        if out:
+            yield pa.record_batch([pa.array(out, pa.binary())], names=["warc"])
+    if parts:
+        yield pa.record_batch([pa.array([record()], pa.binary())], names=["warc"])
+
+
 def read_warc(spark, path: str) -> DataFrame:
-    """``warc``: the records of WARC files of text.  A block that holds a record's end and a version line is cut there."""
-    rows = spark.read.option("lineSep", f"{END}{END}WARC/1.").text(path)
-    records = rows.where("value != ''").select(F.concat(F.lit("WARC/1."), F.regexp_replace("value", r"^WARC/1\.", "")).alias("warc"))
-    return _parts(records).select(F.concat("head", F.lit(END + END), "block", F.lit(END + END)).alias("warc"))
+    """``warc``: the records of WARC files, plain or compressed, by their Content-Length.
+
+    Files are cut where a record may end; a block that holds such a place is put together again, so each file is read in its
+    order by one task, as a stream.  Blocks are kept byte by byte, whether or not they are text; a record without a
+    length goes to the next one.  Empty files give no rows.
+    """
+    rows = spark.read.option("lineSep", _SEPARATOR.decode()).text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("no"), F.col("value").cast("binary").alias("piece"))
+    in_order = rows.repartition("file").sortWithinPartitions("file", "start", "no").select("file", "piece")
+    return in_order.mapInArrow(_whole, "warc BINARY").select(F.col("warc").cast("string").alias("warc"))

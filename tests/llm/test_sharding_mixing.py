@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
-import xxhash
 
 from pagescan.llm import mixing, sharding
+from pagescan.llm.queries import QUERIES
+from tests.conftest import SF
 
 
 def plain_jump(key, n):
@@ -28,6 +29,21 @@ def test_jump_hash_is_the_published_loop_and_moves_only_to_the_new_shard(rng):
     assert set(after[moved]) == {24} and 0.02 < moved.mean() < 0.06
 
 
+def test_query_is_the_plain_loop(spark):
+    """The registered query against jump hashing row by row and numbering by hand."""
+    rows = [r.asDict() for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    marks = {r.doc_id: r.m for r in spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "xxhash64('shard', CAST(doc_id AS STRING)) AS m").collect()}
+    got = {r.doc_id: r for r in QUERIES["op10_sharding"](spark, SF).collect()}
+    assert set(got) == {r["doc_id"] for r in rows} and len(got) == len(rows)
+    for r in rows:
+        key, text, g = marks[r["doc_id"]] % 2**64, (r["text"] or "").encode(), got[r["doc_id"]]
+        assert (g.law, g.shard, g.grown_shard) == ("key", plain_jump(key, 24), plain_jump(key, 25))
+        assert (g["size"], g.text_crc32) == (len(text) + 8, zlib.crc32(text))
+    for shard in range(24):
+        slots = sorted(g.slot for g in got.values() if g.shard == shard)
+        assert slots == list(range(len(slots)))
+
+
 def test_shards_of_odd_rows(odd):
     rows = sharding.shard(odd, 5).collect()
     assert len(rows) == 12
@@ -104,3 +120,20 @@ def test_mix_with_one_id_and_odd_rows(docs, odd, clashing):
         assert abs(sum(r.taken for r in own) - own[0].target) <= len(own)
     assert mixing.mix(odd).count() == 12 and mixing.mix(odd.limit(0)).count() == 0
     assert mixing.mix(clashing).count() == 3
+
+
+@pytest.mark.parametrize("spread", [False, True])
+def test_null_and_equal_ids_come_near_the_target(spark, docs, monkeypatch, spread):
+    if spread:
+        monkeypatch.setattr(mixing, "_PART", 70)
+    rows = [(None, "one two three", "en", "a")] * 2000 + [(None, f"one two {i}", "en", "a") for i in range(2000)]
+    rows += [(7, "same here", "en", "b")] * 1500 + [(7, "", "en", "b")] * 5
+    got = mixing.mix(docs(*rows), keep=["source", "text"]).collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1
+        assert all(0 <= r.taken <= 3 * r["size"] for r in own)
+    equal = Counter(r.taken for r in got if r.text == "same here")
+    assert len(equal) <= 3
+    assert sorted(map(str, mixing.mix(docs(*rows).repartition(5), keep=["source", "text"]).collect())) == sorted(map(str, got))

@@ -116,6 +116,48 @@ def test_files_round_trip(spark, tmp_path):
     assert sorted(r.warc for r in warc.read_warc(spark, str(tmp_path / "out")).collect()) == sorted(r.warc for r in made.collect())
 
 
+def test_blocks_that_hold_the_end_of_a_record(spark, tmp_path):
+    """Pages about the format itself, one of them with whole records in it, and with a wrong length inside."""
+    inner = "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nContent-Length: 999999\r\n\r\nx\r\n\r\nWARC/1."
+    bodies = ["<p>a\r\n\r\nWARC/1.0 is the first line\r\n\r\nWARC/1.1</p>", "plain", f"<pre>{inner}\r\n\r\n</pre>", "", "\r\n\r\nWARC/1.", "end\r\n\r\n"]
+    pages = spark.createDataFrame([(i, f"http://a/{i}", b) for i, b in enumerate(bodies * 5)], "page_id BIGINT, url STRING, html STRING")
+    made = warc.page_responses(pages)
+    for kind in ("gzip", "none"):
+        path = str(tmp_path / kind)
+        warc.write_warc(made.coalesce(2), path, kind)
+        back = warc.read_warc(spark, path)
+        assert sorted(r.warc for r in back.collect()) == sorted(r.warc for r in made.collect())
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+        try:
+            assert sorted(r.warc for r in warc.read_warc(spark, path).collect()) == sorted(r.warc for r in made.collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        derived = warc.derive(back).where("record_type = 'conversion'")
+        assert sorted(r.warc for r in derived.collect()) == sorted(r.warc for r in warc.derive(made).where("record_type = 'conversion'").collect())
+
+
+def test_blocks_that_are_no_text(spark, tmp_path):
+    body = bytes(range(256)) * 3 + b"\r\n\r\nWARC/1.0\r\n"
+    record = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+    short = b"WARC/1.0\r\nWARC-Type: metadata\r\n\r\nno length\r\n\r\n"
+    (tmp_path / "a.warc").write_bytes(record + short + record)
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = [bytes(r.b) for r in warc.read_warc(spark, str(tmp_path)).selectExpr("CAST(warc AS BINARY) AS b").collect()]
+    assert sorted(got) == sorted([record, short, record])
+
+
+def test_character_references(spark):
+    import html
+    texts = ["&#8217;&#xE9;&eacute;&mdash;&amp;lt; &lt;&#60;&#x3c; &unknown; &amp &; &#; &#x; &AMP;&nbsp;&NotEqualTilde;", "&#128;&#153;&#129;&#0;&#xD800;&#x110000;",
+             "no reference", "a & b", "&am&#112;;lt;", "&copy;&middot;" * 50]
+    frame = spark.createDataFrame(list(enumerate(texts)), "page_id BIGINT, html STRING")
+    got = {r.page_id: r.t for r in frame.select("page_id", warc.resolved(F.col("html")).alias("t")).collect()}
+    # The library function also takes names without a semicolon, so those are kept out of its sight.
+    for i in (0, 2, 3, 5):
+        assert got[i] == html.unescape(texts[i].replace("&amp &;", "@")).replace("@", "&amp &;"), texts[i]
+    assert got[1] == "€™\x81\ufffd\ufffd\ufffd" and got[4] == "&amp;lt;"
+
+
 def test_open_ended_pages_are_linear(spark):
     import time
     hostile = ["<!--" * 100_000, "<script>" * 60_000, "<p" * 200_000, "<" * 300_000, " \n" * 200_000, "<style" * 50_000]
