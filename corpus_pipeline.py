@@ -26,21 +26,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.deduplicate(docs)
 
 
+def _wrapped(docs: DataFrame) -> DataFrame:
+    """What an operator reads, and the whole row as one column, so that no column of a user's meets its own."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "source")
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item go."""
-    found = decontaminate.search(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=docs.columns)
-    return found.where("size(item_ids) = 0").select(*docs.columns)
+    found = decontaminate.search(_wrapped(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=["_row"])
+    return found.where("size(item_ids) = 0").select("_row.*")
 
 
 def target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target wants it, which may be never."""
-    mixed = mixing.mix(docs, keep=docs.columns)
-    return mixed.withColumn("_nth", F.explode(F.expr("IF(copies > 0, sequence(1, copies), array())"))).select(*docs.columns)
+    mixed = mixing.mix(_wrapped(docs), keep=["_row"])
+    return mixed.select("_row", F.explode(F.expr("IF(copies > 0, sequence(1, copies), array())"))).select("_row.*")
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with shard and slot."""
-    return sharding.shard(docs, keep=docs.columns)
+    """The documents with shard and slot; columns of theirs with the names of results give way."""
+    placed = sharding.shard(_wrapped(docs), keep=["_row"])
+    new = placed.drop("_row", "doc_id").columns
+    return placed.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in new], *new)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_duplicates", near_duplicates), ("decontamination", decontamination),
