@@ -1,5 +1,7 @@
 """Registered queries: one per operator, each over a whole table, with comparison SQL."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,15 +12,18 @@ from pagescan.functions.text import lit
 from pagescan.operators import catalog as C
 from pagescan.operators import rollups as R
 from pagescan.operators.custom import custom_findings
+from pagescan.operators.detectors import page_detector
 from pagescan.operators.dom import dom_findings, elements
 from pagescan.operators.rendered import cloaked_findings, rendered_findings
 from pagescan.operators.textrules import entropy_findings, extract_urls, text_findings
+from pagescan.plans.run import counters, scan_targets
 from pagescan.plans.scan import detect, scan, scan_errors, union
 from pagescan.rules import values as V
 from pagescan.rules.loaders import (
     built_in_keywords, clean_custom_rules, clean_keywords, custom_rules, keyword_table)
 from pagescan.schema import finding, to_findings
 from pagescan.sources import files as FS
+from pagescan.sources.folders import shared_folder
 from pagescan.sources import pages as P
 from pagescan.sources import reports as S
 
@@ -202,28 +207,33 @@ register("key5_by_severity", on_corpus(_ranked_keywords), A.with_corpus(
     "SELECT page_id, evidence, severity, pos_start, row_number() OVER (PARTITION BY page_id "
     f"ORDER BY severity DESC, pos_start, evidence) AS rank FROM ({_ARMS['keyword']})"))
 
-# Rules of a user's own: flags, alternatives, a look-ahead, a repeated group, a look-behind free count.
+# Rules of a user's own, for what rules can hold: a back-reference, a look-behind, a look-ahead, lines, alternatives, a repeated
+# group; severities beyond both ends; some for the linear engine, some not.  With each goes the part that the other engine
+# cannot say: a plain form of the pattern, and a condition.
 SAMPLE_RULES = [
-    {"rule_id": "own:shop_host", "pattern": r"\b(?:www\.)?[a-z]+-shop\.(?:com|info)", "flags": "i",
-     "severity": 8, "category": "suspicious_url", "source_type": "html", "description": "hosts that end in -shop"},
-    {"rule_id": "own:request_call", "pattern": r"(?:eval|system)\s*\(\s*\$_[a-z]+", "flags": "i",
-     "severity": 10, "category": "js_issue", "source_type": "js", "description": "a request value that is run"},
-    {"rule_id": "own:long_run", "pattern": r"(?:[A-Z][0-9][a-z][0-9]){20,}", "flags": "", "severity": 6,
-     "category": "suspicious_pattern", "source_type": "text", "description": "a long run of letters and digits in turn"},
-    {"rule_id": "own:leaving", "pattern": r"location(?:\.href)? ?= ?['\"]https?://(?!example\.com)",
-     "flags": "i", "severity": 7, "category": "js_issue", "source_type": "js", "description": "a script that leaves for another host"},
+    ({"rule_id": "shape:word_twice", "pattern": r"(赌博)\1", "severity": 14, "category": "keyword_match",
+      "description": "the same word twice"}, "赌博赌博", "true"),
+    ({"rule_id": "shape:ink", "pattern": r"(?<!-)color ?: ?#[0-9a-f]{3}\b", "flags": "i", "severity": 2, "source_type": "css",
+      "description": "short colours of text"}, r"color ?: ?#[0-9a-f]{3}\b", "substring(content, start, 1) != '-'"),
+    ({"rule_id": "shape:far_side", "pattern": r"(?:left|right|top) ?: ?-\d{4,}(?:px|em)", "flags": "i", "severity": -3,
+      "category": "css_issue", "source_type": "css"}, None, "true"),
+    ({"rule_id": "shape:plain_host", "pattern": r"https?://(?!x\.)[a-z0-9]+\.(?:xyz|ml)\b", "severity": 4, "category": "suspicious_url",
+      "source_type": "html"}, r"https?://[a-z0-9]+\.(?:xyz|ml)\b", "NOT contains(text, '//x.')"),
+    ({"rule_id": "shape:statement", "pattern": r"^[a-z]+\(\);", "flags": "m", "severity": 3, "source_type": "js"}, None, "true"),
+    ({"rule_id": "shape:pairs", "pattern": r"(?:[A-Z][0-9]){3,}", "severity": 6}, None, "true"),
+    ({"rule_id": "shape:over_lines", "pattern": r"Secret.lines", "flags": "is"}, None, "true"),
 ]
 
 
-def _custom_arm(rule, where="true"):
+def _custom_arm(rule, pattern=None, where="true"):
     return A.row(rule["rule_id"], max(1, min(10, rule.get("severity", 5))), rule.get("category", "suspicious_pattern"),
                  rule.get("source_type", "text"), "left(text, 200)", A.ctx(80),
-                 source=A.spans(rule["pattern"].replace(r"(?!example\.com)", ""), rule.get("flags", "")), where=where)
+                 source=A.spans(pattern or rule["pattern"], rule.get("flags", "")), where=where)
 
 
-register("cus1_user_rules", on_corpus(lambda pages: flat(custom_findings(pages, custom_rules(SAMPLE_RULES)))),
-         A.with_corpus(A.union(*[_custom_arm(r) for r in SAMPLE_RULES[:3]], _custom_arm(
-             SAMPLE_RULES[3], "lower(substring(content, stop + 1, 11)) != 'example.com'"))))
+# In the one pass of a scan, with the rules of the catalog.
+register("cus1_user_rules", on_corpus(lambda pages: flat(scan(pages, "fast", rules=custom_rules([r for r, *_ in SAMPLE_RULES])).where(
+    "startswith(rule_id, 'shape:')"))), A.with_corpus(A.union(*[_custom_arm(*r) for r in SAMPLE_RULES])))
 _FLAGGED = [{"rule_id": "flag:i", "pattern": "EVAL", "flags": "i"}, {"rule_id": "flag:none", "pattern": "EVAL"},
             {"rule_id": "flag:s", "pattern": r"exploit.{1,5}backdoor", "flags": "sx"},
             {"rule_id": "flag:m", "pattern": r"^code\(\);.*$", "flags": "m", "severity": 99},
@@ -232,16 +242,23 @@ register("cus2_flags", on_corpus(lambda pages: flat(custom_findings(pages, custo
          A.with_corpus(A.union(*[_custom_arm(r) for r in _FLAGGED])))
 
 
-def no_body_end(pages):
-    """A detector of a user's own: pages that stop before their body ends."""
-    return to_findings(pages.where("NOT contains(content, '</body>')"), "array(" + finding(
-        "'user:no_body_end'", "1", "'suspicious_pattern'", "'html'", "right(content, 20)") + ")")
+class OpenBody:
+    """A detector of a user's own: pages that stop before their body ends.  It fails on pages that cannot be fetched twice."""
+
+    def detect(self, content, location):
+        if "Secret" in content:
+            raise LookupError(location)
+        if "</body>" not in content:
+            yield {"rule_id": "user:no_body_end", "severity": 0, "source_type": "html", "evidence": content[-20:]}
 
 
-register("udf1_user_detector", on_corpus(lambda pages: flat(scan(pages, "fast", extra=[no_body_end]).where(
-    "rule_id = 'user:no_body_end'"))), A.with_corpus(A.row(
-        "user:no_body_end", 1, "suspicious_pattern", "html", "right(content, 20)", placed=False, source="corpus",
-        where="NOT contains(content, '</body>')")))
+# Findings and errors of one scan.
+register("udf1_user_detector", on_corpus(lambda pages: flat(scan(pages, "fast", extra=[page_detector(OpenBody())], errors=True).where(
+    "rule_id IN ('user:no_body_end', '#detector')"))), A.with_corpus(A.union(
+        A.row("user:no_body_end", 1, "suspicious_pattern", "html", "right(content, 20)", placed=False, source="corpus",
+              where="NOT contains(content, '</body>') AND NOT contains(content, 'Secret')"),
+        A.row("#detector", 0, "error", "", "'OpenBody: LookupError: ' || location", placed=False, source="corpus",
+              where="contains(content, 'Secret')"))))
 
 # --- sources ---------------------------------------------------------------------------------------
 
@@ -528,12 +545,62 @@ register("snk3_formula_guard", lambda spark, sf: table("documents")(spark, sf).s
     ).selectExpr("doc_id", f"{S.formula_guard('value')} AS value"),
     f"SELECT doc_id, CASE WHEN left(value, 1) IN ('=', '+', '-', '@') THEN '''' || value ELSE value END AS value "
     f"FROM ({_GUARD_TABLES})")
-register("snk4_text_rows", lambda spark, sf: S.text_rows(_found(spark, sf)).selectExpr(
-    "section", "no", "evidence", "location", "severity", "reasons", "context"), A.with_corpus(
+_WORDS = ", ".join(f"({plain(k)}, {plain(V.KEYWORD_CATEGORIES.get(c, V.KEYWORD_CATEGORIES['other']))}, '{w}')" for k, c, w in built_in_keywords())
+register("snk4_text_rows", lambda spark, sf: S.text_rows(_found(spark, sf)), A.with_corpus(
     "SELECT category AS section, row_number() OVER (PARTITION BY category ORDER BY location, page_id, severity DESC, rule_id, "
     "pos_start, evidence, context) AS no, evidence, location, severity || '/10' AS severity, "
-    "replace(reasons, '|', ', ') AS reasons, left(context, 150) AS context FROM ("
-    + _FINDINGS + ") f WHERE category IN ('suspicious_url', 'keyword_match')"))
+    "replace(reasons, '|', ', ') AS reasons, left(context, 150) AS context, kind AS keyword_category, weight FROM ("
+    + _FINDINGS + f") f LEFT JOIN (VALUES {_WORDS}) k(word, kind, weight) ON category = 'keyword_match' AND evidence = word "
+    "WHERE category IN ('suspicious_url', 'keyword_match')"))
+
+
+def _report_folder(spark, name):
+    return f"{shared_folder(spark)}/report-{name}-{uuid.uuid4()}"
+
+
+def _csv_round_trip(spark, sf):
+    """The CSV report as files, read again."""
+    folder = _report_folder(spark, "csv")
+    S.write_csv(_found(spark, sf), folder)
+    names = "no LONG, rule_id STRING, category STRING, severity INT, source_type STRING, location STRING, evidence STRING, context STRING"
+    return spark.read.csv(folder, schema=names, header=True, multiLine=True, escape='"', emptyValue="", nullValue="\x00",
+                          enforceSchema=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+
+
+register("udf3_csv_report", _csv_round_trip, ORACLE["snk2_csv_rows"])
+
+
+def _json_round_trip(spark, sf):
+    """The JSON report's statistics and how many findings stand beside them."""
+    folder = _report_folder(spark, "json")
+    S.write_json(_found(spark, sf), folder, target="corpus")
+    lines = spark.read.json(f"{folder}/findings").groupBy("rule_id").agg(F.count("*").alias("findings"), F.max("severity").alias("severity"))
+    total = spark.read.json(f"{folder}/summary").select("statistics.total_findings")
+    return lines.withColumn("total_findings", total.scalar())
+
+
+register("udf3_json_report", _json_round_trip, A.with_corpus(
+    "SELECT rule_id, count(*) AS findings, CAST(max(severity) AS BIGINT) AS severity, CAST(sum(count(*)) OVER () AS BIGINT) AS total_findings FROM ("
+    + _FINDINGS + ") f GROUP BY rule_id"))
+
+
+def _run(spark, sf):
+    """A scan by a list of addresses, some of which were never fetched: counters and findings of the run."""
+    pages = table("pages")(spark, sf)
+    targets = pages.selectExpr(f"explode(array(url, {_MISSING})) AS target").where("target IS NOT NULL")
+    prepared = seeded_pages(spark, sf).selectExpr("location AS url", "content AS html")
+    done = scan_targets(targets, prepared, None, f"{_report_folder(spark, 'run')}", mode="fast")
+    totals = done.findings.agg(F.count("*").alias("findings"), F.count_distinct("location").alias("pages_with_findings"))
+    return counters(done).withColumns({c: totals.select(c).scalar() for c in totals.columns})
+
+
+_MISSING = "CASE WHEN page_id % 10 = 3 THEN 'http://gone.example/' || page_id END"
+register("mod3_run_of_targets", _run, A.with_corpus(
+    f"""SELECT 0 AS scanned_files, count(*) + (SELECT count(*) FROM pages WHERE page_id % 10 = 3) AS scanned_urls,
+        count(*) + (SELECT count(*) FROM pages WHERE page_id % 10 = 3) AS total_scanned,
+        (SELECT count(*) FROM pages WHERE page_id % 10 = 3) + (SELECT count(*) FROM ({ORACLE['err1_errors']})) AS errors,
+        (SELECT count(*) FROM ({A.union(*[_ARMS[k] for k in _FAST])}) f) AS findings,
+        (SELECT count(DISTINCT location) FROM ({A.union(*[_ARMS[k] for k in _FAST])}) f) AS pages_with_findings FROM corpus"""))
 _TITLE = "CASE section " + " ".join(f"WHEN '{k}' THEN {plain(v)}" for k, v in V.SECTIONS.items()) + " END"
 _SECTIONS_SQL = A.with_corpus(
     f"SELECT section, {_TITLE} AS title, no, rule_id, severity, location, "

@@ -5,6 +5,7 @@ page that repeats the beginning and never the end.  RE2, which Arrow's string ke
 once.  A page is taken apart by marking its matches and cutting at the marks.
 """
 
+import random
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -32,9 +33,23 @@ class Pattern:
         return to_re2(f"({self.before})({self.pattern})", self.flags)
 
 
+def _mark(texts: pa.Array) -> str:
+    """Text that occurs in none of the texts: a private-use character, or two of them where the first ones are taken.
+
+    Two different characters cannot overlap with themselves, so cutting at them is as safe as at one.
+    """
+    for c in map(chr, range(0xE000, 0xE004)):
+        if not pc.any(pc.match_substring(texts, c)).as_py():
+            return c
+    while True:
+        pair = "".join(map(chr, random.sample(range(0xE000, 0xF900), 2)))
+        if not pc.any(pc.match_substring(texts, pair)).as_py():
+            return pair
+
+
 def marked(texts: pa.Array, p: Pattern, first_group: int) -> list[list[str]]:
     """Each text as [gap, match, group 1, group 2, gap, ...]; groups that are not asked for are empty."""
-    mark = next(c for c in map(chr, range(0xE000, 0xF8FF)) if not pc.any(pc.match_substring(texts, c)).as_py())
+    mark = _mark(texts)
     groups = "".join(mark + (f"\\{first_group + g - 1}" if g in p.groups else "") for g in (1, 2))
     out = pc.replace_substring_regex(texts, pattern=p.regex(), replacement=f"\\1{mark}\\2{groups}{mark}")
     return pc.split_pattern(out, mark).to_pylist()
@@ -51,32 +66,48 @@ class Fact:
     of: object
 
 
+def _each(texts: pa.Array, of, name: str) -> list[tuple]:
+    """(value, error) for each text: all at once or, if that fails, one by one, so that a text that
+    breaks something loses just that."""
+    try:
+        return [(value, None) for value in of(texts)]
+    except Exception as error:
+        if len(texts) == 1:
+            return [(None, f"{name}: {type(error).__name__}: {error}")]
+        return [one for i in range(len(texts)) for one in _each(texts.slice(i, 1), of, name)]
+
+
 def matcher(patterns: list[Pattern], facts: tuple[Fact, ...] = ()):
     """A column function of (text, bits): a struct with a field ``p0, p1, ...`` for each pattern, its ``PIECES`` or NULL,
-    and one for each fact.
+    one for each fact, and ``failed``, what failed on the text.
 
     Pattern number k is tried on rows with bit k set; the facts have the bits behind.  Marked as not
     deterministic, so that Spark evaluates it once.
     """
     counts = [3 + p.before.count("(") - p.before.count("(?") for p in patterns]
 
+    def cuts(p, first_group):
+        def of(texts):
+            return [{"found": cut[1::4], "gaps": cut[0::4], "g1": cut[2::4], "g2": cut[3::4]} if len(cut) > 4 * p.at_least - 4 + 1 else None
+                    for cut in marked(texts, p, first_group)]
+        return of
+
+    asked_for = [(f"p{k}", cuts(p, first), _PIECES, p.pattern) for k, (p, first) in enumerate(zip(patterns, counts))]
+    asked_for += [(f.name, f.of, f.kind, f.name) for f in facts]
+
     def run(texts: pa.Array, bits: pa.Array) -> pa.Array:
-        fields, rows = [], len(texts)
+        fields, rows, failed = [], len(texts), {}
         asked = bits.fill_null(0).to_numpy(zero_copy_only=False)
-        for k, (p, first_group) in enumerate(zip(patterns, counts)):
-            values, places = [None] * rows, (asked >> k & 1).nonzero()[0]
-            if len(places):
-                for place, cut in zip(places.tolist(), marked(texts.take(pa.array(places)), p, first_group)):
-                    if len(cut) > 4 * p.at_least - 4 + 1:
-                        values[place] = {"found": cut[1::4], "gaps": cut[0::4], "g1": cut[2::4], "g2": cut[3::4]}
-            fields.append(pa.array(values, _PIECES))
-        for k, fact in enumerate(facts, len(patterns)):
+        for k, (_, of, kind, name) in enumerate(asked_for):
             values, places = [None] * rows, (asked >> k & 1).nonzero()[0]
             if len(places):
-                for place, value in zip(places.tolist(), fact.of(texts.take(pa.array(places)))):
+                for place, (value, error) in zip(places.tolist(), _each(texts.take(pa.array(places)), of, name)):
                     values[place] = value
-            fields.append(pa.array(values, fact.kind))
-        return pa.StructArray.from_arrays(fields, [f"p{k}" for k in range(len(patterns))] + [f.name for f in facts])
+                    if error:
+                        failed.setdefault(place, []).append(error)
+            fields.append(pa.array(values, kind))
+        fields.append(pa.array([failed.get(i) for i in range(rows)], pa.list_(pa.string())))
+        return pa.StructArray.from_arrays(fields, [name for name, *_ in asked_for] + ["failed"])
 
-    kind = ", ".join([f"p{k}: {PIECES}" for k in range(len(patterns))] + [f"{f.name}: {f.ddl}" for f in facts])
+    kind = ", ".join([f"p{k}: {PIECES}" for k in range(len(patterns))] + [f"{f.name}: {f.ddl}" for f in facts] + ["failed: array<string>"])
     return F.arrow_udf(run, f"struct<{kind}>").asNondeterministic()

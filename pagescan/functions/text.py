@@ -66,6 +66,11 @@ def fold(text: str) -> str:
     return f"lower(IF(octet_length({text}) = char_length({text}), {text}, {odd}))"
 
 
+def valid(column: str) -> str:
+    """A string column fit for Python and RE2: what is no UTF-8 becomes U+FFFD."""
+    return f"make_valid_utf8(CAST({column} AS STRING)) AS {column}"
+
+
 def contains_any(text: str, words) -> str:
     return "(" + " OR ".join(f"contains({text}, {lit(w)})" for w in words) + ")"
 

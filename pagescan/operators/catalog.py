@@ -114,7 +114,7 @@ def _hiding():
 
     yield rule("zero_width", V.ZERO_WIDTH, "", (), kind="zero_width", until=2**31 - 1, source_type="text")
     yield rule("whitespace", V.WHITESPACE_RUN, "", (), kind="whitespace", severity=4, source_type="text")
-    yield rule("color_match", V.TEXT_COLOR, guards=("background-color",), kind="color", groups=(1,), margin=200)
+    yield rule("color_match", V.TEXT_COLOR, guards=("background-color",), kind="color")
     yield rule("absolute_pos", V.HIDING_POSITION, "is", ("position",), kind="position", groups=(1, 2),
                tail=V.HIDING_POSITION_TAIL)
     yield rule("font_size", V.HIDING_FONT, guards=("font-size",), kind="font", groups=(1,))
@@ -133,8 +133,12 @@ BLOCK_COMMENT = Rule("block_comment", V.BLOCK_COMMENT, "s", ("/*",), kind="block
                      source_type="comments", upto="*/")
 KEYWORD = Rule("keyword", "", kind="keyword", category="keyword_match", source_type="text", margin=60)
 URL = Rule("url", "", kind="url", category="suspicious_url")
+#: The same addresses, but only as links of a page, not as addresses in scripts and styles.
+LINK = Rule("link", "", kind="link", category="suspicious_url")
 # Not patterns, but looked for in the same pass over the pages.
 ELEMENT = Rule("html:dom", "", kind="element")
 ENTROPY = Rule("js:entropy", "", kind="entropy", category="js_issue", source_type="js")
+# Not a rule: what could not be judged, where that is asked for.
+ERROR = Rule("#error", "", kind="error", category="error", source_type="", severity=0)
 
 HTML, JS, CSS, HIDING = tuple(_html()), tuple(_js()), tuple(_css()), tuple(_hiding())

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 
 from pagescan.functions import urls as U
 from pagescan.functions.linear import Fact
-from pagescan.functions.text import contains_any, fold, has_match, let, lit, only, when
+from pagescan.functions.text import contains_any, fold, has_match, let, lit, only, valid, when
 from pagescan.rules import values as V
 from pagescan.schema import finding, to_findings
 
@@ -260,13 +260,13 @@ def can_fire(folded: str) -> str:
 
 def elements(pages: DataFrame) -> DataFrame:
     """One row per element of every page, in the order of start tags; a page that fails gives one ``#error`` row."""
-    return pages.select("page_id", "location", "content").mapInArrow(_parser(ELEMENTS, "all"), ELEMENTS)
+    return pages.selectExpr("page_id", valid("location"), valid("content")).mapInArrow(_parser(ELEMENTS, "all"), ELEMENTS)
 
 
 def looked_at(pages: DataFrame) -> DataFrame:
     """The elements that a rule can look at, of pages on which one can fire; ``#error`` rows as above."""
-    wanted = pages.where(f"content != '' AND {can_fire(fold('content'))}")
-    return wanted.select("page_id", "location", "content").mapInArrow(_parser(_LOOKED_AT, "looked_at"), _LOOKED_AT)
+    wanted = pages.selectExpr("page_id", valid("location"), valid("content")).where(f"content != '' AND {can_fire(fold('content'))}")
+    return wanted.mapInArrow(_parser(_LOOKED_AT, "looked_at"), _LOOKED_AT)
 
 
 def _attr(name: str) -> str:
@@ -401,12 +401,13 @@ def dom_findings(pages: DataFrame) -> DataFrame:
     return to_findings(rows, element_findings())
 
 
-def element_findings() -> str:
+def element_findings(errors: bool = False) -> str:
     """SQL array of the findings of an element: columns tag, attrs, text, bait, outer_html, form_no, field_types,
-    location, and base, the page's domain."""
+    location, and base, the page's domain.  A tree that failed gives an error, if asked for."""
     by_tag = f"""CASE tag WHEN 'script' THEN {_script()} WHEN 'iframe' THEN {_iframe()}
         WHEN 'a' THEN {_link()} WHEN 'form' THEN {_form()} WHEN 'input' THEN {_input()} ELSE array() END"""
-    return f"IF(tag = '#error', array(), concat({by_tag}, {_any_element()}))"
+    failed = f"array({finding(lit('#dom'), '0', lit('error'), lit(''), 'text')})" if errors else "array()"
+    return f"IF(tag = '#error', {failed}, concat({by_tag}, {_any_element()}))"
 
 
 _NAMES = ("elem_no", "tag", "attrs", "text", "bait", "outer_html", "form_no", "field_types")
@@ -417,8 +418,8 @@ def _elements_of(texts: pa.Array) -> list[list[dict]]:
     for text in texts.to_pylist():
         try:
             out.append([dict(zip(_NAMES, row)) for row in _Page(text or "").looked_at()])
-        except Exception:  # one broken page must not stop the scan; scan_errors names it
-            out.append([])
+        except Exception as error:  # one broken page must not stop the scan
+            out.append([dict.fromkeys(_NAMES) | {"tag": "#error", "text": str(error)}])
     return out
 
 

@@ -6,6 +6,7 @@ the targets of all links inside the element.
 """
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagescan.functions.text import each, let, lit, struct, when
 from pagescan.functions.urls import url_risk
@@ -53,6 +54,14 @@ def rendered_findings(rendered: DataFrame) -> DataFrame:
 
 
 def cloaked_findings(seen_as: DataFrame, seen_by: DataFrame) -> DataFrame:
-    """Findings of one snapshot of the pages that the other snapshot of them lacks."""
+    """Findings of one snapshot of the pages that the other snapshot of them lacks.
+
+    Each (location, rule, evidence) gets a bit for each snapshot that shows it, put together in one aggregation of narrow
+    rows before the shuffle; so a location with very many snapshots, or evidence that is the same everywhere, is one row
+    for each task.  Only the keys that lack the second bit meet the findings again; NULL locations are values like others.
+    """
     keys = ["location", "rule_id", "evidence"]
-    return seen_as.join(seen_by.select(*keys).distinct(), keys, "left_anti").select(*seen_as.columns)
+    bits = seen_as.select(*keys, F.lit(1).alias("bit")).unionByName(seen_by.select(*keys, F.lit(2).alias("bit")))
+    lacking = bits.groupBy(*keys).agg(F.expr("bit_or(bit) AS bits")).where("bits = 1").select(*[F.col(k).alias(f"_{k}") for k in keys])
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return seen_as.join(lacking, same[0] & same[1] & same[2], "left_semi").select(*seen_as.columns)

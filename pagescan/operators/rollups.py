@@ -16,11 +16,15 @@ def _counts(conditions: dict) -> list[Column]:
     return [F.expr(f"count_if({condition})").alias(name) for name, condition in conditions.items()]
 
 
+def counting() -> list[Column]:
+    """Total and the five listed categories, as aggregates."""
+    return [F.count(F.lit(1)).alias("total_findings"),
+            *_counts({name: f"category = {lit(category)}" for name, category in COUNTED.items()})]
+
+
 def statistics(findings: DataFrame, by=()) -> DataFrame:
     """Total and the five listed categories."""
-    return findings.groupBy(*by).agg(
-        F.count("*").alias("total_findings"),
-        *_counts({name: f"category = {lit(category)}" for name, category in COUNTED.items()}))
+    return findings.groupBy(*by).agg(*counting())
 
 
 def summary(findings: DataFrame) -> DataFrame:

@@ -5,6 +5,9 @@ once, and plain columns on the exploded rows turn matches into findings.  No shu
 no state, so the same functions serve batch and streaming tables.
 """
 
+import re
+
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,9 +19,11 @@ from pagescan.functions.dialect import to_java, to_re2
 from pagescan.functions.linear import Fact, Pattern, matcher
 from pagescan.functions.text import (
     around, contains_any, each, first_word, fold, from_char, has_match, let, lit, lits, one_line, only,
-    pieces, spans, struct, when)
+    pieces, spans, struct, valid, when)
 from pagescan.operators import catalog as C
 from pagescan.operators import dom as D
+from pagescan.operators.custom import custom_fact, is_custom
+from pagescan.operators.keywords import blocks, keyword_fact
 from pagescan.rules import values as V
 from pagescan.schema import finding, text_map, to_findings
 
@@ -37,12 +42,18 @@ _URL_GUARDS = {V.URL_HTTP: "http", V.URL_PATH: "/", V.URL_JAVASCRIPT: "javascrip
 def _guards(rules, keywords=()) -> list[str]:
     """The literals whose presence decides which patterns are tried."""
     words = {guard.lower() for rule in rules for guard in rule.guards}
-    if any(rule.kind == "url" for rule in rules):
+    if any(rule.kind in ("url", "link") for rule in rules):
         words |= set(_URL_GUARDS.values())
-    words |= {k["needle"] for k in keywords if k["needle"].isascii()}
+    words |= set(_few(keywords))
     return sorted(word for word in words if len(word) > 1)
 
 
+def _few(keywords) -> list[str]:
+    """The ASCII keywords, where they are few: without one a page of ASCII text needs no look."""
+    words = [k["folded"] for k in keywords if k["folded"].isascii()]
+    return words if len(words) <= 16 else []
+
+
 def _seen(guards, words) -> str:
     """One of the guards occurs on the page."""
     return "(" + " OR ".join(f"contains(folded, {lit(g.lower())})" if len(g) == 1 else f"sees_{words.index(g.lower())}"
@@ -96,35 +107,12 @@ def _entry(rule: C.Rule, number: int, words) -> str:
     return when(" AND ".join(conditions) or None, entry)
 
 
-def _keyword_entries(number: int, keywords: list[dict], words) -> str:
-    """One entry per keyword that occurs.
-
-    The ones with other than ASCII letters are looked up in what remains of the page without
-    ordinary text: the runs of letters in the range the keywords use.
-    """
-    def entry(k):
-        return pieces("content", f"{k}.pattern", rule=lit(number), margin=lit(C.KEYWORD.margin),
-                      until="CAST(NULL AS INT)", **{name: f"{k}.{name}" for name in _LABELS}, element=_NO_ELEMENT)
-
-    def table(rows):
-        return "array(" + ", ".join(struct(
-            label=lit(k["keyword"]), needle=lit(k["core"]), pattern=lit(k["pattern"]),
-            note=lit(k["category_name"]), level=lit(k["weight"])) for k in rows) + ")"
-
-    parts = []
-    plain = [k for k in keywords if k["needle"].isascii()]
-    if plain:
-        found = each("filter", table(plain), lambda k: f"contains(folded, {k}.needle)")
-        parts.append(when(_seen([k["needle"] for k in plain], words), each("transform", found, entry)))
-    wide = [k for k in keywords if not k["needle"].isascii()]
-    if wide:
-        letters = sorted({c for k in wide for c in k["core"]})
-        low, high = (rf"\x{{{ord(c):x}}}" for c in (letters[0], letters[-1]))
-        found = let(lambda v: each("filter", table(wide), lambda k: f"contains({v}.runs, {k}.needle)"),
-                    runs=f"regexp_replace(folded, {lit(f'[^{low}-{high}]+')}, ' ')")
-        parts.append(when(f"octet_length(content) > char_length(content) AND rlike(folded, {lit(f'[{low}-{high}]')})",
-                          each("transform", found, entry)))
-    return f"flatten({only(*parts)})"
+def _keyword_try(spark, keywords, words) -> tuple:
+    few = _few(keywords)
+    if not few and any(k["folded"].isascii() for k in keywords):
+        return keyword_fact(spark, keywords), "true"
+    wide = "octet_length(content) > char_length(content)"
+    return keyword_fact(spark, keywords), f"({wide} OR {_seen(few, words)})" if few else wide
 
 
 def _url_spans(patterns, words, data_place: int) -> str:
@@ -145,20 +133,41 @@ def _url_spans(patterns, words, data_place: int) -> str:
         urls=f"sort_array({long_enough})")
 
 
+def _inside_paths(web: pa.Array, paths: pa.Array) -> pa.Array:
+    """For each page a flag for each path: is it part of one of the web addresses?
+
+    The paths of a page are one automaton, and its addresses run through that once, so many of both are
+    no work for each pair.
+    """
+    out = []
+    for addresses, own in zip(web.to_pylist(), paths.to_pylist()):
+        found = set()
+        if addresses and own:
+            tree = ahocorasick.Automaton()
+            for path in own:
+                tree.add_word(path, path)
+            tree.make_automaton()
+            # No path holds a line end.
+            found = {path for _, path in tree.iter("\n".join(addresses))}
+        out.append([path in found for path in own or ()])
+    return pa.array(out, pa.list_(pa.bool_()))
+
+
 def extract_urls(pages: DataFrame) -> DataFrame:
     """Every URL a page mentions, once: page_id, location, url, context, offsets.
 
     Rooted paths that are part of a web address of the page are left out.
     """
-    def kept(v):
-        web = each("filter", f"{v}.urls", lambda u: f"startswith({u}.text, 'http')")
-        return let(lambda w: each("filter", f"{v}.urls", lambda u: (
-            f"NOT (startswith({u}.text, '/') AND contains({w}.web, {u}.text))")),
-            web=f"array_join({each('transform', web, lambda u: f'{u}.text')}, '\n')")
-
     words = _guards([C.URL])
-    found = let(kept, urls=_url_spans([V.URL_HTTP, V.URL_PATH, V.URL_JAVASCRIPT, V.URL_DATA], words, 0))
-    return (_with_linear(_folded(pages, words), [_data_try(words)]).selectExpr("page_id", "location", f"inline({found})")
+    found = _url_spans([V.URL_HTTP, V.URL_PATH, V.URL_JAVASCRIPT, V.URL_DATA], words, 0)
+    is_path = lambda u: f"startswith({u}.text, '/')"
+    kept = let(lambda v: f"concat({v}.rest, {each('filter', f'{v}.paths', lambda _, i: f'NOT inside[{i}]', indexed=True)})",
+               rest=each("filter", "urls", lambda u: f"NOT {is_path(u)}"), paths=each("filter", "urls", is_path))
+    texts = lambda condition: F.expr(each("transform", each("filter", "urls", condition), lambda u: f"{u}.text"))
+    inside = F.arrow_udf(_inside_paths, "array<boolean>").asNondeterministic()
+    return (_with_linear(_folded(pages, words), [_data_try(words)]).selectExpr("page_id", "location", f"{found} AS urls")
+            .withColumn("inside", inside(texts(lambda u: f"startswith({u}.text, 'http')"), texts(is_path)))
+            .selectExpr("page_id", "location", f"inline({kept})")
             .selectExpr("page_id", "location", "text AS url", "context", "start AS pos_start",
                         "stop AS pos_end", "number AS pattern_no"))
 
@@ -169,47 +178,66 @@ def _folded(pages: DataFrame, words) -> DataFrame:
     The searches are a projection of their own, so they run as generated code and once per
     word, not interpreted within the large expression that uses them.
     """
-    folded = pages.selectExpr("page_id", "location", "content", f"{fold('content')} AS folded")
+    folded = pages.selectExpr("page_id", "location", valid("content")).selectExpr("*", f"{fold('content')} AS folded")
     return folded.selectExpr("*", *[f"contains(folded, {lit(w)}) AS sees_{i}" for i, w in enumerate(words)])
 
 
+_NOT_PATTERNS = ("keyword", "url", "link", "element", "entropy", "color", "custom", "error")
+
+
 def _hits(pages: DataFrame, rules, keywords) -> DataFrame:
     """Exploded matches: page_id, location and one struct ``hit`` per match."""
-    numbers, words = {r.kind: i for i, r in enumerate(rules)}, _guards(rules, keywords)
+    numbers, words = {r.kind: i for i, r in enumerate(rules) if r.kind in _NOT_PATTERNS}, _guards(rules, keywords)
+    address = numbers.get("url", numbers.get("link"))
     slow = [i for i, r in enumerate(rules) if r.linear]
-    tries = [_linear_try(rules[i], words) for i in slow] + ([_data_try(words)] if "url" in numbers else [])
+    tries = [_linear_try(rules[i], words) for i in slow] + ([_data_try(words)] if address is not None else [])
     plain = [_taken(slow.index(i), **_fixed(r, i)) if r.linear else _entry(r, i, words)
-             for i, r in enumerate(rules) if r.kind not in ("keyword", "url", "element", "entropy")]
-    facts = []
-    entries = [only(*plain)] if plain else []
-    if "keyword" in numbers:
-        entries += [_keyword_entries(numbers["keyword"], keywords[i:i + 1000], words)
-                    for i in range(0, len(keywords), 1000)]
-    arrays = []
-    if entries:
-        # A keyword that occurs only inside words leaves a NULL entry.
-        every = f"array_compact(flatten({only(*entries)}))"
-        arrays.append("flatten(" + each("transform", every, lambda e: spans(
-            e, f"{e}.margin", f"{e}.until", keep=_KEPT)) + ")")
-    if "url" in numbers:
-        # Rooted paths never score, so findings need the other three shapes only.
-        arrays.append(each("transform", _url_spans([V.URL_HTTP, V.URL_JAVASCRIPT, V.URL_DATA], words, len(slow)), lambda u: struct(
-            text=f"{u}.text", start=f"{u}.start", stop=f"{u}.stop", before=f"{u}.context", after="''",
-            g1="CAST(NULL AS STRING)", g2="CAST(NULL AS STRING)", n="1", rule=lit(numbers["url"]), **_UNLABELLED)))
+             for i, r in enumerate(rules) if r.kind not in _NOT_PATTERNS]
+    facts, arrays = [], []
+
     def bare(number, **values):
         return struct(**{"text": "''", "start": "0", "stop": "0", "before": "''", "after": "''", "g1": "CAST(NULL AS STRING)",
                          "g2": "CAST(NULL AS STRING)", "n": "1", "rule": lit(number), **_UNLABELLED, **values})
 
+    def taken(name, number, *fields, **values):
+        """The matches that a fact holds, with those of its fields."""
+        return "coalesce(" + each("transform", f"linear.{name}", lambda e: bare(
+            number, **{f: f"{e}.{f}" for f in fields}, **{k: v(e) for k, v in values.items()})) + ", array())"
+
+    if plain:
+        every = f"array_compact({only(*plain)})"
+        arrays.append("flatten(" + each("transform", every, lambda e: spans(
+            e, f"{e}.margin", f"{e}.until", keep=_KEPT)) + ")")
+    if "keyword" in numbers and keywords:
+        facts.append(_keyword_try(pages.sparkSession, keywords, words))
+        arrays.append(taken("keywords", numbers["keyword"], "text", "start", "stop", "before", "after", *_LABELS))
+    if address is not None:
+        # Rooted paths never score, so findings need the other three shapes only.
+        arrays.append(each("transform", _url_spans([V.URL_HTTP, V.URL_JAVASCRIPT, V.URL_DATA], words, len(slow)), lambda u: bare(
+            address, text=f"{u}.text", start=f"{u}.start", stop=f"{u}.stop", before=f"{u}.context")))
     if "element" in numbers:
         facts.append((D.FACT, f"content != '' AND {D.can_fire('folded')}"))
-        arrays.append("coalesce(" + each("transform", "linear.elements", lambda e: bare(
-            numbers["element"], text=f"{e}.text", element=e)) + ", array())")
+        arrays.append(taken("elements", numbers["element"], "text", element=lambda e: e))
     if "entropy" in numbers:
         facts.append((ENTROPY_FACT, "true"))
         arrays.append(f"IF(linear.entropy.bits > 3.8, array({bare(
             numbers['entropy'], before="IF(linear.entropy.bits > 4.5, 'high', 'medium')", g1='linear.entropy.shown', g2='linear.entropy.rounded')}), array())")
+    if "color" in numbers:
+        facts.append((COLOR_FACT, _seen(rules[numbers["color"]].guards, words)))
+        arrays.append(taken("colors", numbers["color"], "text", "start", "stop", "before", "after", "g1"))
+    own = [i for i, r in enumerate(rules) if is_custom(r)]
+    if own:
+        # They stand together, and a match says which it is of.
+        facts.append((custom_fact([rules[i] for i in own], own[0]), "true"))
+        arrays.append(each("filter", taken("custom", 0, "text", "start", "stop", "before", "after", rule=lambda e: f"{e}.rule", g1=lambda e: f"{e}.error"),
+                           lambda h: f"{h}.g1 IS NULL"))
+    if "error" in numbers and (tries or facts):
+        arrays.append(taken("failed", numbers["error"], text=lambda e: e, g1=lambda e: "'page'"))
+        if own:
+            failed = each("filter", "linear.custom", lambda e: f"{e}.error IS NOT NULL")
+            arrays.append(f"coalesce({each('transform', failed, lambda e: bare(numbers['error'], text=f'{e}.error', g1=lit('rule')))}, array())")
     return _with_linear(_folded(pages, words), tries, facts).selectExpr(
-        "page_id", "location", f"inline(concat({', '.join(arrays)}))")
+        "page_id", "location", f"inline(concat({', '.join(arrays) or 'array()'}))")
 
 
 # --- matches to findings -----------------------------------------------------------
@@ -375,14 +403,36 @@ def _entropy_finding(high: str, shown: str, rounded: str) -> str:
                    f"replace({lit(V.EVIDENCE_ENTROPY)}, '%.2f', {shown})", metadata={"entropy": rounded})
 
 
-def _url():
-    """The HTML, style and script views of one URL; ``u`` holds its facts."""
-    def row(rule_id, severity, source_type, why, evidence="text"):
-        return finding(lit(rule_id), severity, "'suspicious_url'", lit(source_type), evidence, "before",
-                       "start", "stop", why)
+def _link():
+    """The view of one URL as a link of the page; ``u`` holds its facts."""
+    return only(_as_link())
+
 
-    html = let(lambda v: when(f"{v}.it.risk > 0", row(
+def _address(rule_id, severity, source_type, why, evidence="text"):
+    return finding(lit(rule_id), severity, "'suspicious_url'", lit(source_type), evidence, "before",
+                   "start", "stop", why)
+
+
+def _as_link():
+    return let(lambda v: when(f"{v}.it.risk > 0", _address(
         "html:suspicious_url", f"least({v}.it.risk, 10)", "html", f"{v}.it.reasons")), it=U.link_risk("text", "u"))
+
+
+def _bad_address():
+    return when(f"lower(left(text, 4)) = 'http' AND {U.has_bad_port('text')}", _failed("'url'", "text"))
+
+
+def _failed(stage: str, message: str) -> str:
+    return finding(f"concat('#', {stage})", "0", "'error'", "''", message)
+
+
+def _error():
+    return f"array({_failed('g1', 'text')})"
+
+
+def _url():
+    """The HTML, style and script views of one URL; ``u`` holds its facts."""
+    row, html = _address, _as_link()
     css = f"""CASE
         WHEN startswith(text, 'javascript:') THEN {row(
             'css:url:javascript', '5', 'css', f'array({lit(V.REASON_CSS_JS)})')}
@@ -404,31 +454,93 @@ _KINDS = {"plain": _plain, "js_call": _js_call, "js_count": _js_count, "css_coun
           "zero_width": _zero_width, "entities": _entities, "whitespace": _whitespace, "color": _color,
           "position": _position, "indent": _indent, "font": _font, "meta": _meta,
           "html_comment": _html_comment, "line_comment": _line_comment, "block_comment": _block_comment,
-          "keyword": _keyword, "url": _url, "element": D.element_findings, "entropy": _entropy}
+          "keyword": _keyword, "url": _url, "link": _link, "element": D.element_findings, "entropy": _entropy, "custom": _plain,
+          "error": _error}
 _UNCUT = 2**31 - 1
 
 
-def text_findings(pages: DataFrame, rules, keywords=()) -> DataFrame:
-    """Findings of the given catalog rules over ``pages(page_id, location, content)``."""
-    rules = list(rules)
+def text_findings(pages: DataFrame, rules, keywords=(), errors: bool = False) -> DataFrame:
+    """Findings of the given catalog and user rules over ``pages(page_id, location, content)``.
+
+    Keyword lists beyond ``keywords.MOST_CHARS`` take a further pass for each such block.  With ``errors`` there is also a row for
+    whatever could not be judged: its rule_id is ``#`` and the stage that failed, its evidence the message; what fails on a page
+    costs that page the failing part only.
+    """
+    first, *more = blocks(list(keywords))
+    found = _text_findings(pages, list(rules), first, errors)
+    for block in more:
+        found = found.unionByName(_text_findings(pages, [r for r in rules if r.kind == "keyword"], block, False))
+    return found
+
+
+def _text_findings(pages: DataFrame, rules: list, keywords: list, errors: bool) -> DataFrame:
+    # User rules stand together at the end.
+    rules = [r for r in rules if not is_custom(r)] + ([C.ERROR] if errors else []) + [r for r in rules if is_custom(r)]
     table = "array(" + ", ".join(struct(
         key=lit(r.key), severity=lit(r.severity), category=lit(r.category), source_type=lit(r.source_type),
         cut=lit(r.cut or _UNCUT), evidence=f"CAST({lit(r.evidence)} AS STRING)", placed=lit(r.placed),
         metadata=text_map({k: lit(v) for k, v in r.metadata.items()})) for r in rules) + ")"
     kinds = dict.fromkeys(r.kind for r in rules)
+    address = next((i for i, r in enumerate(rules) if r.kind in ("url", "link")), None)
+
+    def arm(kind):
+        if kind == "element":
+            return D.element_findings(errors)
+        if kind in ("url", "link") and errors:
+            return f"concat({_KINDS[kind]()}, {only(_bad_address())})"
+        return _KINDS[kind]()
+
     by_kind = "CASE " + " ".join(
-        f"WHEN rule IN ({lits(i for i, r in enumerate(rules) if r.kind == kind)}) THEN {_KINDS[kind]()}"
+        f"WHEN rule IN ({lits(i for i, r in enumerate(rules) if r.kind == kind)}) THEN {arm(kind)}"
         for kind in kinds) + " END"
-    hits = _hits(pages, rules, list(keywords)).selectExpr("*", f"get({table}, rule) AS r")
-    if "url" in kinds:
-        number = next(i for i, r in enumerate(rules) if r.kind == "url")
-        hits = hits.selectExpr("*", f"{when(f'rule = {number}', U.url_facts('text', 'location'))} AS u")
+    hits = _hits(pages, rules, keywords).selectExpr("*", f"get({table}, rule) AS r")
+    if address is not None:
+        hits = hits.selectExpr("*", f"{when(f'rule = {address}', U.url_facts('text', 'location'))} AS u")
     if "element" in kinds:
         hits = hits.selectExpr("*", *[f"element.{n} AS {n}" for n in ("tag", "attrs", "bait", "outer_html", "form_no", "field_types")],
                                f"{U.page_domain('location')} AS base")
     return to_findings(hits, by_kind)
 
 
+# --- colours -------------------------------------------------------------------------------
+
+# Where a text colour begins: all of it, or up to an opening bracket.
+_COLOR_HEAD = re.compile(V.TEXT_COLOR_HEAD, re.I)
+_COLOR_MARGIN = 200
+_COLOR_FIELDS = [("text", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("before", pa.string()), ("after", pa.string()),
+                 ("g1", pa.string())]
+
+
+def _colors(texts: pa.Array) -> list[list[dict]]:
+    """The text colours of each page with what stands around them.
+
+    A bracket's end is looked for only while there is one ahead, and nothing inside a match is looked at again, so a
+    page that opens brackets and never closes them costs no more than its length.
+    """
+    out = []
+    for text in texts.to_pylist():
+        rows, free, last = [], 0, (text or "").rfind(")")
+        for head in _COLOR_HEAD.finditer(text or ""):
+            start, stop = head.span()
+            if start < free:
+                continue
+            if head[1] is None:
+                # At least one character and then the bracket.
+                if stop >= last or text[stop] == ")":
+                    continue
+                stop = text.index(")", stop) + 1
+            free = stop
+            begin = head.start(1) if head[1] is not None else head.start(2)
+            rows.append({"text": text[start:stop], "start": start, "stop": stop, "before": text[max(0, start - _COLOR_MARGIN):start],
+                         "after": text[stop:stop + _COLOR_MARGIN], "g1": text[begin:stop]})
+        out.append(rows)
+    return out
+
+
+COLOR_FACT = Fact("colors", "array<struct<text: string, start: int, stop: int, before: string, after: string, g1: string>>",
+                  pa.list_(pa.struct(_COLOR_FIELDS)), _colors)
+
+
 # --- entropy -------------------------------------------------------------------------
 
 def _without_comments(texts: pa.Array) -> pa.Array:

@@ -4,12 +4,11 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from pagescan.functions import urls as U
 from pagescan.functions.text import lit
 from pagescan.operators import catalog as C
-from pagescan.operators.custom import custom_errors, custom_findings
-from pagescan.operators.dom import dom_findings, looked_at
-from pagescan.operators.textrules import entropy_findings, extract_urls, text_findings
+from pagescan.operators.custom import as_custom
+from pagescan.operators.dom import dom_findings
+from pagescan.operators.textrules import entropy_findings, text_findings
 from pagescan.rules.loaders import keyword_table, built_in_keywords
 
 MODES = {"fast": ("keyword", "html"),
@@ -21,27 +20,26 @@ def union(frames) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def scan(pages: DataFrame, mode: str = "deep", keywords=None, rules=(), extra=()) -> DataFrame:
+def _rules(mode: str, rules) -> list:
+    """The catalog rules of a mode, and the user's."""
+    parts = MODES[mode]
+    if "js" not in parts:
+        return [C.KEYWORD, *C.HTML, C.LINK, C.ELEMENT, *rules]
+    return [C.KEYWORD, *C.HTML, C.URL, C.ELEMENT, *C.JS, *C.CSS, *C.HIDING, C.BLOCK_COMMENT, C.ENTROPY, *rules]
+
+
+def scan(pages: DataFrame, mode: str = "deep", keywords=None, rules=(), extra=(), errors: bool = False) -> DataFrame:
     """Findings over ``pages(page_id, location, content)``.
 
     ``keywords`` replaces the packaged list (see ``load_keywords``), ``rules`` are user
     rules (``load_custom_rules``), ``extra`` further detectors: functions from pages to
-    findings.  All rules share one pass over the pages; user rules and further detectors
-    have their own.
+    findings.  All rules share one pass over the pages; further detectors
+    have their own.  With ``errors`` the rows hold what failed as well, see ``text_findings``.
     """
-    parts = MODES[mode]
     keywords = keyword_table(built_in_keywords()) if keywords is None else keywords
-    text = [C.KEYWORD, *C.HTML, C.URL, C.ELEMENT]
-    if "js" in parts:
-        text += [*C.JS, *C.CSS, *C.HIDING, C.BLOCK_COMMENT, C.ENTROPY]
-    found = text_findings(pages, text, keywords)
-    if "js" not in parts:
-        # The URL rows carry the script and style views as well.
-        found = found.where("NOT startswith(rule_id, 'js:') AND NOT startswith(rule_id, 'css:')")
-    frames = [found]
-    if rules:
-        frames.append(custom_findings(pages, rules))
-    return union(frames + [detector(pages) for detector in extra])
+    found = text_findings(pages, _rules(mode, as_custom(rules)), keywords, errors)
+    return union([found, *[detector(pages, errors=True) if errors and getattr(detector, "errors", False) else detector(pages)
+                           for detector in extra]])
 
 
 def detect(pages: DataFrame, detector: str) -> DataFrame:
@@ -60,13 +58,20 @@ def detect(pages: DataFrame, detector: str) -> DataFrame:
     return texts(C.HIDING, "hiding:")
 
 
+def errors_of(rows: DataFrame) -> DataFrame:
+    """``location, stage, message`` of the rows of a scan ``with errors`` that say what failed."""
+    return rows.where("startswith(rule_id, '#')").selectExpr("location", "substring(rule_id, 2) AS stage", "evidence AS message")
+
+
+def findings_of(rows: DataFrame) -> DataFrame:
+    """The findings among the rows of a scan with errors."""
+    return rows.where("NOT startswith(rule_id, '#')")
+
+
 def scan_errors(pages: DataFrame, rules=()) -> DataFrame:
-    """What could not be judged: element trees that failed, URLs with an impossible port, and user rules
-    that failed on a page.
+    """What could not be judged: element trees that failed, URLs with an impossible port, user rules
+    that failed on a page, and pages on which anything else failed.
 
     Only the failing part of a page is lost; its other findings stay.
     """
-    trees = looked_at(pages).where("tag = '#error'").selectExpr("location", "'dom' AS stage", "text AS message")
-    ports = extract_urls(pages).where(f"pattern_no = 0 AND {U.has_bad_port('url')}").selectExpr(
-        "location", "'url' AS stage", "url AS message")
-    return union([trees, ports, *([custom_errors(pages, rules)] if rules else [])])
+    return errors_of(text_findings(pages, [C.LINK, C.ELEMENT, *as_custom(rules)], errors=True))

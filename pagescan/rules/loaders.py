@@ -7,7 +7,7 @@ from importlib import resources
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagescan.functions.dialect import WORD
+from pagescan.functions.folding import folded
 from pagescan.functions.text import lits
 from pagescan.operators.catalog import Rule
 from pagescan.rules import values as V
@@ -56,31 +56,15 @@ def load_keywords(spark: SparkSession, path: str | None = None) -> list[dict]:
 
 
 def keyword_table(rows) -> list[dict]:
+    """(keyword, category, weight) rows as the matcher takes them; ASCII words of one or two letters must stand alone."""
     unique = {}
     for keyword, category, weight in rows:
         unique.setdefault(keyword, (category, weight))
-    return [{"keyword": keyword, "needle": _folded(keyword), "core": _core(_folded(keyword)), "pattern": _keyword_pattern(keyword),
+    return [{"keyword": keyword, "folded": folded(keyword), "whole": bool(re.fullmatch("[A-Za-z]{1,2}", keyword)),
              "category_name": V.KEYWORD_CATEGORIES.get(category, V.KEYWORD_CATEGORIES["other"]),
              "weight": weight} for keyword, (category, weight) in unique.items()]
 
 
-def _folded(keyword: str) -> str:
-    """The driver-side twin of ``functions.text.fold``."""
-    return keyword.translate(str.maketrans("İıſςΣ", "iisσσ")).lower()
-
-
-def _core(needle: str) -> str:
-    """The longest run of a keyword without ASCII characters, if it has any."""
-    return max(re.findall(r"[^\x00-\x7f]+", needle), key=len, default=needle)
-
-
-def _keyword_pattern(keyword: str) -> str:
-    literal = re.escape(keyword)
-    if re.fullmatch("[A-Za-z]{1,2}", keyword):
-        literal = f"(?<![{WORD}]){literal}(?![{WORD}])"
-    return f"(?iu){literal}"
-
-
 def clean_custom_rules(rows: DataFrame) -> DataFrame:
     """Columns of user rules with defaults put in and severities held between 1 and 10; a row whose
     severity is no number is skipped."""
@@ -117,7 +101,7 @@ def custom_rules(entries) -> list[Rule]:
             pattern, flags = str(entry["pattern"]), str(entry.get("flags", "")).lower()
             re.compile(pattern)
             rules.append(Rule(
-                str(entry["rule_id"]), pattern, "".join(f for f in "ism" if f in flags),
+                str(entry["rule_id"]), pattern, "".join(f for f in "ism" if f in flags), kind="custom",
                 severity=max(1, min(10, int(entry.get("severity", 5)))),
                 category=str(entry.get("category", "suspicious_pattern")),
                 source_type=str(entry.get("source_type", "text")), margin=80, cut=200,

@@ -181,6 +181,8 @@ EVIDENCE_CONTROL = "%d 个控制字符"
 ZERO_WIDTH = "[\u200b\u200c\u200d\u2060\ufeff]"
 WHITESPACE_RUN = r"\s{10,}"
 TEXT_COLOR = r"(?<!background-)color\s*:\s*(#\w{3,6}|rgba?\([^)]+\))"
+#: The same up to the opening bracket; group 2 is then the beginning of the colour.
+TEXT_COLOR_HEAD = r"(?<!background-)color\s*:\s*(?:(#\w{3,6})|(rgba?\())"
 BACKGROUND_COLOR = r"background-color\s*:\s*(#\w{3,6}|rgba?\([^)]+\)|\w+)"
 BLACKS = ["#000", "#000000", "black", "rgb(0,0,0)", "rgba(0,0,0,1)"]
 WHITES = ["#fff", "#ffffff", "white", "rgb(255,255,255)", "rgba(255,255,255,1)"]

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from pagescan import custom_rules, load_custom_rules, load_keywords, scan
+from pagescan import custom_rules, load_custom_rules, load_keywords, scan, scan_errors
 from pagescan.functions import urls as U
 from pagescan.operators import catalog as C
 from pagescan.operators.custom import custom_findings
@@ -94,12 +94,12 @@ def test_line_ends_inside_addresses(spark):
 
 def test_user_rules_fail_alone(spark, pages):
     from pagescan.operators.catalog import Rule
-    from pagescan.operators.custom import custom_errors, custom_findings
+    from pagescan.operators.custom import custom_findings
     rules = [Rule("good", "abc"), Rule("bad", "(unclosed"), Rule("deep", r"(?:\w|\s){50,}", cut=200), Rule("empty", "q*")]
     frame = pages("abc " * 50_000, "nothing", "")
     found = {(r.page_id, r.rule_id) for r in custom_findings(frame, rules).collect()}
     assert {(0, "good"), (0, "deep"), (1, "empty")} <= found and not any(rule == "bad" for _, rule in found)
-    errors = custom_errors(frame, rules).collect()
+    errors = scan_errors(frame, rules).collect()
     assert len(errors) == 3 and all(e.stage == "rule" and e.message.startswith("bad: ") for e in errors)
     assert spark.range(3).count() == 3
 
@@ -133,8 +133,71 @@ def test_keyword_lists(spark, pages, tmp_path):
     rows = text_findings(pages("ab cab ab1 ÄAB AB. bad word ÜBER xxy x.y"), [C.KEYWORD], words).collect()
     assert sorted((r.evidence, r.pos_start) for r in rows) == [("AB", 0), ("AB", 15), ("Bad Word", 19), ("x.y", 37), ("Über", 28)]
     assert len(load_keywords(spark, str(tmp_path / "none.csv"))) == 198
-    many = keyword_table([(f"word{i}x", "other", 5) for i in range(2500)])
-    assert text_findings(pages("word7x and WORD2400X"), [C.KEYWORD], many).count() == 2
+
+
+RULE_PIECES = ["a", "b", "ab", "(a|b)", "(?:ab|é)", "[ab]", "[^a]", r"\d", r"\w", r"\s", r"\b", "^", "$", r"\Z", ".", "a?", "b+", "(?:ab)*", "a{2,3}", "b+?", r"(a)\1",
+               "(?=b)", "(?!a)", "(?<=a)", "(?<!b)", "(?>a|ab)", "a++", "(?i:K)", "S", "(?P<n>b)", "x|y", "\n", "İ", "#"]
+
+
+def test_user_rules_find_what_re_finds(pages):
+    """Random patterns of all kinds, in whichever engine they run, against ``re`` on every page."""
+    import random
+    import re
+    from pagescan.operators.custom import linear, required
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["a", "b", "ab", "é", "1", " ", "\n", "k", "K", "ſ", "S", "x", "y", "_", "#", "i", "İ"]) for _ in range(rng.randrange(40)))
+             for _ in range(60)] + ["", "a" * 50]
+    ascii_only = [t.encode("ascii", "ignore").decode() for t in texts]
+    entries = []
+    for i in range(250):
+        pattern, flags = "".join(rng.choice(RULE_PIECES) for _ in range(rng.randrange(1, 6))), "".join(f for f in "ism" if rng.random() < .3)
+        try:
+            re.compile(pattern)
+        except re.error:
+            continue
+        entries.append({"rule_id": f"r{i}", "pattern": pattern, "flags": flags})
+    rules, every = custom_rules(entries), texts + ascii_only
+    engines = {linear(r.pattern, r.flags) for r in rules}
+    assert engines == {"yes", "ascii", "no"} and sum(bool(required(r.pattern, r.flags)) for r in rules) > 50
+    got = {}
+    for r in custom_findings(pages(*every), rules).collect():
+        got.setdefault(r.rule_id, set()).add((r.page_id, r.pos_start, r.pos_end, r.evidence))
+    for rule in rules:
+        flags = sum({"i": re.I, "s": re.S, "m": re.M}[f] for f in rule.flags)
+        want = {(i, m.start(), m.end(), m.group(0)) for i, text in enumerate(every) for m in re.finditer(rule.pattern, text, flags)}
+        assert got.get(rule.key, set()) == want, (rule.pattern, rule.flags, linear(rule.pattern, rule.flags))
+
+
+def test_what_a_pattern_requires():
+    from pagescan.operators.custom import linear, required
+    assert required(r"foo\s+(?:barbar|bazbaz)x?") == ("rbar", "zbaz") and required("ab|c") == ("ab", "c") and required("a*|b") == ()
+    assert required("(?i)EVIL-[a-z]+") == ("evil-",) and required("éa") == ("a",) and required("") == ()
+    assert linear("a+b") == "yes" and linear(r"a\b", "") == "ascii" and linear("a(?=b)") == linear(r"(a)\1") == linear("a*") == "no"
+
+
+def test_a_rule_without_end_is_stopped(pages, monkeypatch):
+    import time
+    from pagescan.operators import custom
+    monkeypatch.setattr(custom, "TIME_LIMIT", 1.0)
+    rules = custom_rules([{"rule_id": "endless", "pattern": r"(?=(x+x+)+y)x"}, {"rule_id": "fine", "pattern": "xx"}])
+    frame, begin = pages("x" * 40, "xxy"), time.perf_counter()
+    assert {(r.page_id, r.rule_id) for r in custom_findings(frame, rules).collect()} == {(0, "fine"), (1, "endless"), (1, "fine")}
+    assert [r.message for r in scan_errors(frame, rules).collect()] == ["endless: TimeoutError: more than 1 seconds"]
+    assert time.perf_counter() - begin < 30
+
+
+def test_a_thousand_rules_cost_their_hits(pages):
+    import time
+    frame = pages(*["some words r7z of a page " * 400] * 60)
+
+    def seconds(n):
+        rules = custom_rules([{"rule_id": f"r{i}", "pattern": rf"r{i}z\s+of" if i % 2 else rf"r{i}z(?= of)"} for i in range(n)])
+        begin = time.perf_counter()
+        assert custom_findings(frame, rules).count() == 60 * 400
+        return time.perf_counter() - begin
+    seconds(10)
+    few, many = seconds(10), seconds(1000)
+    assert many < 3 * few + 3, (few, many)
 
 
 def test_user_rules(spark, pages, tmp_path):
@@ -162,6 +225,56 @@ def test_a_broken_detector_input_gives_an_error_row_not_a_failure(pages, monkeyp
     assert {r.evidence for r in rows} == {"http://q.bid:99999/e", "https://ok.xyz/"}
 
 
+class Fussy:
+    """A detector that fails on some pages."""
+
+    def detect(self, content, location):
+        for at, word in enumerate(content.split()):
+            if word == "fail":
+                raise ValueError("no such page")
+            yield {"rule_id": "own:word", "severity": 99, "evidence": word, "pos_start": at, "metadata": {"n": at}, "reasons": ["r"], "category": None}
+
+
+def test_page_detectors_fail_alone(spark, pages):
+    from pagescan.operators.detectors import page_detector
+    from pagescan.plans.scan import errors_of, findings_of
+    class Other:
+        def detect(self, content, location):
+            yield {"rule_id": "own:any", "evidence": str(location)}
+            yield {}["rule_id"] if content == "" else {"rule_id": "own:second"}
+
+    frame = pages("a b", "x fail y", "", ("https://l/", None), (None, "c"))
+    rows = scan(frame, "fast", extra=[page_detector(Fussy(), Other())], errors=True)
+    found = sorted((r.page_id, r.rule_id, r.evidence) for r in findings_of(rows).collect())
+    assert found == [(0, "own:any", "https://www.site.com/page"), (0, "own:second", ""), (0, "own:word", "a"), (0, "own:word", "b"),
+                     (1, "own:any", "https://www.site.com/page"), (1, "own:second", ""), (4, "own:any", "None"), (4, "own:second", ""), (4, "own:word", "c")]
+    assert sorted((r.location, r.stage, r.message) for r in errors_of(rows).collect()) == sorted([
+        ("https://www.site.com/page", "detector", "Fussy: ValueError: no such page"), ("https://www.site.com/page", "detector", "Other: KeyError: 'rule_id'"),
+        ("https://l/", "detector", "Other: KeyError: 'rule_id'")])
+    assert not [r for r in scan(frame, "fast", extra=[page_detector(Fussy())]).collect() if r.rule_id.startswith("#")]
+    row = next(r for r in findings_of(rows).collect() if r.evidence == "b")
+    assert (row.severity, row.category, row.pos_start, row.metadata, row.reasons) == (10, "suspicious_pattern", 1, {"n": "1"}, ["r"])
+
+
+def test_pages_that_are_no_utf8(spark):
+    rows = [(1, bytearray(b"<p style='display:none'>\xff\xfe eval(1) </p>")), (2, bytearray(b"\x80")), (3, bytearray("é display:none".encode()))]
+    frame = spark.createDataFrame(rows, "page_id LONG, b BINARY").selectExpr("page_id", "CAST(X'FF' AS STRING) AS location", "CAST(b AS STRING) AS content")
+    found = {(r.page_id, r.rule_id) for r in scan(frame, rules=custom_rules([{"rule_id": "own", "pattern": "\ufffd(?= eval)"}])).collect()}
+    assert {(1, "hiding:display_none"), (1, "html:dom:styled_hidden"), (1, "own"), (3, "hiding:display_none")} <= found
+    assert elements(frame).where("tag = 'p'").first().text == "\ufffd\ufffd eval(1) " and scan_errors(frame).count() == 0
+    assert extract_urls(frame).count() == 0
+
+
+def test_a_page_that_breaks_a_rule_loses_that_rule_only(pages, monkeypatch):
+    from pagescan.functions.linear import _each
+    import pyarrow as pa
+    def of(texts):
+        if "bad" in texts.to_pylist():
+            raise RuntimeError("x")
+        return [t.upper() for t in texts.to_pylist()]
+    assert _each(pa.array(["a", "bad", "c"]), of, "rule") == [("A", None), (None, "rule: RuntimeError: x"), ("C", None)]
+
+
 def test_findings_schema(pages):
     assert scan(pages("x"), "fast").schema.simpleString() == pages("x").sparkSession.createDataFrame(
         [], FINDINGS).schema.simpleString()
