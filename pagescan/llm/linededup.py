@@ -188,7 +188,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                l="split(text, '\\n')")
     # From the first sign of a word to the line's end: a match for each line with a word.
     n_lines = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D][^\n]*+")), F.lit(0)).cast("long")
-    return rows.join(small(_gone(docs), "1 + size(gone)"), F.col("th").eqNullSafe(F.col("_th")) & F.col("doc_id").eqNullSafe(
+    # The same join at every size: texts move once.
+    return rows.join(_gone(docs), F.col("th").eqNullSafe(F.col("_th")) & F.col("doc_id").eqNullSafe(
         F.col("_doc")), "left").select(
         "doc_id", F.expr(f"CASE WHEN size(gone) > 0 THEN {left} ELSE text END AS text"), n_lines.alias("n_lines"),
         *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_exact", "n_near")])
