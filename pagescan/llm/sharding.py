@@ -44,7 +44,8 @@ def shard(docs: DataFrame, shards: int = 24, key: str = "doc_id", keep=()) -> Da
     size is the text's UTF-8 bytes plus 8; NULL texts count as empty.  shard depends on the key
     and the number of shards only; grown_shard is the place with one shard more, which is either
     the same or the new one.  slot counts from 0 in each shard without gaps, in an order fixed by
-    the rows' values, so reruns agree.  Rows with a NULL key go where a key of its own goes.  Equal
+    the rows' values, so reruns agree; a larger table is numbered in other pieces, so slots (not shards) of old rows change when it
+    grows.  Rows with a NULL key go where a key of its own goes.  Equal
     rows are counted before they are dealt and spread out again at the end, so a key that holds
     very many equal rows is one row on the way.  Columns of the input with the names of results
     are not read, unless in ``keep``, which must not name results.
