@@ -12,11 +12,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 
 from oracle.corpus import seeded_pages
-from oracle.queries import QUERIES
+from oracle.queries import QUERIES, SAMPLE_RULES
+from pagescan.operators import catalog as C
 from pagescan.operators import rollups
 from pagescan.operators.dom import dom_findings
-from pagescan.operators.textrules import entropy_findings, extract_urls
+from pagescan.operators.textrules import entropy_findings, extract_urls, text_findings
 from pagescan.plans.scan import detect, scan
+from pagescan.rules.loaders import custom_rules, keyword_table
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
@@ -39,6 +41,8 @@ def main() -> None:
     pages = spark.read.parquet(folder)
     count, many = pages.count(), reduce(DataFrame.unionAll, [pages] * 10)
 
+    many_words = keyword_table([(f"word{i}x", "other", 5) for i in range(50_000)])
+
     def planned():
         begin = time.perf_counter()
         scan(pages)._jdf.queryExecution().executedPlan()
@@ -56,6 +60,8 @@ def main() -> None:
         "elements": lambda: dom_findings(pages),
         "entropy": lambda: entropy_findings(pages),
         "extract_urls": lambda: extract_urls(pages),
+        "user_rules": lambda: scan(pages, "fast", rules=custom_rules([r for r, *_ in SAMPLE_RULES])),
+        "keywords_50k": lambda: text_findings(pages, [C.KEYWORD], many_words),
         "page_verdicts": lambda: rollups.page_verdicts(pages, scan(pages)),
         "report_sections": lambda: QUERIES["snk5_report_sections"](spark, SF_DIR),
         "entropy_documents": lambda: QUERIES["js19_entropy_documents"](spark, SF_DIR),
