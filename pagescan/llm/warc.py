@@ -27,46 +27,54 @@ def _bound(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), 0)
 
 
-def _table(pairs) -> Column:
-    return F.create_map(*[F.lit(x) for pair in pairs for x in pair])
+#: Names that pages use most, in any order; the others are looked up in one long text.
+COMMON = ("nbsp lt gt quot apos copy reg trade middot bull hellip mdash ndash laquo raquo lsquo rsquo sbquo ldquo rdquo bdquo euro pound "
+          "sect deg times eacute egrave agrave aacute iacute oacute uacute ntilde ccedil auml ouml uuml Auml Ouml Uuml szlig iexcl iquest").split()
 
 
 def _referred() -> Callable[[Column], Column]:
-    """What a character reference stands for; an unknown name stays."""
-    letters = {}
-    for name, text in sorted(html5.items()):
-        if name.endswith(";"):
-            letters.setdefault(name[0], []).append((f"&{name}", text))
-    # By first letter, since a map is searched from its beginning.
-    names = F.create_map(*[x for letter, pairs in letters.items() for x in (F.lit(letter), _table(pairs))])
-    old = _table(OLD_NUMBERS.items())
+    """What a name or number between ``&`` and ``;`` stands for; NULL for anything else."""
+    # A map built in an expression is built for every value; a text is not.
+    names = F.lit("\0" + "".join(f"{name[:-1]}\1{text}\0" for name, text in sorted(html5.items()) if name.endswith(";")))
+    old = F.lit("".join(OLD_NUMBERS.get(n, chr(n)) for n in range(128, 160)))
 
     def of_number(n):
         return (F.when((n == 0) | n.between(0xD800, 0xDFFF) | (n > 0x10FFFF), F.lit("\ufffd"))
-                .when(n.between(128, 159) & F.map_contains_key(old, n), old[n])
+                .when(n.between(128, 159), F.substr(old, n - F.lit(127), F.lit(1)))
                 .otherwise(F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")))
 
+    def of_name(e):
+        def cut(at):
+            return F.when(at > 0, F.substring_index(F.substr(names, at + F.length(e) + F.lit(2), F.lit(4)), "\0", 1))
+        return F.when(e.rlike("^[A-Za-z][A-Za-z0-9]+$"), _bound(F.position(F.concat(F.lit("\0"), e, F.lit("\1")), names), cut))
+
     def of(e):
-        hexadecimal = F.lower(F.substring(e, 3, 1)) == "x"
-        digits = F.regexp_extract(e, "[0-9A-Fa-f]+(?=;)", 0)
-        number = F.when(hexadecimal, F.conv(digits, 16, 10)).otherwise(digits).cast("int")
-        return (F.when(e == "&amp;", F.lit("&")).when(F.startswith(e, F.lit("&#")), _bound(number, of_number))
-                .otherwise(F.coalesce(names[F.substring(e, 2, 1)][e], e)))
+        number = F.when(e.rlike("^#[0-9]{1,7}$"), F.substr(e, F.lit(2))).when(
+            e.rlike("^#[xX][0-9A-Fa-f]{1,6}$"), F.conv(F.substr(e, F.lit(3)), 16, 10)).cast("int")
+        known = F.when(e == "amp", F.lit("&"))
+        for name in COMMON:
+            known = known.when(e == name, F.lit(html5[f"{name};"]))
+        return known.when(F.startswith(e, F.lit("#")), _bound(number, of_number)).otherwise(of_name(e))
 
     return of
 
 
 def resolved(text: Column) -> Column:
-    """A text with its character references resolved, each once."""
+    """A text with its character references resolved, each once.
+
+    It is cut at each ``&``; what stands between that and a semicolon close behind is looked up.
+    """
     of = _referred()
 
-    def joined(v):
-        pairs = F.zip_with(v["gaps"], F.transform(v["found"], of), lambda gap, e: F.concat(gap, F.coalesce(e, F.lit(""))))
-        return F.array_join(pairs, "")
+    def piece(p, i):
+        def told(v):
+            return _bound(F.when(F.contains(v["near"], F.lit(";")), of(v["e"])), lambda t: F.when(
+                t.isNotNull(), F.concat(t, F.substr(p, F.length(v["e"]) + F.lit(2)))).otherwise(F.concat(F.lit("&"), p)))
+        near = F.substr(p, F.lit(1), F.lit(33))
+        return F.when(i == 0, p).otherwise(_bound(F.struct(near.alias("near"), F.substring_index(near, ";", 1).alias("e")), told))
 
     def cut(t):
-        parts = F.struct(F.regexp_extract_all(t, F.lit(REFERENCE), F.lit(0)).alias("found"), F.split(t, REFERENCE, -1).alias("gaps"))
-        return F.when(F.contains(t, F.lit("&")), _bound(parts, joined)).otherwise(t)
+        return F.when(F.contains(t, F.lit("&")), F.array_join(F.transform(F.split(t, "&", -1), piece), "")).otherwise(t)
 
     return _bound(text, cut)
 
@@ -84,7 +92,7 @@ def html_text(html) -> Column:
     text = F.regexp_replace(text, r"<[/!?A-Za-z][^>]*+(?:>|\z)", "")
     text = resolved(text)
     text = F.regexp_replace(text, r"[\t\r\f\x0B][ \t\r\f\x0B]*+| [ \t\r\f\x0B]++", " ")
-    return F.regexp_replace(F.regexp_replace(text, r" \n[ \n]*+|\n[ \n]++", "\n"), r"^[ \n]++|[ \n]++$", "")
+    return F.btrim(F.regexp_replace(text, r" \n[ \n]*+|\n[ \n]++", "\n"), F.lit(" \n"))
 
 
 def digest(block) -> Column:
@@ -156,10 +164,12 @@ def derive(records: DataFrame, keep=()) -> DataFrame:
     kind = F.lower(F.coalesce(header(F.col("http"), "Content-Type"), F.lit("text/html")))
     text = F.when(F.startswith(kind, F.lit("text/html")) | F.startswith(kind, F.lit("application/xhtml")), html_text(F.col("payload"))) \
         .when(F.startswith(kind, F.lit("text/plain")), F.col("payload"))
-    source = source.select("_keep", "id", "uri", "date", F.coalesce("stated", digest(F.col("payload"))).alias("digest"),
-                           F.coalesce("block_stated", digest(F.col("block"))).alias("block_of"), "http", text.alias("text"),
-                           urn(F.lit("metadata"), F.col("id")).alias("metadata_id"),
-                           F.when(text.isNotNull(), urn(F.lit("conversion"), F.col("id"))).alias("conversion_id"))
+    # A step of its own, since the text is asked for twice and must be made once.
+    source = source.withColumn("text", text).select(
+        "_keep", "id", "uri", "date", F.coalesce("stated", digest(F.col("payload"))).alias("digest"),
+        F.coalesce("block_stated", digest(F.col("block"))).alias("block_of"), "http", "text",
+        urn(F.lit("metadata"), F.col("id")).alias("metadata_id"),
+        F.when(F.col("text").isNotNull(), urn(F.lit("conversion"), F.col("id"))).alias("conversion_id"))
     status = F.when(F.col("http") != "", F.concat(F.lit("source-status: "), F.substring_index("http", END, 1), F.lit(END)))
     headers = F.array_join(F.transform(F.filter(F.slice(F.split("http", END), 2, 1_000_000_000), lambda x: x != ""),
                                        lambda x: F.concat(F.lit("source-header: "), x, F.lit(END))), "")
