@@ -58,8 +58,10 @@ def invented(rng, rows=60):
     return out
 
 
-@pytest.mark.parametrize("block,chunk,groups", [(1 << 22, 1 << 20, 1 << 18), (50, 20, 7), (1, 1, 1)])
-def test_equals_plain_counting(spark, docs, rng, monkeypatch, block, chunk, groups):
+@pytest.mark.parametrize("block,chunk,groups,few", [(1 << 19, 1 << 20, 1 << 18, 10 ** 6), (50, 20, 7, 10 ** 6), (50, 20, 7, 3), (1, 1, 1, 0)])
+def test_equals_plain_counting(spark, docs, rng, monkeypatch, block, chunk, groups, few):
+    monkeypatch.setattr(C, "FEW", few)
+    monkeypatch.setattr(C, "FEW_WORDS", few)
     monkeypatch.setattr(C, "BLOCK", block)
     monkeypatch.setattr(C, "_CHUNK", chunk)
     monkeypatch.setattr(C, "_GROUPS", groups)
