@@ -279,10 +279,18 @@ def _semi_join_shuffled(first: bool):
     return run
 
 
+def _numbered(groups: DataFrame) -> DataFrame:
+    """Groups with ``id``: small numbers without order, which take little room in a shuffle."""
+    groups = kept(groups)
+    parts, place = groups.rdd.getNumPartitions(), F.monotonically_increasing_id()
+    # The place in the partition, then the partition.
+    number = place.bitwiseAND((1 << 33) - 1) * parts + F.shiftright(place, 33)
+    return kept(groups.select(number.alias("id"), *groups.columns))
+
+
 def _frequent(groups: DataFrame, key: list[str], least: int) -> DataFrame:
     """``id, key, f``: the groups that occur ``least`` times or more in all blocks, numbered."""
-    counts = groups.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least)
-    return kept(counts.select(F.monotonically_increasing_id().alias("id"), *key, "f"))
+    return _numbered(groups.groupBy(*key).agg(F.sum("n").alias("f")).where(F.col("f") >= least))
 
 
 def _meeting(relations: DataFrame, groups: DataFrame, frequent: DataFrame, key: list[str], first: bool) -> DataFrame:
@@ -321,7 +329,7 @@ def mine(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> tuple[D
     counts = kept(rows.mapInArrow(_first_blocks(False), words).groupBy("lang", "word").agg(F.sum("n").alias("f")).where(
         F.col("word").isNull() | (F.col("f") >= least)))
     totals = counts.where("word IS NULL").select("lang", F.col("f").alias("n"))
-    frequent = kept(counts.where("word IS NOT NULL").select(F.monotonically_increasing_id().alias("id"), "lang", "word", "f"))
+    frequent = _numbered(counts.where("word IS NOT NULL").select("lang", "word", "f"))
     found = [frequent.select("id", "lang", F.col("word").alias("phrase"), "f", F.lit(None).cast("long").alias("left"),
                              F.lit(None).cast("long").alias("right"), F.col("word").alias("last"),
                              F.array("f").alias("prefixes"), F.array("f").alias("suffixes"))]
