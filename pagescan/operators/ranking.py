@@ -37,7 +37,8 @@ def numbered(df: DataFrame, group: str | None, *order: str, name: str = "no") ->
     """
     columns = df.columns
     rows = df.groupBy(*columns).agg(F.count("*").alias("_copies")).withColumn("_key", _key(group, order))
-    least = rows.select("_key", F.xxhash64("_key").alias("_hash")).orderBy("_hash", "_key").limit(SAMPLE)
+    # The number of copies stands in the order so that the bounds read the same aggregate as the rest, of which one shuffle serves all.
+    least = rows.select("_key", "_copies", F.xxhash64("_key").alias("_hash")).orderBy("_hash", "_key", "_copies").limit(SAMPLE)
     every = least.agg(F.array_sort(F.collect_list("_key")).alias("all"))
     bounds = every.select(F.expr(
         f"filter(all, (x, i) -> i > 0 AND (i * {RANGES - 1}) div size(all) != ((i - 1) * {RANGES - 1}) div size(all))"))

@@ -143,6 +143,16 @@ def test_numbering_runs_nothing_ahead_and_reads_its_input_once(spark, tmp_path,
     assert "ResolvedHint" not in plan and "Checkpoint" not in plan and "Scan ExistingRDD" not in plan
 
 
+def test_reports_evaluate_a_scan_once(spark, pages):
+    found = scan(pages("<p style='display:none'>赌博</p> https://evil.xyz/ eval(1)"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for report in (S.csv_rows, S.text_rows, S.section_rows):
+            assert report(found)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1, report
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_a_large_group_is_numbered_in_many_tasks(spark):
     from pagescan.operators import ranking
     rows = spark.range(30_000).selectExpr("'all' AS g", "id AS v")
