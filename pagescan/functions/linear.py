@@ -6,6 +6,7 @@ once.  A page is taken apart by marking its matches and cutting at the marks.
 """
 
 import random
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -14,6 +15,9 @@ from pyspark.sql import functions as F
 
 from pagescan.functions.dialect import to_re2
 
+#: Texts of a batch are looked at in slices of so many bytes and rows: what they hold takes many times their size as Python objects.
+SLICE_BYTES, SLICE_ROWS = 1_000_000, 500
+
 #: The matches of a pattern, as ``functions.text.pieces`` has them.
 PIECES = "struct<found: array<string>, gaps: array<string>, g1: array<string>, g2: array<string>>"
 _PIECES = pa.struct([(name, pa.list_(pa.string())) for name in ("found", "gaps", "g1", "g2")])
@@ -77,12 +81,24 @@ def _each(texts: pa.Array, of, name: str) -> list[tuple]:
         return [one for i in range(len(texts)) for one in _each(texts.slice(i, 1), of, name)]
 
 
+def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of consecutive slices; a text longer than a slice is one of its own.  One empty slice of no texts."""
+    begin, held = 0, 0
+    for row, size in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if row > begin and (held + size > SLICE_BYTES or row - begin >= SLICE_ROWS):
+            yield begin, row - begin
+            begin, held = row, 0
+        held += size
+    yield begin, len(texts) - begin
+
+
 def matcher(patterns: list[Pattern], facts: tuple[Fact, ...] = ()):
     """A column function of (text, bits): a struct with a field ``p0, p1, ...`` for each pattern, its ``PIECES`` or NULL,
     one for each fact, and ``failed``, what failed on the text.
 
     Pattern number k is tried on rows with bit k set; the facts have the bits behind.  Marked as not
-    deterministic, so that Spark evaluates it once.
+    deterministic, so that Spark evaluates it once.  A batch is taken and given back in slices, so a worker's memory does not
+    follow the size of batches.
     """
     counts = [3 + p.before.count("(") - p.before.count("(?") for p in patterns]
 
@@ -95,7 +111,7 @@ def matcher(patterns: list[Pattern], facts: tuple[Fact, ...] = ()):
     asked_for = [(f"p{k}", cuts(p, first), _PIECES, p.pattern) for k, (p, first) in enumerate(zip(patterns, counts))]
     asked_for += [(f.name, f.of, f.kind, f.name) for f in facts]
 
-    def run(texts: pa.Array, bits: pa.Array) -> pa.Array:
+    def look(texts: pa.Array, bits: pa.Array) -> pa.Array:
         fields, rows, failed = [], len(texts), {}
         asked = bits.fill_null(0).to_numpy(zero_copy_only=False)
         for k, (_, of, kind, name) in enumerate(asked_for):
@@ -109,5 +125,10 @@ def matcher(patterns: list[Pattern], facts: tuple[Fact, ...] = ()):
         fields.append(pa.array([failed.get(i) for i in range(rows)], pa.list_(pa.string())))
         return pa.StructArray.from_arrays(fields, [name for name, *_ in asked_for] + ["failed"])
 
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for texts, bits in batches:
+            for begin, rows in slices(texts):
+                yield look(texts.slice(begin, rows), bits.slice(begin, rows))
+
     kind = ", ".join([f"p{k}: {PIECES}" for k in range(len(patterns))] + [f"{f.name}: {f.ddl}" for f in facts] + ["failed: array<string>"])
     return F.arrow_udf(run, f"struct<{kind}>").asNondeterministic()

@@ -169,6 +169,18 @@ def test_linear_patterns_equal_re_on_random_text(pages):
         assert hits > 2, key
 
 
+def test_a_batch_is_looked_at_and_given_back_in_slices():
+    import pyarrow as pa
+    from pagescan.functions import linear
+    texts = ["ab" * 400] * 3_000 + [None, "", "a" * 3 * linear.SLICE_BYTES] + ["x"] * 1_200 + ["ba"]
+    run = matcher([Pattern("a")], (linear.Fact("size", "int", pa.int32(), lambda t: [len(x) for x in t.to_pylist()]),)).func
+    asked = pa.array([0 if t is None else 3 for t in texts], pa.int64())
+    out = list(run(iter([(pa.array(texts, pa.string()), asked), (pa.array([], pa.string()), pa.array([], pa.int64()))])))
+    rows = [row for part in out for row in part.to_pylist()]
+    assert max(map(len, out)) <= linear.SLICE_ROWS and [r["size"] for r in rows] == [t if t is None else len(t) for t in texts]
+    assert [r["p0"] and len(r["p0"]["found"]) for r in rows] == [t.count("a") or None if t else None for t in texts]
+
+
 # Beginnings without their ends, and many of what a rule has to compare with each other.
 HOSTILE = {
     "attribute selector": "[=" * 50_000 + "data:", "try": "try{eval()" * 10_000 + "catch", "data address": "data:" * 20_000 + ";base64,",
