@@ -86,13 +86,20 @@ def html_text(html) -> Column:
     ends that are one already are not touched.
     """
     text = F.regexp_replace(html, r"(?s)<!--.*?(?:-->|\z)", "")
-    text = F.regexp_replace(text, "(?is)" + "|".join(
-        rf"<{name}\b[^>]*+(?:>.*?(?:</{name}\s*+>|\z)|\z)" for name in ("script", "style")), "")
+    # One beginning for both, so that other characters are passed by at once.
+    text = F.regexp_replace(text, "(?is)<(?:" + "|".join(
+        rf"{name}\b[^>]*+(?:>.*?(?:</{name}\s*+>|\z)|\z)" for name in ("script", "style")) + ")", "")
     text = F.regexp_replace(text, rf"(?i)</?(?:{BREAKS})\b[^>]*+(?:>|\z)", "\n")
     text = F.regexp_replace(text, r"<[/!?A-Za-z][^>]*+(?:>|\z)", "")
-    text = resolved(text)
-    text = F.regexp_replace(text, r"[\t\r\f\x0B][ \t\r\f\x0B]*+| [ \t\r\f\x0B]++", " ")
-    return F.btrim(F.regexp_replace(text, r" \n[ \n]*+|\n[ \n]++", "\n"), F.lit(" \n"))
+    return _joined(resolved(text))
+
+
+def _joined(text: Column) -> Column:
+    """A text whose runs of blanks are one blank, and runs with a line end one line end, none at either end."""
+    text = _bound(text, lambda t: F.when(t.rlike(r"[\t\r\f\x0B]"), F.translate(t, "\t\r\f\x0b", "    ")).otherwise(t))
+    text = F.regexp_replace(text, "  ++", " ")
+    text = F.replace(F.replace(text, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.btrim(F.regexp_replace(text, "\n\n++", "\n"), F.lit(" \n"))
 
 
 def digest(block) -> Column:

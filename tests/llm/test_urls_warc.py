@@ -165,3 +165,14 @@ def test_open_ended_pages_are_linear(spark):
     begin = time.time()
     assert frame.select(F.sum(F.length(warc.html_text(F.col("html"))))).first()[0] >= 0
     assert time.time() - begin < 60
+
+
+def test_blanks_of_a_page_are_joined(spark):
+    import random
+    import re
+    from pagescan.llm.warc import html_text
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(" \n\t\r\f\x0bab") for _ in range(rng.randrange(40))) for _ in range(2_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i INT, t STRING").select("i", html_text("t").alias("got")).collect()
+    for r in rows:
+        assert r.got == re.sub(r"[ \n]*\n[ \n]*", "\n", re.sub(r"[ \t\r\f\x0b]+", " ", texts[r.i])).strip(" \n"), texts[r.i]
